@@ -32,7 +32,8 @@ GROUP = 48
 def pack(bits: np.ndarray) -> np.ndarray:
     """Booleans over rows -> words of 64 rows (the last axis)."""
     pad = -bits.shape[-1] % 64
-    return np.packbits(np.pad(bits, [(0, 0)] * (bits.ndim - 1) + [(0, pad)]), axis=-1, bitorder="little").view(np.uint64)
+    packed = np.packbits(np.pad(bits, [(0, 0)] * (bits.ndim - 1) + [(0, pad)]), axis=-1, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64)
 
 
 def unpack(words: np.ndarray, n: int) -> np.ndarray:

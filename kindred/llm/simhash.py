@@ -71,7 +71,8 @@ def fingerprints(batches):
 def planes(fp: np.ndarray) -> np.ndarray:
     """Fingerprints -> 64 bitmaps over the rows."""
     bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    return np.packbits(np.pad(bits, ((0, 0), (0, -len(fp) % 64))), axis=1, bitorder="little").view(np.uint64)
+    packed = np.packbits(np.pad(bits, ((0, 0), (0, -len(fp) % 64))), axis=1, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64)
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
