@@ -1,4 +1,440 @@
 """The driver's queries for the record-linkage operators, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import arbiter, blocking, decide, evaluate, features, mining, model
+from .plans import linkage
+from .sources import records as R
+
+TAUS = (0.1, 0.3, 0.5, 0.7, 0.8, 0.88, 0.95)
+MARGINS = (0.0, 0.04, 0.1, 1.0)
+EDGES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+TAU = 0.5
+
+
+def docs(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def recs(spark, d):
+    return R.from_documents(docs(spark, d))
+
+
+def s1(spark, d):
+    return recs(spark, d).where("source = 'S1'").select(F.col("entity_id").alias("s1_id"))
+
+
+def truth(spark, d):
+    return linkage.truth_of(docs(spark, d), recs(spark, d))
+
+
+def joined(c):
+    return F.array_join(c, "|")
+
+
+def scored(spark, d):
+    return linkage.scored(recs(spark, d))
+
+
+PAIR = ("s1_id", "cand_id")
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL of the shared parts -------------------------------------------------------------------
+
+
+def _rx(x, pattern, to, every=True):
+    return f"regexp_replace({x}, '{pattern}', '{to}'" + (", 'g')" if every else ")")
+
+
+def sql_clean(x):
+    y = f"replace(lower(strip_accents(coalesce({x}, ''))), '&', ' and ')"
+    return f"trim({_rx(_rx(sql_units(_rx(y, r'^[<\-+*#~\s]+', '', False)), r'[^\p{L}\p{N}_\s]', ' '), r'\s+', ' ')})"
+
+
+def sql_units(x):
+    return _rx(_rx(x, r"\b([a-zA-Z]{1,3})\s*[-/]\s*([0-9]+)\b", r"\1\2"), r"\b0+([0-9]+)", r"\1")
+
+
+def sql_swap(x, pairs):
+    x = f"(' ' || replace({x}, ' ', '  ') || ' ')"
+    for old, new in pairs:
+        x = f"replace({x}, ' {old.replace(' ', '  ')} ', ' {new} ')"
+    return f"trim({_rx(x, r'\s+', ' ')})"
+
+
+def sql_stem(x):
+    return f"lower(regexp_extract(coalesce({x}, ''), '(?i){T.DOMAIN}', 1))"
+
+
+def sql_name(x):
+    return sql_swap(f"CASE WHEN {sql_stem(x)} <> '' THEN replace({sql_stem(x)}, '-', ' ') ELSE {sql_clean(x)} END", [(w, "") for w in T.LEGAL])
+
+
+def sql_addr(x):
+    return sql_swap(sql_clean(x), T.ABBREVIATIONS.items())
+
+
+def sql_words(x):
+    return rf"list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w <> '')"
+
+
+def sql_soundex(x):
+    letters = _rx(f"upper({x})", r"[^\p{L}]", "")
+    codes = _rx(f"translate({letters}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')", "[^0-9]", "0")
+    for n in "123456":
+        codes = _rx(codes, f"{n}+", n)
+    return f"CASE WHEN {letters} = '' THEN '' ELSE rpad(substr({letters}, 1, 1) || replace(substr({codes}, 2), '0', ''), 4, '0') END"
+
+
+def sql_in(words):
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+NUMS = r"regexp_extract_all(coalesce({0}, ''), '\b[0-9]+(?:[/-][0-9]+)?\b')"
+PLOTS = r"list_distinct(regexp_extract_all(" + sql_units("lower(coalesce({0}, ''))").replace("{1,3}", "{{1,3}}") + r", '\b[a-z]{{1,3}}[0-9]{{1,5}}\b|\b[0-9]{{1,5}}[a-z]{{1,3}}\b'))"
+COMPS = r"list_distinct(flatten(list_transform(regexp_extract_all(coalesce({0}, ''), '\b[0-9]+(?:[-/][0-9]+)+\b'), lambda m: [translate(m, '/-', '__'), array_to_string(regexp_split_to_array(m, '[-/]')[1:2], '_')])))"
+
+REC = r"""rec AS (SELECT source || '-' || doc_id AS entity_id, source, nm AS business_name, substr(text, length(nm) + 1, 120) AS business_address, lang AS country, doc_id AS seq
+  FROM (SELECT doc_id, text, lang, CASE WHEN CAST(substr(source, 4) AS INTEGER) < 7 THEN 'S1' WHEN CAST(substr(source, 4) AS INTEGER) < 14 THEN 'S2' ELSE 'S3' END AS source, regexp_extract(text, '^[^.\n]{1,80}') AS nm FROM documents))"""
+TRUTH = "truth AS (SELECT a.source || '-' || a.doc_id AS s1_id, b.source || '-' || b.doc_id AS cand_id FROM src a JOIN src b ON a.text = b.text AND a.lang = b.lang WHERE a.source = 'S1' AND b.source <> 'S1')"
+SRC = "src AS (SELECT doc_id, text, lang, CASE WHEN CAST(substr(source, 4) AS INTEGER) < 7 THEN 'S1' WHEN CAST(substr(source, 4) AS INTEGER) < 14 THEN 'S2' ELSE 'S3' END AS source FROM documents)"
+TXT = f"txt AS (SELECT *, {sql_name('business_name')} AS name, {sql_addr('business_address')} AS addr FROM rec)"
+SIG = f"list_filter(aws, lambda t: length(t) >= 4 AND NOT regexp_matches(t, '[0-9]') AND t NOT IN {sql_in((*T.GENERIC, *T.STOP))})"
+ADDR_KEYS = """CASE WHEN addr = '' THEN [] ELSE flatten([
+  list_transform(plots, lambda p: 'plot_' || p), flatten(list_transform(plots, lambda p: list_transform(sig[1:2], lambda w: p || '_' || w))),
+  list_transform(comps, lambda p: 'cnum_' || p), flatten(list_transform(comps, lambda p: list_transform(sig[1:2], lambda w: p || '_' || w))),
+  flatten(list_transform(nums[1:3], lambda p: list_transform(sig[1:3], lambda w: p || '_' || w))),
+  flatten(list_transform(nums[1:3], lambda p: list_transform(last2, lambda w: 'nc_' || p || '_' || w))),
+  CASE WHEN len(sig) >= 2 THEN flatten(list_transform(sig[1:3], lambda a: list_transform(list_filter(last2, lambda b: b <> a), lambda b: 'sc_' || a || '_' || b))) ELSE [] END,
+  list_transform(sig, lambda w: 'loc_' || w),
+  list_transform(generate_series(1, least(5, len(sig) - 1)), lambda i: 'pair_' || least(sig[i], sig[i + 1]) || '_' || greatest(sig[i], sig[i + 1]))]) END"""
+KEYS = f"""k0 AS (SELECT *, {sql_words('name')} AS w, {sql_words('addr')} AS aws, {PLOTS.format('business_address')} AS plots, {COMPS.format('business_address')} AS comps FROM txt),
+k1 AS (SELECT *, w[1] AS f, list_filter(w, lambda t: length(t) >= 2 AND t NOT IN {sql_in(T.STOP)}) AS toks, list_filter(aws, lambda t: regexp_matches(t, '[0-9]')) AS nums, {SIG} AS sig,
+  replace(regexp_extract(lower(business_name), '{T.ANY_DOMAIN}', 1), '-', '') AS dom FROM k0),
+k2 AS (SELECT *, CASE WHEN len(sig) >= 2 THEN sig[-2:] ELSE sig END AS last2, coalesce(f NOT IN {sql_in(T.CITY)} AND length(f) >= 3, false) AS good,
+  list_concat(toks, CASE WHEN dom = '' THEN [] ELSE list_concat([dom], list_filter({list(T.INDUSTRY)}, lambda x: contains(dom, x) AND length(dom) > length(x))) END) AS toks2 FROM k1),
+k3 AS (SELECT *, {ADDR_KEYS} AS akeys FROM k2),
+keyed AS (SELECT entity_id, source, country, seq, cross_, k.idx AS idx, k.key AS key, pos FROM (SELECT entity_id, source, country, seq, lower(country) = 'india' AS cross_, unnest(ks) AS k, generate_subscripts(ks, 1) - 1 AS pos FROM (
+  SELECT *, flatten([CASE WHEN name <> '' THEN [{{'idx': 'exact', 'key': name}}] ELSE [] END, CASE WHEN good THEN [{{'idx': 'first', 'key': f}}, {{'idx': 'sound', 'key': {sql_soundex('f')}}}] ELSE [] END,
+    list_transform(toks2, lambda t: {{'idx': 'token', 'key': t}}), CASE WHEN len(toks) >= 2 THEN [{{'idx': 'four', 'key': array_to_string(list_sort(toks[1:4]), '_')}}] ELSE [] END, list_transform(akeys, lambda t: {{'idx': 'addr', 'key': t}})]) AS ks FROM k3)))"""
+CAP = "capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx, country, key ORDER BY seq, pos, entity_id) AS n FROM keyed WHERE source <> 'S1') WHERE n <= 250)"
+CAND = f"""cand AS (SELECT s1_id, cand_id, block_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY block_score DESC, cand_seq, cand_id) AS rank FROM (
+  SELECT q.entity_id AS s1_id, c.entity_id AS cand_id, c.seq AS cand_seq, CAST(sum(CASE q.idx WHEN 'exact' THEN 40 WHEN 'first' THEN 15 WHEN 'sound' THEN 8 WHEN 'four' THEN 12 WHEN 'token' THEN CASE WHEN q.key IN {sql_in(T.CITY)} THEN 2 ELSE 6 END
+    ELSE CASE WHEN regexp_matches(q.key, '^(plot_|cnum_|pair_)') THEN 15 WHEN regexp_matches(q.key, '^(nc_|sc_)') THEN 12 WHEN q.cross_ THEN 8 ELSE 4 END END) AS BIGINT) AS block_score
+  FROM keyed q JOIN capped c USING (idx, country, key) WHERE q.source = 'S1' GROUP BY ALL)) WHERE rank <= 20)"""
+FEAT = f"""des AS (SELECT entity_id, business_name, name, addr, {sql_stem('business_name')} AS stem, list_distinct({NUMS.format('business_address')}) AS nums, list_distinct(aws) AS aw, list_distinct(w) AS nw, len(w) AS nt, plots, w[1] AS first, country FROM k0),
+feat AS (SELECT c.*, a.name AS an, b.name AS bn, a.plots AS ap, b.plots AS bp, a.nums AS anu, b.nums AS bnu, a.nw AS anw, b.nw AS bnw, a.aw AS aaw, b.aw AS baw, a.first AS af, b.first AS bf, a.country AS ac, b.country AS bc,
+  CAST(a.name <> '' AND a.name = b.name AS DOUBLE) AS exact_name_match, CAST(a.stem <> '' AND a.stem = b.stem AS DOUBLE) AS domain_match_flag,
+  CASE WHEN len(list_distinct(list_concat(a.nums, b.nums))) = 0 THEN 1.0 ELSE len(list_intersect(a.nums, b.nums)) / len(list_distinct(list_concat(a.nums, b.nums))) END::DOUBLE AS number_overlap_ratio,
+  CAST(len(a.nums) > 0 AND len(b.nums) > 0 AND list_sort(a.nums) = list_sort(b.nums) AS DOUBLE) AS exact_number_match, CAST(len(a.nums) > 0 AND len(b.nums) > 0 AND len(list_intersect(a.nums, b.nums)) = 0 AS DOUBLE) AS number_conflict_flag,
+  CASE WHEN len(list_distinct(list_concat(a.aw, b.aw))) = 0 THEN 1.0 ELSE len(list_intersect(a.aw, b.aw)) / len(list_distinct(list_concat(a.aw, b.aw))) END::DOUBLE AS address_token_jaccard, CAST(a.addr = '' OR b.addr = '' AS DOUBLE) AS missing_address_flag,
+  (abs(length(a.name) - length(b.name)) / greatest(length(a.name), length(b.name), 1))::DOUBLE AS name_length_diff, CASE WHEN greatest(a.nt, b.nt) = 0 THEN 1.0 ELSE least(a.nt, b.nt) / greatest(a.nt, b.nt) END::DOUBLE AS token_count_ratio,
+  CASE WHEN len(list_distinct(list_concat(a.nw, b.nw))) = 0 THEN 0.0 ELSE len(list_intersect(a.nw, b.nw)) / len(list_distinct(list_concat(a.nw, b.nw))) END::DOUBLE AS name_jaccard
+  FROM cand c JOIN des a ON a.entity_id = s1_id JOIN des b ON b.entity_id = cand_id),
+sc AS (SELECT *, round(1 / (1 + exp(-(-4.0 + 3.0 * exact_name_match + 3.0 * name_jaccard + 4.0 * address_token_jaccard - 1.0 * number_conflict_flag))), 6) AS p FROM feat)"""
+BLOCK = ", ".join(("WITH " + REC, TXT, KEYS, CAP, CAND))
+SCORED = ", ".join((BLOCK, FEAT, SRC, TRUTH, "s1 AS (SELECT entity_id AS s1_id FROM rec WHERE source = 'S1')"))
+
+
+def sql_entities(pred: str) -> str:
+    return f"""{SCORED}, pred AS ({pred}), t AS (SELECT s1_id, count(DISTINCT cand_id) AS nt FROM truth GROUP BY 1), q AS (SELECT s1_id, count(DISTINCT cand_id) AS nq FROM pred GROUP BY 1),
+h AS (SELECT s1_id, count(*) AS tp FROM (SELECT s1_id, cand_id FROM truth INTERSECT SELECT s1_id, cand_id FROM pred) GROUP BY 1),
+e AS (SELECT s1_id, CAST(coalesce(nt, 0) AS INTEGER) AS n_true, CAST(coalesce(nq, 0) AS INTEGER) AS n_pred, CAST(coalesce(tp, 0) AS INTEGER) AS tp FROM s1 LEFT JOIN t USING (s1_id) LEFT JOIN q USING (s1_id) LEFT JOIN h USING (s1_id)),
+f AS (SELECT *, round(CASE WHEN n_true = 0 THEN CAST(n_pred = 0 AS DOUBLE) WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) END, 6) AS f05 FROM e)"""
+
+
+# --- queries -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {REC} SELECT * FROM rec")
+def records_adapter(spark, d):
+    return recs(spark, d)
+
+
+@query(f"WITH {REC} SELECT entity_id, {sql_name('business_name')} AS name FROM rec")
+def norm_name(spark, d):
+    return recs(spark, d).select("entity_id", T.business_name(F.col("business_name")).alias("name"))
+
+
+@query(f"WITH {REC} SELECT entity_id, {sql_addr('business_address')} AS addr FROM rec")
+def norm_addr(spark, d):
+    return recs(spark, d).select("entity_id", T.address(F.col("business_address")).alias("addr"))
+
+
+@query(f"SELECT c_custkey, {sql_clean('c_name')} AS cleaned, {sql_units('c_name')} AS united FROM customer")
+def clean_units(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.select("c_custkey", T.clean(F.col("c_name")).alias("cleaned"), T.units(F.col("c_name")).alias("united"))
+
+
+@query(f"SELECT doc_id, array_to_string({NUMS.format('text')}, '|') AS nums, array_to_string(list_sort({PLOTS.format('text')}), '|') AS plots, array_to_string(list_sort({COMPS.format('text')}), '|') AS comps FROM documents")
+def number_codes(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", joined(T.numbers(t)).alias("nums"), joined(F.array_sort(T.plot_codes(t))).alias("plots"), joined(F.array_sort(T.compound_numbers(t))).alias("comps"))
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest({sql_words('p_name')}) AS word FROM part) SELECT word, {sql_soundex('word')} AS code, array_to_string(CASE WHEN length(word) < 3 THEN [word] ELSE list_transform(generate_series(1, length(word) - 2), lambda i: substr(word, i, 3)) END, '|') AS grams FROM w")
+def soundex_trigrams(spark, d):
+    w = spark.read.parquet(f"{d}/part.parquet").select(F.explode(T.words(F.col("p_name"))).alias("word")).distinct()
+    return w.select("word", T.soundex(F.col("word")).alias("code"), joined(T.trigrams(F.col("word"))).alias("grams"))
+
+
+@query(f"SELECT page_id, {sql_stem('url')} AS stem, replace(regexp_extract(lower(url), '{T.ANY_DOMAIN}', 1), '-', '') AS loose FROM pages")
+def domain_stem(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", T.domain_stem(F.col("url")).alias("stem"), F.coalesce(F.get(T.loose_domain(F.col("url")), F.lit(0)), F.lit("")).alias("loose"))
+
+
+@query(f"WITH {REC}, {TXT}, {KEYS} SELECT entity_id, array_to_string(akeys, '|') AS keys FROM k3")
+def address_keys(spark, d):
+    t = blocking.with_text(recs(spark, d))
+    return t.select("entity_id", joined(blocking.address_keys(F.col("addr"), F.col("business_address"))).alias("keys"))
+
+
+@query(f"WITH {REC}, {TXT}, {KEYS}, {CAP} SELECT entity_id, idx, country, key, CAST(pos AS INTEGER) AS pos, CAST(n AS INTEGER) AS n FROM capped")
+def postings_capped(spark, d):
+    keys = blocking.keyed(blocking.with_text(recs(spark, d).where("source <> 'S1'")))
+    return blocking.capped(keys, blocking.BLOCKER.cap).select("entity_id", "idx", "country", "key", "pos", "n")
+
+
+@query(f"{BLOCK} SELECT * FROM cand")
+def block_topk(spark, d):
+    return blocking.candidates(recs(spark, d))
+
+
+SETS = "exact_name_match domain_match_flag number_overlap_ratio exact_number_match number_conflict_flag address_token_jaccard missing_address_flag name_length_diff token_count_ratio name_jaccard".split()
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, p, {', '.join(f'round({c}, 6) AS {c}' for c in SETS)} FROM sc")
+def pair_features_set(spark, d):
+    return scored(spark, d).select(*PAIR, "p", *[F.round(c, 6).alias(c) for c in SETS])
+
+
+@query(f"""{SCORED} SELECT s1_id, cand_id, CAST(coalesce(af = bf AND length(af) > 0, false) AS DOUBLE) AS name_first_word_match,
+CASE WHEN least(len(anw), len(bnw)) = 0 THEN 0.0 ELSE round(len(list_intersect(anw, bnw)) / least(len(anw), len(bnw)), 6) END::DOUBLE AS name_containment_ratio,
+CASE WHEN len(anu) = 0 OR len(bnu) = 0 THEN 0.5 WHEN len(list_intersect(anu, bnu)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS number_match, CASE WHEN len(ap) = 0 OR len(bp) = 0 THEN 0.5 WHEN len(list_intersect(ap, bp)) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS plot_code_match,
+CAST(len(ap) > 0 AND len(bp) > 0 AND len(list_intersect(ap, bp)) = 0 AS DOUBLE) AS plot_code_conflict, CAST(upper(ac) = upper(bc) AS DOUBLE) AS country_match, round(1.0 / rank, 6)::DOUBLE AS reciprocal_rank,
+CAST(len(list_filter(list_intersect(aaw, baw), lambda x: length(x) > 3 AND x NOT IN {sql_in(T.GENERIC)})) > 0 AS DOUBLE) AS has_matching_street_token FROM sc""")
+def pair_features_first_generation(spark, d):
+    r = recs(spark, d)
+    names = "name_first_word_match name_containment_ratio number_match plot_code_match plot_code_conflict country_match reciprocal_rank has_matching_street_token".split()
+    f = features.paired(blocking.candidates(r), r).select(*PAIR, *features.first_generation())
+    return f.select(*PAIR, *[F.round(c, 6).alias(c) for c in names])
+
+
+ASCII = "NOT regexp_matches(an || bn, '[^\\x00-\\x7F]') AND an <> '' AND bn <> ''"
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, round(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), 6) AS levenshtein_ratio, round(jaro_winkler_similarity(an, bn), 6) AS jaro_winkler FROM sc WHERE {ASCII}")
+def pair_features_edit(spark, d):
+    """SQL's distances count bytes, so pairs with characters beyond ASCII stay out of this comparison."""
+    r = recs(spark, d)
+    f = features.paired(blocking.candidates(r), r).where("NOT concat(a.name, b.name) RLIKE '[^\\\\x00-\\\\x7F]' AND a.name <> '' AND b.name <> ''")
+    return f.select(*PAIR, *features.kernel_features()[:2]).select(*PAIR, *[F.round(c, 6).alias(c) for c in ("levenshtein_ratio", "jaro_winkler")])
+
+
+@query()
+def pair_features_token(spark, d):
+    r = recs(spark, d)
+    return features.paired(blocking.candidates(r, 5), r).select(*PAIR, *features.kernel_features())
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, p FROM sc WHERE p >= {TAU}")
+def decide_threshold(spark, d):
+    return decide.threshold(scored(spark, d), TAU).select(*PAIR, "p")
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, p FROM (SELECT *, max(p) OVER (PARTITION BY s1_id) AS top FROM sc) WHERE p >= {TAU} AND round(top - p, 6) <= 0.04")
+def decide_margin(spark, d):
+    return decide.margin(scored(spark, d), TAU, 0.04).select(*PAIR, "p")
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, p FROM (SELECT *, max(p) OVER (PARTITION BY s1_id) AS top, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, rank, cand_id) AS place FROM sc) WHERE (place = 1 AND p >= 0.7) OR (place > 1 AND top >= 0.7 AND p >= 0.88 AND round(top - p, 6) <= 0.04)")
+def decide_top1(spark, d):
+    return decide.strict_top1(scored(spark, d)).select(*PAIR, "p")
+
+
+@query(f"{SCORED} SELECT band, count(*) AS n FROM (SELECT CASE WHEN p >= 0.88 THEN 'clear_match' WHEN p < 0.35 THEN 'reject' ELSE 'borderline' END AS band FROM sc) GROUP BY 1")
+def decide_band(spark, d):
+    return scored(spark, d).groupBy(decide.band().alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, round(CASE WHEN len(ap) > 0 AND len(bp) > 0 AND list_sort(ap) <> list_sort(bp) THEN least(0.15 * p, 0.25) ELSE p END, 6) AS p FROM sc")
+def decide_attenuate(spark, d):
+    return decide.attenuated(scored(spark, d)).select(*PAIR, F.round("p", 6).alias("p"))
+
+
+@query(f"{SCORED} SELECT count(*) AS n, count(*) FILTER (WHERE NOT number_conflict_flag = 1) AS conflict, count(*) FILTER (WHERE NOT (number_conflict_flag = 1 AND p < 0.97)) AS conflict_unless_sure, count(*) FILTER (WHERE NOT (number_conflict_flag = 1 AND number_overlap_ratio = 0)) AS overlap, count(*) FILTER (WHERE NOT (exact_number_match <> 1 AND number_conflict_flag = 1)) AS inexact FROM sc WHERE p >= {TAU}")
+def decide_veto(spark, d):
+    return decide.threshold(scored(spark, d), TAU).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in decide.vetoes().items()])
+
+
+@query(f"{SCORED} SELECT s1_id, coalesce(ids, '') AS ids FROM s1 LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS ids FROM sc WHERE p >= 0.95 GROUP BY 1) USING (s1_id)")
+def final_lists(spark, d):
+    return decide.lists(decide.threshold(scored(spark, d), 0.95), recs(spark, d)).select("s1_id", F.array_join("ids", ",").alias("ids"))
+
+
+@query(sql_entities(f"SELECT s1_id, cand_id FROM sc WHERE p >= {TAU}") + " SELECT s1_id, n_true, n_pred, tp, f05 FROM f")
+def f05_by_entity(spark, d):
+    return evaluate.by_entity(s1(spark, d), truth(spark, d), decide.threshold(scored(spark, d), TAU))
+
+
+@query(sql_entities(f"SELECT s1_id, cand_id FROM sc WHERE p >= {TAU}") + " SELECT count(*) AS n_entities, round(avg(f05), 6) AS macro_f05, round(avg(f05) FILTER (WHERE n_true = 0), 6) AS singleton_f05, round(avg(f05) FILTER (WHERE n_true > 0), 6) AS matched_f05 FROM f")
+def macro_f05(spark, d):
+    return evaluate.macro(f05_by_entity(spark, d))
+
+
+def sql_sweep(margins) -> str:
+    grid = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS tau, {m}::DOUBLE AS m" for t in TAUS for m in margins)
+    return f"""{SCORED}, grid AS ({grid}), mk AS (SELECT sc.s1_id, sc.cand_id, p, max(p) OVER (PARTITION BY sc.s1_id) AS top, EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = sc.s1_id AND t.cand_id = sc.cand_id) AS hit FROM sc),
+g AS (SELECT tau, m, s1_id, count(*) AS nq, count(*) FILTER (WHERE hit) AS tp FROM mk JOIN grid ON p >= tau AND round(top - p, 6) <= m GROUP BY ALL), nt AS (SELECT s1_id, count(DISTINCT cand_id) AS nt FROM truth GROUP BY 1),
+f AS (SELECT tau, m, coalesce(nq, 0) AS nq, coalesce(tp, 0) AS tp, coalesce(nt, 0) AS nt FROM grid CROSS JOIN s1 LEFT JOIN g USING (tau, m, s1_id) LEFT JOIN nt USING (s1_id))
+SELECT tau, m, round(avg(CASE WHEN nt = 0 THEN CAST(nq = 0 AS DOUBLE) WHEN tp = 0 THEN 0.0 ELSE 1.25 * (tp / nq) * (tp / nt) / (0.25 * (tp / nq) + tp / nt) END), 6) AS macro_f05, CAST(sum(nq) AS BIGINT) AS predicted_links, count(*) FILTER (WHERE nq > 0) AS s1_with_predictions FROM f GROUP BY tau, m"""
+
+
+def _sweep(spark, d, margins):
+    grid = spark.createDataFrame([(t, m) for t in TAUS for m in margins], "tau double, m double")
+    return evaluate.sweep(s1(spark, d), truth(spark, d), scored(spark, d), grid)
+
+
+@query(sql_sweep((1.0,)))
+def threshold_sweep(spark, d):
+    return _sweep(spark, d, (1.0,))
+
+
+@query(sql_sweep(MARGINS))
+def grid_sweep(spark, d):
+    return _sweep(spark, d, MARGINS)
+
+
+@query(f"""{SCORED}, h AS (SELECT s1_id, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM cand c WHERE c.s1_id = t.s1_id AND c.cand_id = t.cand_id)) AS h FROM truth t GROUP BY 1)
+SELECT count(*) AS entities_with_truth, CAST(sum(n) AS BIGINT) AS true_links, CAST(sum(h) AS BIGINT) AS captured_links, round(sum(h) / sum(n), 6) AS link_recall, round(avg(CAST(h = n AS DOUBLE)), 6) AS entity_recall, (SELECT count(*) FROM cand) AS candidate_pairs, (SELECT count(*) FROM s1) AS n_s1, round((SELECT count(*) FROM cand) / (SELECT count(*) FROM s1), 6) AS avg_candidates FROM h""")
+def blocking_recall(spark, d):
+    return evaluate.recall(s1(spark, d), truth(spark, d), blocking.candidates(recs(spark, d)))
+
+
+OUT = f"o AS (SELECT *, CASE WHEN p >= {TAU} AND hit THEN 'TP' WHEN p >= {TAU} THEN 'FP' WHEN hit THEN 'FN' ELSE 'TN' END AS outcome FROM (SELECT sc.*, EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = sc.s1_id AND t.cand_id = sc.cand_id) AS hit FROM sc))"
+
+
+def _outcome(spark, d):
+    return evaluate.outcome(scored(spark, d), truth(spark, d), TAU)
+
+
+@query(f"{SCORED}, {OUT} SELECT outcome, count(*) AS n, round(avg(p), 6) AS mean, round(median(p), 6) AS median, min(p) AS least, max(p) AS most FROM o GROUP BY 1")
+def prob_distribution(spark, d):
+    return evaluate.distribution(_outcome(spark, d))
+
+
+@query(f"{SCORED} SELECT CAST(CASE WHEN p <= 0.1 THEN 0 WHEN p <= 0.25 THEN 1 WHEN p <= 0.5 THEN 2 WHEN p <= 0.75 THEN 3 WHEN p <= 0.9 THEN 4 ELSE 5 END AS INTEGER) AS bin, count(*) AS n FROM sc GROUP BY 1")
+def prob_histogram(spark, d):
+    return evaluate.histogram(scored(spark, d), EDGES)
+
+
+@query(f"{SCORED}, {OUT} SELECT s1_id, cand_id, p FROM o WHERE outcome = 'FP' ORDER BY p DESC, s1_id, cand_id LIMIT 50")
+def topk_fp(spark, d):
+    return _outcome(spark, d).where("outcome = 'FP'").orderBy(F.desc("p"), "s1_id", "cand_id").limit(50).select(*PAIR, "p")
+
+
+@query(f"{SCORED}, {OUT} SELECT CAST(sum(CAST(hit AS INTEGER)) AS BIGINT) AS n_pos, CAST(sum(CAST(NOT hit AS INTEGER)) AS BIGINT) AS n_neg, round((sum(r) FILTER (WHERE hit) - sum(CAST(hit AS INTEGER)) * (sum(CAST(hit AS INTEGER)) + 1) / 2) / (sum(CAST(hit AS INTEGER)) * sum(CAST(NOT hit AS INTEGER))), 6) AS auc FROM (SELECT hit, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS r FROM o)")
+def roc_auc(spark, d):
+    return evaluate.auc(_outcome(spark, d))
+
+
+FLAGS = {"number_conflict": "number_conflict_flag = 1", "no_overlap": "number_overlap_ratio = 0", "exact_number": "exact_number_match = 1", "missing_address": "missing_address_flag = 1", "exact_name": "exact_name_match = 1", "low_address": "address_token_jaccard < 0.3"}
+
+
+@query(f"{SCORED} SELECT count(*) AS n, {', '.join(f'count(*) FILTER (WHERE {c}) AS {k}, round(100 * count(*) FILTER (WHERE {c}) / count(*), 6) AS {k}_pct' for k, c in FLAGS.items())} FROM sc")
+def conflict_profile(spark, d):
+    return evaluate.conflicts(scored(spark, d))
+
+
+@query(f"{SCORED} SELECT DISTINCT s1_id, cand_id, 1 AS label FROM truth UNION ALL SELECT s1_id, cand_id, 0 FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY rank) AS n FROM cand WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = cand.s1_id AND t.cand_id = cand.cand_id)) WHERE n <= 5")
+def training_pairs(spark, d):
+    return mining.training_pairs(blocking.candidates(recs(spark, d)), truth(spark, d))
+
+
+@query(f"""{SCORED}, m AS (SELECT s1_id, cand_id, CAST(CASE WHEN exact_name_match = 1 THEN 50 ELSE 0 END + least(8 * len(list_intersect(anw, bnw)), 32) + least(10 * len(list_intersect(aaw, baw)), 40) + CASE WHEN len(anu) > 0 AND len(bnu) > 0 THEN CASE WHEN len(list_intersect(anu, bnu)) > 0 THEN 20 ELSE 5 END ELSE 0 END AS INTEGER) AS score FROM sc WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = sc.s1_id AND t.cand_id = sc.cand_id))
+SELECT s1_id, cand_id, score, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id DESC) AS n FROM m) WHERE n <= 25""")
+def blocking_score_mining(spark, d):
+    pairs = scored(spark, d).select(*PAIR, mining.blocking_score())
+    return mining.reverse_mined(pairs, truth(spark, d))
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, exact_number_match = 1 AND address_token_jaccard >= 0.5 AND name_jaccard < 0.7 AS number_address_trap, name_jaccard >= 0.9 AND address_token_jaccard >= 0.4 AS name_address, name_jaccard >= 0.85 AND number_conflict_flag = 1 AS name_conflict, address_token_jaccard >= 0.7 AND name_jaccard < 0.3 AS address_only FROM sc WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = sc.s1_id AND t.cand_id = sc.cand_id)")
+def hard_negatives(spark, d):
+    rest = scored(spark, d).join(truth(spark, d), list(PAIR), "left_anti")
+    return rest.select(*PAIR, *[c.alias(k) for k, c in mining.hard_negative_rules().items()])
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, band, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY s1_id, cand_id) AS n FROM (SELECT s1_id, cand_id, CASE WHEN p >= 0.88 THEN 'clear_match' WHEN p < 0.35 THEN 'reject' ELSE 'borderline' END AS band FROM sc)) WHERE n <= CASE band WHEN 'clear_match' THEN 40 WHEN 'borderline' THEN 60 ELSE 30 END")
+def quota_sample(spark, d):
+    rows = scored(spark, d).select(*PAIR, decide.band().alias("band"))
+    return mining.quota(rows, "band", {"clear_match": 40, "borderline": 60, "reject": 30}, list(PAIR)).select(*PAIR, "band", "n")
+
+
+ACC = f"acc AS (SELECT s1_id, cand_id FROM sc WHERE p >= {TAU})"
+BORDER = f"bl AS (SELECT s1_id, arg_min(cand_id, rank) AS cand_id, CASE WHEN EXISTS (SELECT 1 FROM acc WHERE acc.s1_id = r.s1_id) THEN 'secondary_candidate' ELSE 'rejected_top1' END AS case_type FROM (SELECT * FROM cand ANTI JOIN acc USING (s1_id, cand_id)) r GROUP BY s1_id)"
+
+
+@query(f"{SCORED}, {ACC}, {BORDER} SELECT s1_id, cand_id, case_type FROM bl")
+def borderline_extract(spark, d):
+    sc = scored(spark, d)
+    return decide.borderline(sc.select(*PAIR, "rank"), decide.threshold(sc, TAU))
+
+
+RULE = "v AS (SELECT s1_id, cand_id, round(0.5 * name_jaccard + 0.5 * address_token_jaccard, 6) AS g FROM sc JOIN bl USING (s1_id, cand_id))"
+
+
+@query(f"{SCORED}, {ACC}, {BORDER}, {RULE}, l AS (SELECT s1_id, list_sort(list(cand_id)) AS ids FROM acc GROUP BY 1) SELECT s1_id, array_to_string(CASE WHEN g >= 0.6 AND greatest(g, round(1 - g, 6)) >= 0.7 THEN [v.cand_id] WHEN g < 0.6 THEN [] ELSE coalesce(ids, []) END, ',') AS ids FROM v LEFT JOIN l USING (s1_id) UNION ALL SELECT s1_id, array_to_string(coalesce(ids, []), ',') FROM s1 ANTI JOIN v USING (s1_id) LEFT JOIN l USING (s1_id)")
+def patch_verdicts(spark, d):
+    sc = scored(spark, d)
+    accepted = decide.threshold(sc, TAU)
+    hard = decide.borderline(sc.select(*PAIR, "rank"), accepted)
+    verdicts = arbiter.by_rule(sc.join(hard.select(*PAIR), list(PAIR)))
+    return decide.patched(decide.lists(accepted, recs(spark, d)), verdicts).select("s1_id", F.array_join("ids", ",").alias("ids"))
+
+
+def _merged(spark, d):
+    sc = scored(spark, d)
+    accepted = decide.threshold(sc, TAU)
+    r = recs(spark, d)
+    ids = r.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"), "seq")
+    return decide.merged(ids, decide.lists(accepted, r), decide.trimmed_candidates(sc.select(*PAIR, "rank", "p"), accepted))
+
+
+@query(f"""{SCORED}, {ACC}, pl AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, rank, cand_id) AS place, p >= {TAU} AS hit FROM sc), a2 AS (SELECT *, bool_or(hit) OVER (PARTITION BY s1_id) AS any_ FROM pl),
+c AS (SELECT s1_id, string_agg(cand_id, ',' ORDER BY place) AS cand_ids FROM a2 WHERE hit OR place <= CASE WHEN any_ THEN 3 ELSE 2 END GROUP BY 1), l AS (SELECT s1_id, string_agg(cand_id, ',' ORDER BY cand_id) AS ids FROM acc GROUP BY 1)
+SELECT s1_id, coalesce(ids, '') AS ids, coalesce(cand_ids, '') AS cand_ids FROM s1 LEFT JOIN l USING (s1_id) LEFT JOIN c USING (s1_id)""")
+def merge_submission(spark, d):
+    return _merged(spark, d).select("s1_id", F.array_join("ids", ",").alias("ids"), F.array_join("cand_ids", ",").alias("cand_ids"))
+
+
+@query("SELECT unnest(['v1_missing_or_repeated', 'v2_unknown_s1', 'v3_unknown_id', 'v4_repeats', 'v5_self', 'v6_not_candidate']) AS rule, CAST(0 AS BIGINT) AS n")
+def validate_submission(spark, d):
+    return decide.violations(s1(spark, d), recs(spark, d).where("source <> 'S1'"), _merged(spark, d))
+
+
+@query()
+def parse_verdict(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", T.parse_verdict(F.col("props")).alias("v")).select("event_id", "v.*")
+
+
+@query()
+def gbt_score(spark, d):
+    pairs = scored(spark, d).drop("a", "b", "p").join(truth(spark, d).withColumn("label", F.lit(1.0)), list(PAIR), "left").na.fill(0.0, ["label"]).withColumn("held", ~mining.split())
+    return model.predict(model.train(pairs), pairs).select(*PAIR, "label", "held", "p")
