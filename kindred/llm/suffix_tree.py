@@ -14,7 +14,7 @@ in one place, and nothing depends on a key's frequency: a key occurs once a chun
 events of contexts of over ``hot`` occurrences are dealt by event, not by context.  The statistics of
 those contexts, at most ``HOT_CONTEXTS`` by the choice of ``hot``, are the only ones sent to all.
 
-Words and contexts are identified by 64-bit hashes.  Null texts count as empty, null ids as ''.
+Words and contexts are identified by 64-bit hashes, a context's successors by 48 bits of theirs.  Null texts count as empty, null ids as ''.
 Repeated rows count and are scored each; an empty table gives an empty result; further columns are
 ignored.
 """
@@ -50,6 +50,14 @@ def _unpack(b: bytes, n: int, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
+def _sized(x: np.ndarray) -> bytes:
+    return np.int64(len(x)).tobytes() + _pack(x)
+
+
+def _unsized(b: bytes, kind) -> np.ndarray:
+    return _unpack(b[8:], int(np.frombuffer(b, np.int64, 1)[0]), kind)
+
+
 def _arr(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(b, kind)
 
@@ -167,15 +175,17 @@ class _Chunk:
         seen = np.bincount(inv, self.train[at], minlength=len(key)).astype(np.uint32)
         ctx, cc = self.ctx[first], ctx_count[first]
         order, part = self.order(key, ctx, cc, hot, parts)
-        key, ctx, cc, seen, lp = key[order], ctx[order], cc[order], seen[order], np.log10(self.p[first])[order].astype(np.float16)
+        word = (self.h[first][order] & np.uint64(2**48 - 1)).view(np.uint8).reshape(-1, 8)[:, :6]  # a context's successors are known by 48 bits
+        ctx, cc, seen = ctx[order], cc[order], seen[order]
+        lp = np.clip(np.rint(-25 * np.log10(self.p[first])[order]), 0, 255).astype(np.uint8)
         rows, cut = [], np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             x, y = cut[p], cut[p + 1]
             if y > x:
-                c, i = np.unique(ctx[x:y], return_inverse=True)
-                n = np.zeros(len(c), np.int64)
-                n[i] = cc[x:y]
-                rows.append((self.chunk, p, key[x:y].tobytes(), seen[x:y].tobytes(), lp[x:y].tobytes(), np.concatenate([c, n.view(np.uint64)]).tobytes(), i.astype(np.uint32).tobytes()))
+                at_ctx = np.flatnonzero(np.concatenate([[True], ctx[x + 1 : y] != ctx[x : y - 1]]))
+                each = np.diff(np.concatenate([at_ctx, [y - x]])).astype(np.uint32)
+                heads = np.concatenate([ctx[x:y][at_ctx], cc[x:y][at_ctx].view(np.uint64)])
+                rows.append((self.chunk, p, word[x:y].tobytes(), _sized(seen[x:y]), _sized(lp[x:y]), heads.tobytes(), _sized(each)))
         return rows
 
     @staticmethod
@@ -191,8 +201,8 @@ class _Chunk:
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         got = [answers[p] for p in sorted(answers)]
-        counts = np.concatenate([_arr(x["a"], np.uint32) for x in got] or [np.zeros(0, np.uint32)])[back].astype(np.int64)
-        kinds = np.concatenate([_arr(x["b"], np.uint32) for x in got] or [np.zeros(0, np.uint32)])[back].astype(np.int64)
+        counts = np.concatenate([_unsized(x["a"], np.uint32) for x in got] or [np.zeros(0, np.uint32)])[back].astype(np.int64)
+        kinds = np.concatenate([_unsized(x["b"], np.uint32) for x in got] or [np.zeros(0, np.uint32)])[back].astype(np.int64)
         ids, ks = hot_states.get(self.level, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         if len(ids):
             i = np.minimum(np.searchsorted(ids, ctx), len(ids) - 1)
@@ -226,16 +236,18 @@ def _add_events(t: pa.Table, hot: int, gain: float) -> pa.Table:
     Rows with chunk -1 have what this part knows of contexts of ``hot`` occurrences or more.
     """
     col = {c: t.column(c).to_pylist() for c in "abcde"}
-    keys = [_arr(x, np.uint64) for x in col["a"]]
+    keys, ctx, cc = [], [], []
+    for a, d, e in zip(col["a"], col["d"], col["e"], strict=True):
+        word = np.zeros((len(a) // 6, 8), np.uint8)
+        word[:, :6] = np.frombuffer(a, np.uint8).reshape(-1, 6)
+        both, each = _arr(d, np.uint64), _unsized(e, np.uint32)
+        ctx.append(np.repeat(both[: len(both) // 2], each))
+        cc.append(np.repeat(both[len(both) // 2 :].view(np.int64), each))
+        keys.append(mix(ctx[-1], word.view(np.uint64).ravel()))
     cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    ctx, cc = [], []
-    for d, e in zip(col["d"], col["e"], strict=True):
-        both, i = _arr(d, np.uint64), _arr(e, np.uint32)
-        ctx.append(both[: len(both) // 2][i])
-        cc.append(both[len(both) // 2 :].view(np.int64)[i])
     key, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    count = np.bincount(inv, np.concatenate([_arr(x, np.uint32) for x in col["b"]])).astype(np.int64)
-    p = 10.0 ** np.concatenate([_arr(x, np.float16) for x in col["c"]])[first].astype(np.float64)
+    count = np.bincount(inv, np.concatenate([_unsized(x, np.uint32) for x in col["b"]])).astype(np.int64)
+    p = 10.0 ** (np.concatenate([_unsized(x, np.uint8) for x in col["c"]])[first] / -25.0)
     own, n = np.concatenate(ctx)[first], np.concatenate(cc)[first]
     state, at = np.unique(own, return_inverse=True)
     kinds = np.bincount(at, count > 0).astype(np.int64)
@@ -251,7 +263,7 @@ def _add_events(t: pa.Table, hot: int, gain: float) -> pa.Table:
     kept = (np.bincount(at, each) >= gain) & ~is_hot
     answer = np.where(kept, kinds, 0)[at].astype(np.uint32)
     small = np.minimum(count, 2**32 - 1).astype(np.uint32)
-    rows = [(c, part, small[inv[cut[i] : cut[i + 1]]].tobytes(), answer[inv[cut[i] : cut[i + 1]]].tobytes(), b"", b"", b"") for i, c in enumerate(t.column("chunk").to_pylist())]
+    rows = [(c, part, _sized(small[inv[cut[i] : cut[i + 1]]]), _sized(answer[inv[cut[i] : cut[i + 1]]]), b"", b"", b"") for i, c in enumerate(t.column("chunk").to_pylist())]
     if is_hot.any():
         bare = np.where(count > 0, count * np.log10(np.maximum(np.maximum(count - 1 - DISCOUNT, 0) / np.maximum(n - 1, 1), p / 10) / p), 0.0)
         gains = np.bincount(at, bare)[is_hot]
@@ -278,7 +290,7 @@ def _step(left: pa.Table, right: pa.Table, plan: dict, final: bool) -> pa.Table:
     return c.scores(plan["n"]) if final else pa.Table.from_batches([_blobs(c.ask(plan["least"], plan["hot"], plan["parts"]))])
 
 
-def score(docs: DataFrame, depth: int = 2, least: int = 16, gain: float = 6.0) -> DataFrame:
+def score(docs: DataFrame, depth: int = 2, least: int = 32, gain: float = 6.0) -> DataFrame:
     """Base and suffix-tree scores of (doc_id, text, held boolean); learns from rows that are not held."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
@@ -299,7 +311,8 @@ def score(docs: DataFrame, depth: int = 2, least: int = 16, gain: float = 6.0) -
 
     def pass_over(final: bool, schema: str) -> DataFrame:
         now = dict(plan)
-        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, y: _step(x, y, now, final), schema)
+        needed = chunks.select("chunk", "n_all", "ids", "held", "lens", "vocab", "toks")
+        return needed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, y: _step(x, y, now, final), schema)
 
     for k in range(1, depth + 1):
         got = level(pass_over(False, BLOBS), lambda t: _add_events(t, plan["hot"], gain))
