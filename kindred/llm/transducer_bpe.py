@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer.
 
-The corpus's most frequent words (``LEXICON`` of them, by counts over all texts) are compiled into a
+The corpus's most frequent words (at most ``LEXICON``, by counts over all texts) are compiled into a
 deterministic automaton whose equal suffixes are shared.  Its edges carry numbers; their sum along a
 word's path is the word's number, which points to the word's ids.  Workers map its arrays from a
 file and walk it with all distinct words of a batch at once.  Words outside it are merged exactly,
@@ -28,6 +28,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 LEXICON = 65_536
 MARK = "S<"  # before the name of a special token; no word has an upper-case letter
 SIMPLE = tuple(".,;:!?")
@@ -286,6 +288,11 @@ def _counts(batches, special: dict):
     yield rows()
 
 
+def frequency_class(n: str):
+    """A count itself below 1,024, beyond that 128 classes for each doubling; larger counts never have smaller classes."""
+    return F.when(F.col(n) < 1024, F.col(n)).otherwise(F.floor(128 * F.log2(n)) - 256).cast("long")
+
+
 class Coder:
     """Ids of words: from the lexicon, else by merges."""
 
@@ -342,12 +349,24 @@ def _digests(batches, shared, memory: int = 300_000):
 
 
 def lexicon_of(texts: DataFrame, vocab: Vocabulary, size: int = LEXICON) -> bytes:
-    """The transducer of the most frequent words of column ``text``; at most ``size`` words reach the driver."""
-    special = vocab.special
+    """The transducer of the most frequent words of column ``text``.
+
+    The lexicon is every word above the least frequency class that at most ``size`` words exceed, so
+    no more than ``size`` words reach the driver however many partitions there are.
+    """
+    special, scratch = vocab.special, Scratch(texts.sparkSession)
     counted = texts.select("text").mapInArrow(lambda it: _counts(it, special), "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(~F.col("word").startswith(MARK)).orderBy(F.desc("n"), "word").limit(size)
-    words = sorted(r.word.encode() for r in top.select("word").collect())
-    return compile_lexicon(words, vocab.merge(words))
+    words = scratch.put(counted.groupBy("word").agg(F.sum("n").alias("n")).where(~F.col("word").startswith(MARK)).select("word", frequency_class("n").alias("class")))
+    sizes = {r["class"]: r["count"] for r in words.groupBy("class").count().collect()}  # a few thousand classes at most
+    least, taken = max(sizes, default=0) + 1, 0
+    for c in sorted(sizes, reverse=True):
+        taken += sizes[c]
+        if taken > size:
+            break
+        least = c
+    top = sorted(r.word.encode() for r in words.where(F.col("class") >= least).select("word").collect())
+    scratch.drop(words)
+    return compile_lexicon(top, vocab.merge(top))
 
 
 def digests(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
