@@ -40,6 +40,18 @@ def usable(vectors: DataFrame, zero: bool = False) -> DataFrame:
     return rows.where(F.size("v") == (size["n"] if size else 0))
 
 
+def drawn(rows: DataFrame, size: int) -> DataFrame:
+    """The ``size`` rows whose ids hash lowest, all rows if fewer.
+
+    The hashes are cut off above a share of rows that is expected to hold a quarter more, so that the
+    partitions together, not each of them, send about that many to the driver.
+    """
+    n, h = rows.count(), F.xxhash64("vec_id")
+    if n > 4 * size:
+        rows = rows.where(h < F.lit(int(1.25 * size / n * 2**64) - 2**63))
+    return rows.orderBy(h, "vec_id").limit(size)
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     out = np.empty((len(x), k), np.int64)
     for i in range(0, len(x), 1024):
@@ -158,7 +170,7 @@ def search(vectors: DataFrame, every: int, k: int = 20, parts: int = 32, target:
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = scratch.put(usable(vectors))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = drawn(rows, SAMPLE).toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = np.array(sample["v"].tolist(), dtype=np.float64)
