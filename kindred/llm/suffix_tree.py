@@ -43,11 +43,17 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+    """Compressed by byte planes: the high bytes of sorted hashes and of small numbers cost next to nothing."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b""
 
 
 def _unpack(b: bytes, n: int, kind) -> np.ndarray:
-    return np.frombuffer(pa.decompress(b, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(b, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _sized(x: np.ndarray) -> bytes:
@@ -62,6 +68,18 @@ def _arr(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(b, kind)
 
 
+def _by_count(trained: np.ndarray) -> np.ndarray:
+    """Places in the sorted vocabulary of a chunk, most frequent word first; token indexes count in this order."""
+    return np.argsort(-trained.astype(np.int64), kind="stable")
+
+
+def _runs(part: np.ndarray):
+    """(part, start, end) of each run of equal parts."""
+    if len(part):
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        yield from zip(part[cut[:-1]].tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+
+
 def _encode(batches):
     """(doc_id, held, text) -> chunks."""
     import pyarrow.compute as pc
@@ -79,11 +97,13 @@ def _encode(batches):
         vocab, toks = np.unique(hashes, return_inverse=True)
         train = np.repeat(held == 0, lens)
         trained = np.bincount(toks[train], minlength=len(vocab)).astype(np.uint32)
+        place = np.empty(len(vocab), np.uint32)
+        place[_by_count(trained)] = np.arange(len(vocab), dtype=np.uint32)
         row = {
             "chunk": [(task << 24) | seq], "n_train": [int(train.sum())], "n_all": [len(toks)],
             "ids": pa.array([[i for p in parts for i in p[3]]], pa.list_(pa.int64())),
-            "held": [held.astype(np.uint8).tobytes()], "lens": [lens.tobytes()], "vocab": [vocab.tobytes()],
-            "trained": [trained.tobytes()], "toks": [_pack(toks.astype(np.uint32))],
+            "held": [held.astype(np.uint8).tobytes()], "lens": [lens.tobytes()], "vocab": [_sized(vocab)],
+            "trained": [_sized(trained)], "toks": [_pack(place[toks])],
         }
         seq, parts = seq + 1, []
         return pa.RecordBatch.from_pydict(row)
@@ -119,20 +139,19 @@ def _blobs(rows: list) -> pa.RecordBatch:
 def _ask_words(batches, parts: int):
     for b in batches:
         for chunk, vocab, trained in zip(*(b.column(c).to_pylist() for c in ("chunk", "vocab", "trained")), strict=True):
-            v, t = _arr(vocab, np.uint64), _arr(trained, np.uint32)
-            cut = np.searchsorted(_part(v, parts), np.arange(parts + 1))
-            yield _blobs([(chunk, p, v[x:y].tobytes(), t[x:y].tobytes(), b"", b"", b"") for p, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x])
+            v, t = _unsized(vocab, np.uint64), _unsized(trained, np.uint32)
+            yield _blobs([(chunk, p, _sized(v[x:y]), _sized(t[x:y]), b"", b"", b"") for p, x, y in _runs(_part(v, parts))])
 
 
 def _add_words(t: pa.Table) -> pa.Table:
     """Answers: the words' counts (a).  One more row, chunk -1, has the part's tokens and distinct words."""
-    keys = [_arr(x, np.uint64) for x in t.column("a").to_pylist()]
-    counts = np.concatenate([_arr(x, np.uint32) for x in t.column("b").to_pylist()])
+    keys = [_unsized(x, np.uint64) for x in t.column("a").to_pylist()]
+    counts = np.concatenate([_unsized(x, np.uint32) for x in t.column("b").to_pylist()])
     _, inv = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inv, counts).astype(np.uint64)
     cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
     part = t.column("part")[0].as_py()
-    rows = [(c, part, total[inv[cut[i] : cut[i + 1]]].tobytes(), b"", b"", b"", b"") for i, c in enumerate(t.column("chunk").to_pylist())]
+    rows = [(c, part, _sized(total[inv[cut[i] : cut[i + 1]]]), b"", b"", b"", b"") for i, c in enumerate(t.column("chunk").to_pylist())]
     rows.append((-1, part, np.array([total.sum(), (total > 0).sum()], np.uint64).tobytes(), b"", b"", b"", b""))
     return pa.Table.from_batches([_blobs(rows)])
 
@@ -142,16 +161,16 @@ class _Chunk:
 
     def __init__(self, row: dict, words: dict, n: int, v: int):
         self.row, self.chunk = row, row["chunk"]
-        vocab = _arr(row["vocab"], np.uint64)
+        order = _by_count(_unsized(row["trained"], np.uint32))
         self.toks = _unpack(row["toks"], row["n_all"], np.uint32)
-        self.h = vocab[self.toks]
+        self.h = _unsized(row["vocab"], np.uint64)[order][self.toks]
         self.lens = _arr(row["lens"], np.int32)
         self.held = _arr(row["held"], np.uint8)
         self.train = np.repeat(self.held == 0, self.lens)
         starts = np.cumsum(self.lens) - self.lens
         self.pos = np.arange(len(self.h), dtype=np.int64) - np.repeat(starts, self.lens)
-        counts = np.concatenate([_arr(words[p], np.uint64) for p in sorted(words)]) if words else np.zeros(0, np.uint64)
-        self.count = counts[self.toks].astype(np.int64)  # of the event that ends here, at the level below
+        counts = np.concatenate([_unsized(words[p], np.uint64) for p in sorted(words)]) if words else np.zeros(0, np.uint64)
+        self.count = counts[order][self.toks].astype(np.int64)  # of the event that ends here, at the level below
         self.known = self.count > 0
         self.base = np.log10((self.count + 0.1) / (n + 0.1 * (v + 1)))
         self.p = 10.0**self.base  # in the longest state so far
@@ -178,14 +197,12 @@ class _Chunk:
         word = (self.h[first][order] & np.uint64(2**48 - 1)).view(np.uint8).reshape(-1, 8)[:, :6]  # a context's successors are known by 48 bits
         ctx, cc, seen = ctx[order], cc[order], seen[order]
         lp = np.clip(np.rint(-25 * np.log10(self.p[first])[order]), 0, 255).astype(np.uint8)
-        rows, cut = [], np.searchsorted(part[order], np.arange(parts + 1))
-        for p in range(parts):
-            x, y = cut[p], cut[p + 1]
-            if y > x:
-                at_ctx = np.flatnonzero(np.concatenate([[True], ctx[x + 1 : y] != ctx[x : y - 1]]))
-                each = np.diff(np.concatenate([at_ctx, [y - x]])).astype(np.uint32)
-                heads = np.concatenate([ctx[x:y][at_ctx], cc[x:y][at_ctx].view(np.uint64)])
-                rows.append((self.chunk, p, word[x:y].tobytes(), _sized(seen[x:y]), _sized(lp[x:y]), heads.tobytes(), _sized(each)))
+        rows = []
+        for p, x, y in _runs(part[order]):
+            at_ctx = np.flatnonzero(np.concatenate([[True], ctx[x + 1 : y] != ctx[x : y - 1]]))
+            each = np.diff(np.concatenate([at_ctx, [y - x]])).astype(np.uint32)
+            heads = np.concatenate([ctx[x:y][at_ctx], cc[x:y][at_ctx].view(np.uint64)])
+            rows.append((self.chunk, p, word[x:y].tobytes(), _sized(seen[x:y]), _sized(lp[x:y]), _sized(heads), _sized(each)))
         return rows
 
     @staticmethod
@@ -240,7 +257,7 @@ def _add_events(t: pa.Table, hot: int, gain: float) -> pa.Table:
     for a, d, e in zip(col["a"], col["d"], col["e"], strict=True):
         word = np.zeros((len(a) // 6, 8), np.uint8)
         word[:, :6] = np.frombuffer(a, np.uint8).reshape(-1, 6)
-        both, each = _arr(d, np.uint64), _unsized(e, np.uint32)
+        both, each = _unsized(d, np.uint64), _unsized(e, np.uint32)
         ctx.append(np.repeat(both[: len(both) // 2], each))
         cc.append(np.repeat(both[len(both) // 2 :].view(np.int64), each))
         keys.append(mix(ctx[-1], word.view(np.uint64).ravel()))
@@ -311,7 +328,7 @@ def score(docs: DataFrame, depth: int = 2, least: int = 32, gain: float = 6.0) -
 
     def pass_over(final: bool, schema: str) -> DataFrame:
         now = dict(plan)
-        needed = chunks.select("chunk", "n_all", "ids", "held", "lens", "vocab", "toks")
+        needed = chunks.select("chunk", "n_all", "ids", "held", "lens", "vocab", "trained", "toks")
         return needed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, y: _step(x, y, now, final), schema)
 
     for k in range(1, depth + 1):
