@@ -38,12 +38,16 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # frees the shuffle files of plans that nothing refers to
+        self.free()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kindred_path = path
         return out
 
+    def free(self) -> None:
+        """Frees the shuffle files of plans that nothing refers to; a plan still held by a caller's frame goes at the next call."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
