@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -74,6 +75,29 @@ def strip_accents(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
+INDIC = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM")
+SIGNS = {"ANUSVARA": "n", "CANDRABINDU": "n", "VISARGA": "h"}
+
+
+@functools.cache
+def _roman(ch: str) -> str:
+    """Latin spelling of a character, by the name that Unicode gives it: a consonant loses the vowel of its name."""
+    script, _, rest = unicodedata.name(ch, "").partition(" ")
+    if script not in INDIC:
+        return ch
+    kind, last = rest.rpartition(" ")[0], rest.rpartition(" ")[2].lower()
+    if rest.startswith("DIGIT"):
+        return str(unicodedata.digit(ch))
+    if "VOWEL SIGN" in kind or (kind.startswith("LETTER") and not set(last) - set("aeiou")):
+        return last
+    return last.removesuffix("a") if kind.startswith("LETTER") else SIGNS.get(last.upper(), "")
+
+
+def romanize(text: str) -> str:
+    """Indic scripts in Latin letters; every other character stays."""
+    return "".join(map(_roman, text))
+
+
 def _vectorised(f):
     @pandas_udf(DoubleType())
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -88,3 +112,8 @@ token_sort_udf, token_set_udf, jaro_winkler_udf, ratio_udf = map(_vectorised, (t
 @pandas_udf(StringType())
 def strip_accents_udf(c: pd.Series) -> pd.Series:
     return c.map(lambda t: strip_accents(t) if t is not None else None)
+
+
+@pandas_udf(StringType())
+def romanize_udf(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: romanize(t) if t is not None else None)

@@ -7,6 +7,10 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .kernels import romanize_udf
+
+# Company forms of Indic names in Latin spelling.
+INDIC_FORMS = (r"(?:praaivett|praiveett|praaevett|praivett)\s+(?:limittedd|limited)", r"(?:praa|pvt)\s*\.?\s*(?:li|ltd)", "limittedd")
 # Legal suffixes, in the order of their removal.
 LEGAL = ("private limited", "pvt ltd", "et fils", "limited liability company", "llp", "sarl", "sas", "sasu", "eurl", "sa", "sci", "incorporated", "inc", "corporation", "corp", "llc", "limited", "ltd", "company", "co")
 # Address abbreviations.
@@ -120,10 +124,26 @@ def raw_address_tokens(c: Column) -> Column:
 
 
 def is_website(a: Column, b: Column) -> Column:
-    one = lambda c: F.lower(c).rlike(r"www\.|http|\.com|\.in\b|\.org|\.net|\.fr\b") | (domain_stem(c) != "")
+    """Either text holds a mark of an address of the web, anywhere, or begins with a domain."""
+    one = lambda c: F.lower(safe(c)).rlike(r"www\.|http|\.(?:com|in|org|net|co|io)") | (domain_stem(safe(c)) != "")
     return one(a) | one(b)
 
 
+def is_cross_script(a: Column, b: Column) -> Column:
+    """Two records (structs) with a letter beyond Latin in a name or address, or with a plot code in common."""
+    fields = [r[x] for r in (a, b) for x in ("business_name", "business_address")]
+    foreign = has_non_latin(F.concat_ws(" ", *fields))
+    return foreign | F.arrays_overlap(plot_codes(a["business_address"]), plot_codes(b["business_address"]))
+
+
+def romanized_name(c: Column) -> Column:
+    """``business_name`` of a name in an Indic script, by its Latin spelling and without the spelt-out company forms; other names as ever."""
+    x = business_name(romanize_udf(c))
+    for form in INDIC_FORMS:
+        x = F.regexp_replace(x, rf"\b(?:{form})\b", " ")
+    return F.when(has_non_latin(c), F.trim(F.regexp_replace(x, r"\s+", " "))).otherwise(business_name(c))
+
+
 def parse_verdict(c: Column) -> Column:
     """(is_match, confidence, rationale) of a model's answer: JSON, else JSON within braces, else a guess from its words."""
     kind = "is_match boolean, confidence double, rationale string"

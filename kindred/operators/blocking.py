@@ -86,3 +86,15 @@ def candidates(records: DataFrame, k: int = V3.k, cap: int = BLOCKER.cap) -> Dat
     scored = hits.groupBy("s1_id", "cand_id", "cand_seq").agg(F.sum(weight()).alias("block_score"))
     order = Window.partitionBy("s1_id").orderBy(F.desc("block_score"), "cand_seq", "cand_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("s1_id", "cand_id", "block_score", "rank")
+
+
+def chunked_candidates(records: DataFrame, size: int = 100_000, k: int = 35, cap: int = BLOCKER.cap) -> DataFrame:
+    """(s1_id, cand_id, block_score, rank) where each source's pool is indexed by chunks of ``size`` records, each with its own cap and top-k."""
+    text = with_text(records)
+    pool = keyed(text.where("source <> 'S1'")).withColumn("chunk", F.floor(F.col("seq") / size))
+    order = Window.partitionBy("source", "chunk", "idx", "country", "key").orderBy("seq", "pos", "entity_id")
+    posted = pool.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select("idx", "country", "key", "source", "chunk", F.col("entity_id").alias("cand_id"), F.col("seq").alias("cand_seq"))
+    ask = keyed(text.where("source = 'S1'")).select("idx", "country", "key", "cross", F.col("entity_id").alias("s1_id"))
+    scored = ask.join(posted, ["idx", "country", "key"]).groupBy("s1_id", "cand_id", "cand_seq", "source", "chunk").agg(F.sum(weight()).alias("block_score"))
+    best = Window.partitionBy("s1_id", "source", "chunk").orderBy(F.desc("block_score"), "cand_seq", "cand_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("s1_id", "cand_id", "block_score", "rank")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import kernels as K
+
 
 def best(tie: str = "cand_id"):
     return Window.partitionBy("s1_id").orderBy(F.desc("p"), "rank", tie)
@@ -93,3 +95,15 @@ def violations(s1: DataFrame, others: DataFrame, lists_: DataFrame) -> DataFrame
         n = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")
         out = n if out is None else out.union(n)
     return out
+
+
+def binary(p="p", tau: float = 0.5):
+    return F.when(F.col(p) >= tau, "match").otherwise("reject")
+
+
+def ranked_borderline(cases: DataFrame, records: DataFrame, most: int = 15_000) -> DataFrame:
+    """The ``most`` borderline cases whose raw names are most alike, cases without any match ahead by 0.15; ties by ids."""
+    side = lambda key, x: records.select(F.col("entity_id").alias(key), F.coalesce("business_name", F.lit("")).alias(x))
+    both = cases.join(side("s1_id", "x"), "s1_id").join(side("cand_id", "y"), "cand_id")
+    alike = 0.5 * K.jaro_winkler_udf("x", "y") + 0.5 * K.token_sort_udf("x", "y") + F.when(F.col("case_type") == "rejected_top1", 0.15).otherwise(0.0)
+    return both.select("s1_id", "cand_id", "case_type", F.round(alike, 6).alias("similarity")).orderBy(F.desc("similarity"), "s1_id", "cand_id").limit(most)

@@ -87,3 +87,54 @@ def conflicts(featured: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     flags = {"number_conflict": F.col("number_conflict_flag") == 1, "no_overlap": F.col("number_overlap_ratio") == 0, "exact_number": F.col("exact_number_match") == 1, "missing_address": F.col("missing_address_flag") == 1, "exact_name": F.col("exact_name_match") == 1, "low_address": F.col("address_token_jaccard") < 0.3}
     return featured.agg(n.alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()], *[F.round(100 * F.count_if(c) / n, 6).alias(f"{k}_pct") for k, c in flags.items()])
+
+
+def threshold_counts(scored: DataFrame, taus) -> DataFrame:
+    """(tau, n): pairs of at least tau, all from one pass."""
+    row = scored.agg(*[F.count_if(F.col("p") >= t).alias(f"n{i}") for i, t in enumerate(taus)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(float(t)).alias("tau"), F.col(f"n{i}").alias("n")) for i, t in enumerate(taus)])).alias("x")).select("x.*")
+
+
+def _share(part, whole):
+    return F.when(whole == 0, 0.0).otherwise(part / whole)
+
+
+def average_precision(marked: DataFrame) -> DataFrame:
+    """Area under the steps of precision over recall; pairs of one score enter together, and only counts by score are ordered."""
+    by = marked.groupBy("p").agg(F.sum(F.col("hit").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    down = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    step = by.withColumn("precision", F.sum("pos").over(down) / F.sum("n").over(down))
+    return step.agg(F.round(_share(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")), 6).alias("average_precision"))
+
+
+def class_report(marked: DataFrame) -> DataFrame:
+    """Precision, recall, F1 and support of either class, from the outcomes."""
+    n = {k: F.col(k) for k in ("TP", "FP", "FN", "TN")}
+    counts = marked.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in n])
+    sides = [(1, n["TP"], n["FP"], n["FN"]), (0, n["TN"], n["FN"], n["FP"])]
+    rows = [F.struct(F.lit(label).alias("label"), _share(hit, hit + wrong).alias("p"), _share(hit, hit + lost).alias("r"), (hit + lost).alias("support")) for label, hit, wrong, lost in sides]
+    x = counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    f1 = _share(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))
+    return x.select("label", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f1, 6).alias("f1"), "support")
+
+
+def false_positive_details(marked: DataFrame, records: DataFrame) -> DataFrame:
+    """False positives with the raw fields of both records; a record that is missing leaves nulls."""
+    side = lambda key, x: records.select(F.col("entity_id").alias(key), F.col("business_name").alias(f"{x}_name"), F.col("business_address").alias(f"{x}_address"))
+    return marked.where("outcome = 'FP'").select("s1_id", "cand_id", "p").join(side("s1_id", "s1"), "s1_id", "left").join(side("cand_id", "cand"), "cand_id", "left")
+
+
+def negative_profile(featured: DataFrame, truth: DataFrame) -> DataFrame:
+    """How many pairs that are not true look alike in name and address though their numbers conflict."""
+    rest = featured.join(truth.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")
+    conflict, address, name = F.col("number_conflict_flag") == 1, F.col("address_token_jaccard") >= 0.5, F.col("jaro_winkler") >= 0.9
+    flags = {"number_conflict": conflict, "conflict_high_jaccard": conflict & address, "conflict_high_name": conflict & name, "extreme": conflict & address & name}
+    return rest.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()])
+
+
+def targeted_pool(records: DataFrame, truth: DataFrame, distractors: int) -> DataFrame:
+    """The S1 records, every true target, and the first ``distractors`` other records by source and input order."""
+    needed = truth.select(F.col("cand_id").alias("entity_id")).distinct()
+    pool = records.where("source <> 'S1'")
+    rest = pool.join(needed, "entity_id", "left_anti").orderBy("source", "seq", "entity_id").limit(distractors)
+    return records.where("source = 'S1'").unionByName(pool.join(needed, "entity_id", "left_semi")).unionByName(rest)

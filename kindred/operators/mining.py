@@ -58,3 +58,10 @@ def per_chunk(scored: DataFrame, k: int, size: int = 100_000) -> DataFrame:
     """Union of each record's k best candidates of every chunk of the pool."""
     order = Window.partitionBy("s1_id", "chunk").orderBy(F.desc("block_score"), "cand_id")
     return scored.withColumn("chunk", F.floor(F.col("cand_seq") / size)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+
+
+def positives_of(records: DataFrame, truth: DataFrame, first: int) -> DataFrame:
+    """The first ``first`` S1 records in input order and every record that is true for one of them."""
+    s1 = records.where("source = 'S1'").orderBy("seq", "entity_id").limit(first).select("entity_id")
+    theirs = truth.join(s1.withColumnRenamed("entity_id", "s1_id"), "s1_id", "left_semi").select(F.col("cand_id").alias("entity_id"))
+    return records.join(s1.union(theirs).distinct(), "entity_id", "left_semi")

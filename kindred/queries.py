@@ -438,3 +438,104 @@ def parse_verdict(spark, d):
 def gbt_score(spark, d):
     pairs = scored(spark, d).drop("a", "b", "p").join(truth(spark, d).withColumn("label", F.lit(1.0)), list(PAIR), "left").na.fill(0.0, ["label"]).withColumn("held", ~mining.split())
     return model.predict(model.train(pairs), pairs).select(*PAIR, "label", "held", "p")
+
+
+# --- further evaluation, mining and text -------------------------------------------------------
+
+COUNTED = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995, 0.999)
+
+
+@query(f"{SCORED} " + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS tau, count(*) FILTER (WHERE p >= {t}::DOUBLE) AS n FROM sc" for t in COUNTED))
+def threshold_counts(spark, d):
+    return evaluate.threshold_counts(scored(spark, d), COUNTED)
+
+
+@query(f"{SCORED}, {OUT} SELECT s1_id, cand_id, p FROM o WHERE outcome = 'FN' ORDER BY p DESC, s1_id, cand_id LIMIT 50")
+def topk_fn(spark, d):
+    return _outcome(spark, d).where("outcome = 'FN'").orderBy(F.desc("p"), "s1_id", "cand_id").limit(50).select(*PAIR, "p")
+
+
+@query(f"{SCORED}, {OUT} SELECT s1_id, cand_id, p, a.business_name AS s1_name, a.business_address AS s1_address, b.business_name AS cand_name, b.business_address AS cand_address FROM o LEFT JOIN rec a ON a.entity_id = s1_id LEFT JOIN rec b ON b.entity_id = cand_id WHERE outcome = 'FP'")
+def fp_details(spark, d):
+    return evaluate.false_positive_details(_outcome(spark, d), recs(spark, d))
+
+
+@query(f"""{SCORED}, {OUT}, m AS (SELECT *, number_conflict_flag = 1 AS conflict, address_token_jaccard >= 0.5 AS addr, CASE WHEN an = bn THEN true ELSE jaro_winkler_similarity(an, bn) >= 0.9 END AS nm FROM o WHERE NOT hit)
+SELECT count(*) AS n, count(*) FILTER (WHERE conflict) AS number_conflict, count(*) FILTER (WHERE conflict AND addr) AS conflict_high_jaccard, count(*) FILTER (WHERE conflict AND nm) AS conflict_high_name, count(*) FILTER (WHERE conflict AND addr AND nm) AS extreme FROM m""")
+def negative_profile(spark, d):
+    featured = scored(spark, d).withColumn("jaro_winkler", features.kernel_features()[1])
+    return evaluate.negative_profile(featured, truth(spark, d))
+
+
+@query(f"""{SCORED}, {OUT}, g AS (SELECT p, sum(CAST(hit AS INTEGER)) AS pos, count(*) AS n FROM o GROUP BY 1), c AS (SELECT pos, sum(pos) OVER w / sum(n) OVER w AS pr FROM g WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
+SELECT round(sum(pos * pr) / sum(pos), 6)::DOUBLE AS average_precision FROM c""")
+def average_precision(spark, d):
+    return evaluate.average_precision(_outcome(spark, d))
+
+
+@query(f"""{SCORED}, {OUT}, n AS (SELECT count(*) FILTER (WHERE outcome = 'TP') AS tp, count(*) FILTER (WHERE outcome = 'FP') AS fp, count(*) FILTER (WHERE outcome = 'FN') AS fn, count(*) FILTER (WHERE outcome = 'TN') AS tn FROM o),
+s AS (SELECT 1 AS label, tp AS h, fp AS w, fn AS l FROM n UNION ALL SELECT 0, tn, fn, fp FROM n), q AS (SELECT label, h + l AS support, CASE WHEN h + w = 0 THEN 0.0::DOUBLE ELSE h / (h + w) END AS p, CASE WHEN h + l = 0 THEN 0.0::DOUBLE ELSE h / (h + l) END AS r FROM s)
+SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END, 6) AS f1, support FROM q""")
+def class_report(spark, d):
+    return evaluate.class_report(_outcome(spark, d))
+
+
+DISTRACTORS = 200
+TARGETED = f"rec AS (SELECT * FROM rec0 WHERE source = 'S1' OR entity_id IN (SELECT cand_id FROM truth) UNION ALL (SELECT * FROM rec0 WHERE source <> 'S1' AND entity_id NOT IN (SELECT cand_id FROM truth) ORDER BY source, seq, entity_id LIMIT {DISTRACTORS}))"
+
+
+@query(", ".join(("WITH " + REC.replace("rec AS", "rec0 AS", 1), SRC, TRUTH, TARGETED, TXT, KEYS, CAP, CAND)) + " SELECT * FROM cand")
+def targeted_candidates(spark, d):
+    return blocking.candidates(evaluate.targeted_pool(recs(spark, d), truth(spark, d), DISTRACTORS))
+
+
+CHUNK = 100
+CHUNKED = ", ".join((
+    "WITH " + REC, TXT, KEYS, CAP.replace("PARTITION BY idx", f"PARTITION BY source, seq // {CHUNK}, idx"),
+    CAND.replace("PARTITION BY s1_id", f"PARTITION BY s1_id, split_part(cand_id, '-', 1), cand_seq // {CHUNK}").replace("rank <= 20", "rank <= 5"),
+))
+
+
+@query(f"{CHUNKED} SELECT * FROM cand")
+def chunked_topk(spark, d):
+    return blocking.chunked_candidates(recs(spark, d), CHUNK, 5)
+
+
+@query(f"{SCORED} SELECT prediction, count(*) AS n FROM (SELECT CASE WHEN p >= 0.5 THEN 'match' ELSE 'reject' END AS prediction FROM sc) GROUP BY 1")
+def decide_binary(spark, d):
+    return scored(spark, d).groupBy(decide.binary().alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {REC} SELECT entity_id, array_to_string(list_filter({sql_words("translate(lower(coalesce(business_address, '')), ',./-#', '     ')")}, lambda w: length(w) >= 4 AND w NOT IN {sql_in((*T.STOP, *T.CITY, *T.GENERIC))} AND NOT regexp_matches(w, '^[0-9]+$')), '|') AS tokens FROM rec")
+def address_tokens_raw(spark, d):
+    return recs(spark, d).select("entity_id", joined(T.raw_address_tokens(F.col("business_address"))).alias("tokens"))
+
+
+FOREIGN = r"regexp_matches(regexp_replace(concat_ws(' ', a.business_name, a.business_address, b.business_name, b.business_address), '[^\p{L}]', '', 'g'), '[^\x{0000}-\x{024F}]')"
+WEB = r"regexp_matches(lower({0}), 'www\.|http|\.(com|in|org|net|co|io)')"
+
+
+@query(f"{BLOCK} SELECT s1_id, cand_id, {WEB.format('a.business_name')} OR {WEB.format('b.business_name')} OR {sql_stem('a.business_name')} <> '' OR {sql_stem('b.business_name')} <> '' AS website, {FOREIGN} OR len(list_intersect(a.plots, b.plots)) > 0 AS cross_script FROM cand JOIN k0 a ON a.entity_id = s1_id JOIN k0 b ON b.entity_id = cand_id")
+def pair_kinds(spark, d):
+    r = recs(spark, d)
+    a, b = F.col("a"), F.col("b")
+    return features.paired(blocking.candidates(r), r).select(*PAIR, T.is_website(a["business_name"], b["business_name"]).alias("website"), T.is_cross_script(a, b).alias("cross_script"))
+
+
+SAY = "'Record {1}:' || chr(10) || 'Name: ' || {0}.business_name || chr(10) || 'Address: ' || {0}.business_address || chr(10) || 'Country: ' || {0}.country || chr(10)"
+
+
+@query(f"{BLOCK} SELECT s1_id, cand_id, {SAY.format('a', 'A')} || {SAY.format('b', 'B')} || 'Are these the same business? Answer in JSON.' AS prompt FROM cand JOIN rec a ON a.entity_id = s1_id JOIN rec b ON b.entity_id = cand_id WHERE rank = 1")
+def chat_prompts(spark, d):
+    r = recs(spark, d)
+    return features.paired(blocking.candidates(r).where("rank = 1"), r).select(*PAIR, T.chat_prompt(F.col("a"), F.col("b")).alias("prompt"))
+
+
+@query()
+def borderline_ranked(spark, d):
+    return decide.ranked_borderline(borderline_extract(spark, d), recs(spark, d))
+
+
+@query(f"WITH {REC}, {SRC}, {TRUTH}, f AS (SELECT entity_id FROM rec WHERE source = 'S1' ORDER BY seq, entity_id LIMIT 100) SELECT entity_id, business_name FROM rec WHERE entity_id IN (SELECT entity_id FROM f) OR entity_id IN (SELECT cand_id FROM truth WHERE s1_id IN (SELECT entity_id FROM f))")
+def positives_of_first(spark, d):
+    return mining.positives_of(recs(spark, d), truth(spark, d), 100).select("entity_id", "business_name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +60,13 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def repack(spark: SparkSession, csv: str, out: str, required: list[str]) -> None:
     """CSV to Parquet; a missing column is an error."""
     spark.read.option("header", True).csv(csv).select(*required).write.option("compression", "snappy").parquet(out)
+
+
+def write_zip(lists: dict[str, DataFrame], path: str) -> None:
+    """Packs (s1_id, seq, ids) tables as tab-separated members of one ZIP file of the driver, in input order; a partition is held at a time."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, df in lists.items():
+            lines = df.orderBy("seq", "s1_id").select(F.concat_ws("\t", "s1_id", F.concat_ws(",", "ids")).alias("line"))
+            with z.open(name, "w", force_zip64=True) as out:
+                for row in lines.toLocalIterator():
+                    out.write(row.line.encode() + b"\n")

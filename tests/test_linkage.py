@@ -1,5 +1,7 @@
 """Goldens and properties of the record-linkage layer."""
 
+import zipfile
+
 import duckdb
 import pytest
 from hypothesis import given
@@ -68,7 +70,7 @@ def test_tsv(spark, tmp_path):
     assert records.read_tsv(spark, str(tmp_path / "s.tsv"), "india").count() == 1
 
 
-@pytest.mark.parametrize("name", ["norm_name", "address_keys", "block_topk", "macro_f05", "grid_sweep", "merge_submission"])
+@pytest.mark.parametrize("name", ["norm_name", "address_keys", "block_topk", "macro_f05", "grid_sweep", "merge_submission", "class_report", "targeted_candidates", "chunked_topk", "pair_kinds", "positives_of_first"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -81,3 +83,41 @@ def test_against_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
+
+
+@pytest.mark.parametrize("x,want", [("प्राइवेट लिमिटेड", "praaivett limittedd"), ("दुकान ४२", "dukaan 42"), ("Café ЯΩ", "Café ЯΩ"), ("", "")])
+def test_romanize(x, want):
+    assert K.romanize(x) == want
+
+
+def test_romanized_name(spark):
+    assert one(spark, "दुकान प्राइवेट लिमिटेड", T.romanized_name) == "dukaan"
+    assert one(spark, "Société SARL", T.romanized_name) == "societe"
+
+
+def test_web_and_script(spark):
+    side = "struct<business_name:string,business_address:string>"
+    rows = [(("a.biz", ""), ("b", "")), (("see x.com/in", None), ("b", None)), (("a", "plot A-12"), ("b", "a12")), ((None, "дом"), ("b", ""))]
+    got = spark.createDataFrame(rows, f"a {side}, b {side}").select(T.is_website(F.col("a.business_name"), F.col("b.business_name")), F.coalesce(T.is_cross_script(F.col("a"), F.col("b")), F.lit(False))).collect()
+    assert [tuple(r) for r in got] == [(True, False), (True, False), (False, True), (False, True)]
+
+
+def test_reports(spark):
+    marked = spark.createDataFrame([(0.9, True, "TP"), (0.8, False, "FP"), (0.8, True, "TP"), (0.2, True, "FN"), (0.1, False, "TN")], "p double, hit boolean, outcome string")
+    assert {r.label: (r.precision, r.recall, r.f1, r.support) for r in evaluate.class_report(marked).collect()} == {1: (0.666667, 0.666667, 0.666667, 3), 0: (0.5, 0.5, 0.5, 2)}
+    assert evaluate.average_precision(marked).first()[0] == round((1 + 2 / 3 + 3 / 4) / 3, 6)
+    assert [r.n for r in evaluate.threshold_counts(marked, [0.5, 0.85]).collect()] == [3, 1]
+    assert evaluate.average_precision(marked.limit(0)).first()[0] in (None, 0.0) and evaluate.class_report(marked.limit(0)).count() == 2
+
+
+def test_borderline_order(spark):
+    cases = spark.createDataFrame([("a", "x", "secondary_candidate"), ("b", "x", "rejected_top1"), ("c", "y", "rejected_top1")], "s1_id string, cand_id string, case_type string")
+    recs = spark.createDataFrame([("a", "blue shop"), ("b", "blue shop"), ("c", None), ("x", "shop blue"), ("y", "q")], "entity_id string, business_name string")
+    got = decide.ranked_borderline(cases, recs, 2).collect()
+    assert [r.s1_id for r in got] == ["b", "a"] and abs(got[0].similarity - got[1].similarity - 0.15) < 1e-6
+
+
+def test_zip(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 1, ["x", "y"]), ("a", 0, [])], "s1_id string, seq long, ids array<string>")
+    records.write_zip({"m.tsv": rows}, str(tmp_path / "o.zip"))
+    assert zipfile.ZipFile(tmp_path / "o.zip").read("m.tsv").decode() == "a\t\nb\tx,y\n"
