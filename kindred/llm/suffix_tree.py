@@ -307,7 +307,7 @@ def _step(left: pa.Table, right: pa.Table, plan: dict, final: bool) -> pa.Table:
     return c.scores(plan["n"]) if final else pa.Table.from_batches([_blobs(c.ask(plan["least"], plan["hot"], plan["parts"]))])
 
 
-def score(docs: DataFrame, depth: int = 2, least: int = 32, gain: float = 6.0) -> DataFrame:
+def score(docs: DataFrame, depth: int = 3, least: int = 16, gain: float = 6.0) -> DataFrame:
     """Base and suffix-tree scores of (doc_id, text, held boolean); learns from rows that are not held."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)

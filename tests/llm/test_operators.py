@@ -76,6 +76,18 @@ def test_suffix_tree_sums_to_one(spark):
     assert 0 < 10**first < 1 and all(0 < p < 1 for p in after.values()) and ends
 
 
+def test_suffix_tree_defaults(spark):
+    """Contexts seen 16 to 31 times, and of three words, are open to the test."""
+    filler = lambda n: " ".join(rng.choice([f"f{i}" for i in range(400)], n))
+    rare = " ".join(f"{filler(60)} rare then" for _ in range(20))
+    deep = " ".join(f"{filler(20)} {a} mid last {b}" for _ in range(60) for a, b in (("left", "red"), ("right", "blue")))
+    rows = [(0, rare, False), (1, deep, False), (2, "rare then", True), (3, "left mid last red", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got, two = ({r.doc_id: r for r in suffix_tree.score(df, **k).collect()} for k in ({}, {"depth": 2}))
+    assert got[2].mean_depth > 0
+    assert got[3].mean_depth > two[3].mean_depth and got[3].score > two[3].score + 0.2
+
+
 def test_learned_partitions(spark):
     x = rng.standard_normal((700, 8)).astype(np.float32)
     x[5] = x[6] = x[7] = x[20]
