@@ -18,11 +18,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of the smallest id stays (of rows with that id, one)."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"])
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each SimHash component one row stays: the smallest id, then text hash; rows without an id come last.
+
+    Rows of equal id and text are copies; of those the first in the order of all columns stays.
+    """
+    groups = simhash.grouped(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    kept = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key"))
+    id_, key = F.col("doc_id").cast("long"), simhash.text_key()
+    rows = docs.join(kept, id_.eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
+    one = rows.groupBy(id_.alias("__id"), key.alias("__key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.select("row.*")
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

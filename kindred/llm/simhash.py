@@ -47,7 +47,7 @@ def _majority(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(batches):
-    """(doc_id, text) -> (doc_id, fp)."""
+    """(doc_id, key, text) -> (doc_id, key, fp)."""
     import pyarrow.compute as pc
     import xxhash
 
@@ -65,7 +65,7 @@ def fingerprints(batches):
             at = np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles) + np.repeat(first, shingles)
             last = at + np.repeat(np.minimum(n, 3), shingles) - 1
             h = np.fromiter((digest(data[x:y], 42) for x, y in zip(start[at].tolist(), end[last].tolist(), strict=True)), np.uint64, len(at))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_majority(h, shingles).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(_majority(h, shingles).view(np.int64))], names=["doc_id", "key", "fp"])
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
@@ -233,13 +233,24 @@ def linked(scratch: Scratch, prints: DataFrame, radius: int = 3, hot: int = 8192
     return out.union(run(still.select("t", F.xxhash64("key", "p.x", "p.y").alias("key"), "fp", "node", F.col("p.side").alias("side"))))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, hot: int = 8192) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row of (doc_id, text)."""
+def text_key():
+    """The hash that tells texts of one id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def grouped(docs: DataFrame, radius: int = 3, hot: int = 8192) -> DataFrame:
+    """(doc_id, key, fp, root, component_id) of each row of (doc_id, text); root tells components apart, with or without an id."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(fingerprints, "doc_id long, fp long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    rows = scratch.put(texts.mapInArrow(fingerprints, "doc_id long, key long, fp long"))
     prints = scratch.put(rows.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fp")))
     root = components(scratch, linked(scratch, prints.select("fp", "node"), radius, hot))
     at = prints.join(root, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     least = at.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = scratch.put(at.join(least, "root").select("fp", "component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = scratch.put(at.join(least, "root").select("fp", "root", "component_id"))
+    return rows.join(by_fp, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, hot: int = 8192) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row of (doc_id, text)."""
+    return grouped(docs, radius, hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -266,3 +266,15 @@ def test_pipeline(spark, tmp_path, docs):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     kept = {d for r in out for d in r.doc_ids}
     assert 6 not in kept and 5 in kept and all(r.used <= r.capacity for r in out)
+
+
+def test_pipeline_keeps_distinct_texts(spark):
+    """Null ids and an id on two texts are no near-duplicate links."""
+    import corpus_pipeline
+
+    a, b, c, d = (prose(300) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, BASE), (3, c), (3, d), (3, d), (1, c + " more"), (4, BASE), (9, "")]
+    df = spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, df.where("source IN ('0', '1', '5', '7', '8', '9')").collect()))
