@@ -14,7 +14,13 @@ and no link is lost.  Shingles are known by 64-bit hashes, word sequences by 128
 Shingle sets are made a second time, for the members of buckets alone (a Bloom filter of at most ``BLOOM``
 bits goes with the scan; a join settles the rest), so they are never stored for all paragraphs.
 
-Null texts count as empty and stay null; shorter paragraphs are never cut.  Rows with the same id and
+Passages.  What the lines leave is searched for exact runs of ``RUN`` words or more, wherever they begin and
+however they are broken over lines.  Anchors are the least hash of each ``RUN`` - ``GRAM`` + 1 neighbouring runs of ``GRAM`` words,
+so every run of ``RUN`` words holds one, and equal runs hold equal ones.  Windows of ``RUN`` words around anchors that occur
+in two places (a Bloom filter goes with the scan, and the windows settle the rest) are grouped by 128-bit hashes; the first
+place (smallest doc_id, then place) stays, and the words of the others are cut.  A run never goes across a removed line.
+
+Null texts count as empty and stay null; shorter lines are cut as parts of passages alone.  Rows with the same id and
 text are one document and are treated alike.  Rows without an id come first in order.  Extra columns are kept.  An empty table gives an empty result.
 """
 
@@ -24,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, components, mix, words_of
 
@@ -31,6 +38,10 @@ SHINGLE = 5
 HASHES = 30
 BLOOM = 1 << 28  # bits, at most
 LEAST = 20  # words
+RUN = 50  # words of a passage, at least
+GRAM = 26  # words of an anchor
+BASE = np.uint64(0x9E3779B97F4A7C15)
+SPACE = r"\x20\x09-\x0D"
 
 
 def bands_for(similarity: float, recall: float = 0.999, hashes: int = HASHES) -> tuple[int, int]:
@@ -139,6 +150,78 @@ def _sets(batches, least: int, shared, bits: int):
             yield pa.RecordBatch.from_arrays([pa.array(k1[ok]), pa.array(k2[ok]), pa.array(sets, pa.binary())], names=["k1", "k2", "shingles"])
 
 
+def _rolling(h: np.ndarray, k: int, salt: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words of one text."""
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, BASE)]))
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, np.uint64(pow(int(BASE), -1, 1 << 64)))]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h, np.full_like(h, salt)) * down)])
+        x = (sums[k:] - sums[:-k]) * up[: len(h) - k + 1]
+    return mix(x, np.full_like(x, salt))
+
+
+def _anchors_of(h: np.ndarray):
+    """Places and hashes of the anchors of one text of ``RUN`` words or more."""
+    g = _rolling(h, GRAM, 5)
+    w = RUN - GRAM + 1
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, w).argmin(1) + np.arange(len(g) - w + 1))
+    return at, g[at]
+
+
+def _streams(b):
+    """(row, word hashes, line of each word) of the texts of ``RUN`` words or more of a batch."""
+    row, number, lines = [], [], []
+    for j, t in enumerate(b.column("text").to_pylist()):
+        if t and len(t) >= 2 * RUN - 1:
+            some = t.split("\n")
+            lines += some
+            row += [j] * len(some)
+            number += range(len(some))
+    h, n = shingled(lines)
+    row, line = np.repeat(np.array(row, np.int64), n), np.repeat(np.array(number, np.int32), n)
+    cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, np.int64)
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if y - x >= RUN:
+            yield int(row[x]), h[x:y], line[x:y]
+
+
+def _anchors(batches):
+    """(doc, text) -> (doc, line, upto, gram): the anchors, and the lines of their first and last words."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 200):
+            b = batch.slice(i, 200)
+            rows, cols = [], []
+            for j, h, line in _streams(b):
+                at, g = _anchors_of(h)
+                rows.append(np.full(len(at), j))
+                cols.append((line[at], line[at + GRAM - 1], at.astype(np.int32), g.view(np.int64)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]], names=["doc", "line", "upto", "at", "gram"])
+
+
+def _windows(batches, shared, bits: int):
+    """(doc_id, key, doc, text) -> the windows around anchors that the filter lets through."""
+    filter_ = np.frombuffer(shared.value, np.uint8)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 200):
+            b = batch.slice(i, 200)
+            rows, cols = [], []
+            for j, h, line in _streams(b):
+                at, g = _anchors_of(h)
+                ok = np.ones(len(at), bool)
+                for spot in _spots(g, bits):
+                    ok &= (filter_[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+                if not ok.any():
+                    continue
+                start = np.unique((at[ok][:, None] - np.arange(RUN - GRAM + 1)).ravel())
+                start = start[(start >= 0) & (start <= len(h) - RUN)]
+                rows.append(np.full(len(start), j))
+                cols.append((line[start], line[start + RUN - 1], start.astype(np.int32), _rolling(h, RUN, 6)[start].view(np.int64), _rolling(h, RUN, 7)[start].view(np.int64)))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("doc_id", "key", "doc")], *[pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]], names=["doc_id", "key", "doc", "line", "upto", "at", "r1", "r2"])
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
@@ -187,13 +270,58 @@ def _verify(batches, similarity: float):
     yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
 
+def _filter(needed: DataFrame):
+    """A Bloom filter of k1 ^ k2, sent to all, and its bits."""
+    bits = min(BLOOM, 1 << max(16, (12 * needed.count()).bit_length()))
+    filter_ = np.zeros(bits // 8, np.uint8)
+    for r in needed.coalesce(8).mapInArrow(lambda it: _bloom(it, bits), "bits binary").toLocalIterator():
+        filter_ |= np.frombuffer(bytes(r.bits), np.uint8)
+    return needed.sparkSession.sparkContext.broadcast(filter_.tobytes()), bits
+
+
+def _passages(scratch: Scratch, texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, key, start, stop, component) of the runs of words, between the removed ``lines``, that an earlier place has."""
+    doc = F.xxhash64("doc_id", "key").alias("doc")
+    texts = texts.select("doc_id", "key", doc, "text")
+    lost = scratch.put(lines.where("removed").groupBy(doc).agg(F.collect_set("line").alias("lost")))
+
+    def outside(rows: DataFrame) -> DataFrame:
+        inside = F.exists("lost", lambda x: x.between(F.col("line"), F.col("upto")))
+        return rows.join(lost, "doc", "left").where(F.col("lost").isNull() | ~inside).drop("lost")
+
+    anchors = texts.select("doc", "text").mapInArrow(_anchors, "doc long, line int, upto int, at int, gram long")
+    place = F.xxhash64("doc", "at")
+    common = outside(anchors).groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
+    common = scratch.put(common.select(F.col("gram").alias("k1"), F.lit(0).cast("long").alias("k2")))
+    shared, bits = _filter(common)
+    windows = texts.mapInArrow(lambda it: _windows(it, shared, bits), "doc_id long, key long, doc long, line int, upto int, at int, r1 long, r2 long")
+    windows = scratch.put(outside(windows).select("doc_id", "key", "at", "r1", "r2"))
+    at = F.struct("doc_id", "key", "at")
+    firsts = windows.groupBy("r1", "r2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    later = windows.join(firsts, ["r1", "r2"]).where(~at.eqNullSafe(F.col("first")))
+    # where a text repeats itself, the first place stays whole
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    start = F.when(own, F.greatest("at", F.col("first.at") + RUN)).otherwise(F.col("at"))
+    spans = later.select("doc_id", "key", start.alias("start"), (F.col("at") + RUN).alias("stop"), "r1").where("start < stop")
+    order = Window.partitionBy("doc_id", "key").orderBy("start", "stop", "r1")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
+    spans = spans.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    out = scratch.put(spans.groupBy("doc_id", "key", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("r1").alias("component")).drop("span"))
+    scratch.drop(lost, common, windows)
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def repeats(docs: DataFrame, similarity: float = 0.8, least: int = LEAST, hot: int = 2048) -> DataFrame:
-    """(doc_id, key, line, component, removed) of every paragraph of a component of two or more; key is the text's hash."""
+    """(doc_id, key, line, component, removed, start, stop); key is the text's hash.
+
+    Every line of a component of two or more, and, without a line, every passage to remove: the words from start to before stop.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = _keyed(docs)
@@ -206,11 +334,7 @@ def repeats(docs: DataFrame, similarity: float = 0.8, least: int = LEAST, hot: i
     units = buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
     members = scratch.put(bands.join(units, "band"))
     needed = scratch.put(members.select("k1", "k2", "node").distinct())
-    bits = min(BLOOM, 1 << max(16, (12 * needed.count()).bit_length()))
-    filter_ = np.zeros(bits // 8, np.uint8)
-    for r in needed.coalesce(8).mapInArrow(lambda it: _bloom(it, bits), "bits binary").toLocalIterator():
-        filter_ |= np.frombuffer(bytes(r.bits), np.uint8)
-    shared = spark.sparkContext.broadcast(filter_.tobytes())
+    shared, bits = _filter(needed)
     sets = texts.mapInArrow(lambda it: _sets(it, least, shared, bits), "k1 long, k2 long, shingles binary")
     sets = scratch.put(sets.join(needed, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("shingles").alias("shingles")).select(node.alias("node"), "shingles"))
     pieces = F.ceil(F.col("n") / (hot // 2)).cast("long")
@@ -228,20 +352,33 @@ def repeats(docs: DataFrame, similarity: float = 0.8, least: int = LEAST, hot: i
     removed = ~F.struct("doc_id", "key", "line").eqNullSafe(F.col("keep"))
     out = scratch.put(places.select("doc_id", "key", "line", F.col("root").alias("component"), removed.alias("removed")))
     scratch.drop(lines, members, sets, firsts, needed)
-    return out
+    runs = _passages(scratch, texts, out).select("doc_id", "key", F.lit(None).cast("int").alias("line"), "component", F.lit(True).alias("removed"), "start", "stop")
+    return out.select("*", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop")).union(runs)
 
 
 def cuts(found: DataFrame) -> DataFrame:
-    """(doc_id, key, cut: numbers of the lines to remove, components: theirs) of the documents that lose a paragraph."""
-    line = F.sort_array(F.collect_set(F.struct("line", "component")))
-    return found.where("removed").groupBy("doc_id", "key").agg(line.alias("c")).select("doc_id", "key", F.col("c.line").alias("cut"), F.array_distinct("c.component").alias("components"))
+    """(doc_id, key, cut: numbers of the lines to remove, spans: of the words to remove, components: theirs) of the documents that lose any."""
+    c = found.where("removed").groupBy("doc_id", "key").agg(
+        F.sort_array(F.collect_set(F.when(F.col("line").isNotNull(), F.struct("line", "component")))).alias("c"),
+        F.sort_array(F.collect_set(F.when(F.col("line").isNull(), F.struct("start", "stop", "component")))).alias("s"),
+    )
+    spans = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+    return c.select("doc_id", "key", F.col("c.line").alias("cut"), spans.alias("spans"), F.array_distinct(F.concat("c.component", "s.component")).alias("components"))
+
+
+def _without(text, spans):
+    """A text without the words of spans; line breaks stay, so lines keep their numbers."""
+    words = F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
+    kept = F.transform(words, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["start"]) & (i < s["stop"])), F.regexp_replace(x, r"[^\n]", "")).otherwise(x))
+    return F.concat(F.regexp_extract(text, f"^[{SPACE}]*", 0), F.array_join(kept, ""))
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents, all columns, without the paragraphs to remove."""
+    """The documents, all columns, without the paragraphs and passages to remove."""
     names = docs.columns
-    c = cuts(found).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cut").alias("__cut"))
+    c = cuts(found).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cut").alias("__cut"), F.col("spans").alias("__spans"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__cut", i))
+    rest = F.when(F.size("__spans") > 0, _without(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
+    lines = F.filter(F.split(rest, "\n"), lambda x, i: ~F.array_contains("__cut", i))
     text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
     return docs.join(c, same, "left").withColumn("text", text).select(*names)

@@ -201,6 +201,42 @@ def test_paragraphs(spark, docs, empty, hot):
     assert paragraphs.repeats(empty).count() == 0
 
 
+def test_passages(spark):
+    """Runs of 50 words inside longer lines, over lines, and of a text that repeats itself; one of 49 stays."""
+    fresh = lambda n, k: " ".join(f"u{k}x{i}" for i in range(n))
+    p, short, lined = fresh(50, 1), fresh(49, 2), fresh(60, 3).split()
+    rows = [
+        (1, f"{fresh(100, 4)} {p} {fresh(90, 5)}"), (2, f"{fresh(70, 6)}  {p.upper()} {fresh(90, 7)}\nend"), (None, f"{fresh(200, 8)} {p}"),
+        (3, f"{fresh(100, 9)} {short} {fresh(90, 10)}"), (4, f"{fresh(70, 11)} {short} {fresh(90, 12)}"),
+        (5, f"{fresh(80, 13)} " + " ".join(lined) + f" {fresh(80, 14)}"), (6, "top\n" + "\n".join(" ".join(lined[i : i + 10]) for i in range(0, 60, 10)) + "\nlast"),
+        (7, "spam and eggs " * 60), (8, None), (9, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in paragraphs.remove(df, paragraphs.repeats(df)).collect()}
+    want = dict(rows) | {1: f"{fresh(100, 4)} {fresh(90, 5)}", 2: f"{fresh(70, 6)}  {fresh(90, 7)}\nend", 6: "top\n\n\n\n\n\n\nlast"}
+    assert {k: v for k, v in got.items() if k != 7} == {k: v for k, v in want.items() if k != 7}
+    assert len(split(got[7])) in range(50, 54)
+
+
+def test_passages_brute_force(spark):
+    """Every run of 50 words whose first place is elsewhere is cut, and nothing else."""
+    pool = [" ".join(rng.choice(WORDS, int(n))) for n in rng.integers(30, 90, 12)]
+    rows = [(i, " ".join(x for _ in range(3) for x in (f"{prose(80)}", pool[int(rng.integers(12))]))) for i in range(30)]
+    seen, want = {}, {}
+    for i, t in rows:
+        w = split(t)
+        for at in range(len(w) - 49):
+            first = seen.setdefault(tuple(w[at : at + 50]), (i, at))
+            if first != (i, at):
+                want.setdefault(i, set()).update(range(max(at, first[1] + 50) if first[0] == i else at, at + 50))
+    found = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
+    got = {}
+    for r in found:
+        assert r.line is None
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+    assert got == want and want
+
+
 def test_packing(spark, docs, empty):
     bins = packing.pack(docs, capacities=(8, 64, 512), shard=5).collect()
     sizes = {}
