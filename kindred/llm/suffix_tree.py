@@ -12,7 +12,8 @@ blobs, to as many parts as the corpus needs; a part adds the counts, applies the
 each chunk in the chunk's own order.  So counts cover all training tokens, the model is never held
 in one place, and nothing depends on a key's frequency: a key occurs once a chunk at most, and the
 events of contexts of over ``hot`` occurrences are dealt by event, not by context.  The statistics of
-those contexts, at most ``HOT_CONTEXTS`` by the choice of ``hot``, are the only ones sent to all.
+those contexts, at most ``HOT_CONTEXTS`` by the choice of ``hot``, are the only ones sent to all; their
+events are tested in a second pass, by the same formula.
 
 Words and contexts are identified by 64-bit hashes, a context's successors by 48 bits of theirs.  Null texts count as empty, null ids as ''.
 Repeated rows count and are scored each; an empty table gives an empty result; further columns are
@@ -33,6 +34,7 @@ from .common import Scratch, mix, words_of
 
 CHUNK = 1_500_000  # tokens
 PART = 3_000_000  # events of a part, about
+HOT = 50_000  # occurrences of a context whose events are dealt by event, at least
 HOT_CONTEXTS = 100_000
 DISCOUNT = 0.75
 END = "\n"  # no word can be this
@@ -244,13 +246,31 @@ class _Chunk:
         })
 
 
+def _gains(count: np.ndarray, n: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What each event adds to the divergence of its context, of n occurrences and k distinct successors."""
+    loo = (np.maximum(count - 1 - DISCOUNT, 0) + DISCOUNT * k * p) / np.maximum(n - 1, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(count > 0, count * np.log10(np.maximum(loo, 1e-300) / p), 0.0)
+
+
+def _hot_gains(batches, state: np.ndarray, kinds: np.ndarray):
+    """A part's events of hot contexts, and the distinct successors of each in all parts -> (contexts, gains) of the part."""
+    for b in batches:
+        for part, *cols in zip(*(b.column(c).to_pylist() for c in ("part", "a", "b", "c", "d")), strict=True):
+            own, count, n, p = (_unsized(x, kind) for x, kind in zip(cols, (np.uint64, np.int64, np.int64, np.float64), strict=True))
+            ids, at = np.unique(own, return_inverse=True)
+            each = _gains(count, n, kinds[np.searchsorted(state, ids)][at], p)
+            yield _blobs([(-2, part, ids.tobytes(), np.bincount(at, each, minlength=len(ids)).tobytes(), b"", b"", b"")])
+
+
 def _add_events(t: pa.Table, hot: int, gain: float) -> pa.Table:
     """Answers: the events' counts (a), and for each the distinct successors of its context if that is a state, else 0 (b).
 
     The divergence of a context of c occurrences and k distinct successors from its longest suffix
     state is the mean, over its occurrences, of log10 q(w) / p(w), with q the smoothed distribution
     with that occurrence left out.  It is a state if c times that mean is at least ``gain``.
-    Rows with chunk -1 have what this part knows of contexts of ``hot`` occurrences or more.
+    Of contexts of ``hot`` occurrences or more, whose successors lie in many parts, rows with chunk -1 have
+    the distinct successors in this part, and rows with chunk -2 the events, which get the same test once the former are added.
     """
     col = {c: t.column(c).to_pylist() for c in "abcde"}
     keys, ctx, cc = [], [], []
@@ -271,20 +291,17 @@ def _add_events(t: pa.Table, hot: int, gain: float) -> pa.Table:
     total = np.zeros(len(state), np.int64)
     total[at] = n
     part = t.column("part")[0].as_py()
-    # hot contexts: partial sums that do not depend on k; q is bounded below by the share of the discounted count alone
     is_hot = total >= hot
-    k = kinds[at]
-    loo = (np.maximum(count - 1 - DISCOUNT, 0) + DISCOUNT * k * p) / np.maximum(n - 1, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        each = np.where(count > 0, count * np.log10(np.maximum(loo, 1e-300) / p), 0.0)
+    each = _gains(count, n, kinds[at], p)
     kept = (np.bincount(at, each) >= gain) & ~is_hot
     answer = np.where(kept, kinds, 0)[at].astype(np.uint32)
     small = np.minimum(count, 2**32 - 1).astype(np.uint32)
     rows = [(c, part, _sized(small[inv[cut[i] : cut[i + 1]]]), _sized(answer[inv[cut[i] : cut[i + 1]]]), b"", b"", b"") for i, c in enumerate(t.column("chunk").to_pylist())]
     if is_hot.any():
-        bare = np.where(count > 0, count * np.log10(np.maximum(np.maximum(count - 1 - DISCOUNT, 0) / np.maximum(n - 1, 1), p / 10) / p), 0.0)
-        gains = np.bincount(at, bare)[is_hot]
-        rows.append((-1, part, state[is_hot].tobytes(), kinds[is_hot].tobytes(), gains.tobytes(), b"", b""))
+        rows.append((-1, part, state[is_hot].tobytes(), kinds[is_hot].tobytes(), b"", b"", b""))
+        sent = np.flatnonzero(is_hot[at] & (count > 0))
+        sent = sent[np.argsort(at[sent], kind="stable")]
+        rows.append((-2, part, _sized(own[sent]), _sized(count[sent]), _sized(n[sent]), _sized(p[sent]), b""))
     return pa.Table.from_batches([_blobs(rows)])
 
 
@@ -307,7 +324,7 @@ def _step(left: pa.Table, right: pa.Table, plan: dict, final: bool) -> pa.Table:
     return c.scores(plan["n"]) if final else pa.Table.from_batches([_blobs(c.ask(plan["least"], plan["hot"], plan["parts"]))])
 
 
-def score(docs: DataFrame, depth: int = 3, least: int = 16, gain: float = 6.0) -> DataFrame:
+def score(docs: DataFrame, depth: int = 3, least: int = 16, gain: float = 6.0, hot: int = HOT) -> DataFrame:
     """Base and suffix-tree scores of (doc_id, text, held boolean); learns from rows that are not held."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark)
@@ -324,7 +341,7 @@ def score(docs: DataFrame, depth: int = 3, least: int = 16, gain: float = 6.0) -
     words = level(chunks.select("chunk", "vocab", "trained").mapInArrow(partial(_ask_words, parts=parts), BLOBS), _add_words)
     sums = sum((_arr(bytes(r.a), np.uint64).astype(np.int64) for r in words.where("chunk = -1").select("a").toLocalIterator()), np.zeros(2, np.int64))
     n, v = int(sums[0]), int(sums[1])
-    plan = {"n": n, "v": v, "least": least, "parts": parts, "hot": max(50_000, n // HOT_CONTEXTS), "level": 0, "states": {}}
+    plan = {"n": n, "v": v, "least": least, "parts": parts, "hot": max(hot, n // HOT_CONTEXTS), "level": 0, "states": {}}
     answers = words.where("chunk >= 0").select("chunk", "part", "a", "b", F.lit(0).alias("kind"))
 
     def pass_over(final: bool, schema: str) -> DataFrame:
@@ -334,12 +351,16 @@ def score(docs: DataFrame, depth: int = 3, least: int = 16, gain: float = 6.0) -
 
     for k in range(1, depth + 1):
         got = level(pass_over(False, BLOBS), lambda t: _add_events(t, plan["hot"], gain))
-        ids, ks, gains = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for r in got.where("chunk = -1").select("a", "b", "c").toLocalIterator():
-            ids.append(_arr(bytes(r.a), np.uint64)), ks.append(_arr(bytes(r.b), np.int64)), gains.append(_arr(bytes(r.c), np.float64))
+        ids, ks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for r in got.where("chunk = -1").select("a", "b").toLocalIterator():
+            ids.append(_arr(bytes(r.a), np.uint64)), ks.append(_arr(bytes(r.b), np.int64))
         state, at = np.unique(np.concatenate(ids), return_inverse=True)
-        total = np.bincount(at, np.concatenate(gains), minlength=len(state))
         kinds = np.bincount(at, np.concatenate(ks), minlength=len(state)).astype(np.int64)
+        total = np.zeros(len(state))
+        if len(state):
+            events = got.where("chunk = -2").mapInArrow(partial(_hot_gains, state=state, kinds=kinds), BLOBS)
+            for r in events.select("a", "b").toLocalIterator():
+                total[np.searchsorted(state, _arr(bytes(r.a), np.uint64))] += _arr(bytes(r.b), np.float64)
         plan["states"] = plan["states"] | {k: (state, np.where(total >= gain, kinds, 0))}
         plan["level"] = k
         answers = answers.union(got.where("chunk >= 0").select("chunk", "part", "a", "b", F.lit(k).alias("kind")))

@@ -88,6 +88,20 @@ def test_suffix_tree_defaults(spark):
     assert got[3].mean_depth > two[3].mean_depth and got[3].score > two[3].score + 0.2
 
 
+def test_suffix_tree_hot(spark):
+    """The test of a context does not depend on how its events are dealt."""
+    weight = 1 / np.arange(1, 20_001)
+    words, c = rng.choice(20_000, 30_000, p=weight / weight.sum()), np.arange(30_000) % 10
+    moved = (c == 0) & (rng.random(30_000) < 0.05)
+    words[moved] = rng.integers(19_700, 20_000, moved.sum())  # the gain of c0 comes from the smoothing mass
+    text = " ".join(f"c{x} v{w}" for x, w in zip(c, words, strict=True))
+    df = spark.createDataFrame([(0, text, False), *[(i + 1, f"c{i % 10} v{i} c1", True) for i in range(40)]], "doc_id long, text string, held boolean")
+    plain, hot = (sorted(map(tuple, suffix_tree.score(df, gain=g, hot=h).collect())) for g, h in ((6.0, 10**9), (6.0, 100)))
+    for x, y in zip(plain, hot, strict=True):
+        assert x == pytest.approx(y)
+    assert next(r for r in hot if r[0] == 1)[-1] > 0
+
+
 def test_learned_partitions(spark):
     x = rng.standard_normal((700, 8)).astype(np.float32)
     x[5] = x[6] = x[7] = x[20]
