@@ -251,7 +251,7 @@ def pair_features_edit(spark, d):
 @query()
 def pair_features_token(spark, d):
     r = recs(spark, d)
-    return features.paired(blocking.candidates(r, 5), r).select(*PAIR, *features.kernel_features())
+    return features.paired(blocking.candidates(r), r).select(*PAIR, *features.kernel_features())
 
 
 @query(f"{SCORED} SELECT s1_id, cand_id, p FROM sc WHERE p >= {TAU}")

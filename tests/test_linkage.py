@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kindred.functions import kernels as K
 from kindred.functions import text as T
-from kindred.operators import decide, evaluate
+from kindred.operators import decide, evaluate, features
 from kindred.sources import records
 
 SMALL = "/root/testdata/sf0.001"
@@ -81,6 +81,45 @@ def test_against_sql(spark, name):
     assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall())
 
 
+def _plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+def _plain_ratio(a, b):
+    return 2 * _plain_lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def _plain_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def test_pair_features_token(spark):
+    """All candidates of block_topk, with the values of a plain implementation."""
+    rows = entry.queries()["pair_features_token"](spark, SMALL).collect()
+    top = {(r.s1_id, r.cand_id) for r in entry.queries()["block_topk"](spark, SMALL).collect()}
+    assert len(rows) == len(top) and {(r.s1_id, r.cand_id) for r in rows} == top
+    text = {r.entity_id: r for r in features.described(records.from_documents(spark.read.parquet(f"{SMALL}/documents.parquet"))).collect()}
+    ordered = lambda t: " ".join(sorted(t.split()))
+    for r in sorted(rows)[::7]:
+        a, b = text[r.s1_id], text[r.cand_id]
+        longest = max(len(a.name), len(b.name))
+        want = [
+            1 - _plain_levenshtein(a.name, b.name) / longest if longest else 1.0, _plain_ratio(ordered(a.name), ordered(b.name)),
+            _plain_ratio(ordered(a.addr), ordered(b.addr)) if a.addr and b.addr else 0.0, _plain_ratio(a.name, b.name),
+        ]
+        assert [r.levenshtein_ratio, r.token_sort_ratio, r.address_token_sort_ratio, r.name_ratio] == pytest.approx(want)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
