@@ -1,31 +1,33 @@
-"""Substring dedup: near-duplicate paragraphs by MinHash banding.
-
-A paragraph is a line of at least ``least`` words (A-Z lower-cased).  Equal word sequences collapse
-first.  ``HASHES`` MinHashes of the 5-word shingles are cut into bands, tuned for a recall of over 0.999 at the
-similarity asked for; distinct paragraphs that collide in a band meet in a bucket, where pairs are
-verified by the exact Jaccard similarity of their shingle sets.  A pair that is already connected is
-not verified again, and a bucket returns a spanning set of its links.  Buckets with the same members
-are worked on once.  Components cluster the removals: of each, the first paragraph (smallest doc_id,
-then place) stays and the others are cut out of their documents.
-
-Buckets of over ``hot`` members are dealt as pairs of pieces of ``hot`` / 2 members, so that memory is bounded
-and no link is lost.  Shingles are known by 64-bit hashes, word sequences by 128 bits.
-
-Shingle sets are made a second time, for the members of buckets alone (a Bloom filter of at most ``BLOOM``
-bits goes with the scan; a join settles the rest), so they are never stored for all paragraphs.
-
-Passages.  What the lines leave is searched for exact runs of ``RUN`` words or more, wherever they begin and
-however they are broken over lines.  Anchors are the least hash of each ``RUN`` - ``GRAM`` + 1 neighbouring runs of ``GRAM`` words,
-so every run of ``RUN`` words holds one, and equal runs hold equal ones.  Windows of ``RUN`` words around anchors that occur
-in two places (a Bloom filter goes with the scan, and the windows settle the rest) are grouped by 128-bit hashes; the first
-place (smallest doc_id, then place) stays, and the words of the others are cut.  A run never goes across a removed line.
-
-Null texts count as empty and stay null; shorter lines are cut as parts of passages alone.  Rows with the same id and
-text are one document and are treated alike.  Rows without an id come first in order.  Extra columns are kept.  An empty table gives an empty result.
+"""Substring dedup: MinHash banding of paragraphs that begin and end anywhere.
+
+A paragraph is a stretch of ``LEAST`` words (A-Z lower-cased, split at white space), wherever it begins and however it is
+broken over lines.  Two paragraphs are near-duplicates if their 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+Banding.  At 20 words that means 15 of 16 shingles in common: the paragraphs share a run of 19 words, their core.  The
+MinHash of a core is the least of its shingle hashes, and paragraphs with equal cores have equal MinHashes, so one band
+of one row has a recall of exactly 1 (``core_words`` works the core out of length and similarity and refuses lengths for
+which one band would not do).  Cores that overlap mostly share their least shingle, so a text of n words gives about
+n / 8 band keys, not n.  Longer paragraphs of that similarity hold such a core, too.
+
+Verification.  Places whose band key occurs at two places or more are fetched with the words around them.  Equal
+surroundings collapse first, so copies cost one row.  In a bucket every core around the key is looked up by its 64-bit
+hash, which tells at once which earlier place has it: the links of a bucket are found without comparing pairs.  Buckets of
+over ``hot`` members are split by core.  Cores that touch on one diagonal join to runs; two runs of the same two texts
+join across the words between them if the Jaccard similarity of the joined paragraphs is 0.8 or more.
+
+Clusters.  Paragraphs are linked with the place that has them first; components of the links are the clusters.  A
+place stays if no earlier place (smallest doc_id, then text hash, then position) has its words, so of each cluster the
+first stays; where a text repeats itself the first place stays whole.
+
+Words are known by 32-bit hashes.  Null texts count as empty and stay null; texts of fewer than 19 words hold no paragraph.
+Rows with the same id and text are one document and are treated alike.  Rows without an id come first in order.  Extra
+columns are kept, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,350 +37,322 @@ from pyspark.sql.window import Window
 from .common import Scratch, components, mix, words_of
 
 SHINGLE = 5
-HASHES = 30
-BLOOM = 1 << 28  # bits, at most
-LEAST = 20  # words
-RUN = 50  # words of a passage, at least
-GRAM = 26  # words of an anchor
-BASE = np.uint64(0x9E3779B97F4A7C15)
-SPACE = r"\x20\x09-\x0D"
+LEAST = 20  # words of a paragraph
+SIMILARITY = 0.8
+STEP = 1 << 20  # cores that are worked on at a time
+SPOT = np.uint64((1 << 21) - 1)  # places within a step
+TERMS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
-def bands_for(similarity: float, recall: float = 0.999, hashes: int = HASHES) -> tuple[int, int]:
-    """The most rows a band that still give the recall at this similarity."""
-    for rows in range(10, 0, -1):
-        if hashes % rows == 0 and 1 - (1 - similarity**rows) ** (hashes // rows) >= recall:
-            return hashes // rows, rows
-    return hashes, 1
+def core_words(least: int = LEAST, similarity: float = SIMILARITY) -> int:
+    """The words in a row that any two paragraphs of ``least`` words or more with this similarity share."""
+    n = least - SHINGLE + 1
+    common = math.ceil(2 * n * similarity / (1 + similarity) - 1e-9)
+    if n < 1 or n - common >= SHINGLE:
+        raise ValueError("paragraphs of this length and similarity can differ in their middle: one band would lose some")
+    return common + SHINGLE - 1
 
 
-def shingled(texts: list[str]):
-    """Word hashes of texts as one array, words per text."""
+def _words(batches):
+    """(doc_id, key, text) -> (doc_id, key, doc, words): a 32-bit hash for each word."""
     import xxhash
 
-    flat, n = words_of(pa.array(texts, pa.string()))
-    enc = flat.dictionary_encode()
-    h = np.fromiter((xxhash.xxh64_intdigest(w) for w in enc.dictionary.to_pylist()), np.uint64, len(enc.dictionary))
-    return (h[np.asarray(enc.indices)] if len(flat) else np.zeros(0, np.uint64)), n
-
-
-def sets_of(h: np.ndarray, n: np.ndarray):
-    """Shingle hashes of runs of ``n`` words, and shingles per run (one for a run of fewer than five words)."""
-    k = np.maximum(n - SHINGLE + 1, np.minimum(n, 1))
-    first = np.cumsum(n) - n
-    at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first, k)
-    end = np.repeat(first + n, k)
-    out = np.full(len(at), np.uint64(SHINGLE))
-    for j in range(SHINGLE):
-        inside = at + j < end
-        out = np.where(inside, mix(out, h[np.minimum(at + j, max(0, len(h) - 1))]), out)
-    return out, k
-
-
-def _long_lines(b, least: int):
-    """The lines of ``least`` words or more of a batch: (row, line) of each, word hashes, words, and the two keys of each sequence."""
-    where, lines = [], []
-    for j, t in enumerate(b.column("text").to_pylist()):
-        for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= 2 * least - 1:
-                where.append((j, p))
-                lines.append(line)
-    h, n = shingled(lines)
-    keep = np.flatnonzero(n >= least)
-    h, n, where = h[np.repeat(n >= least, n)], n[keep], [where[x] for x in keep]
-    word0 = np.cumsum(n) - n
-    place = np.arange(len(h)) - np.repeat(word0, n)
-    keys = [np.add.reduceat(mix(h ^ salt, place.astype(np.uint64) + salt), word0).view(np.int64) if len(n) else np.zeros(0, np.int64) for salt in (np.uint64(3), np.uint64(1 << 40))]
-    return where, h, n, keys
-
-
-def _lines(batches, least: int, similarity: float):
-    """(doc_id, key, text) -> the long lines: (doc_id, key, line, k1, k2, band keys)."""
-    count, rows = bands_for(similarity)
-    rng = np.random.default_rng(11)
-    mul, add = rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, HASHES, dtype=np.uint64)
     for batch in batches:
-        for i in range(0, batch.num_rows, 200):
-            b = batch.slice(i, 200)
-            where, h, n, (k1, k2) = _long_lines(b, least)
-            if not len(n):
-                continue
-            s, k = sets_of(h, n)
-            starts = np.cumsum(k) - k
-            keys = np.zeros((len(n), count), np.uint64)
-            with np.errstate(over="ignore"):
-                for c in range(count):
-                    keys[:, c] = np.uint64(c + 1)
-                    for m in range(c * rows, (c + 1) * rows):
-                        x = s * mul[m] + add[m]
-                        keys[:, c] = mix(keys[:, c], np.minimum.reduceat(x ^ (x >> np.uint64(29)), starts))
-            at = pa.array([j for j, _ in where], pa.int64())
-            cut = pa.array(np.arange(0, keys.size + 1, count, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([
-                b.column("doc_id").take(at), b.column("key").take(at), pa.array([p for _, p in where], pa.int32()), pa.array(k1), pa.array(k2),
-                pa.ListArray.from_arrays(cut, pa.array(keys.ravel().view(np.int64))),
-            ], names=["doc_id", "key", "line", "k1", "k2", "bands"])
-
-
-def _spots(x: np.ndarray, bits: int) -> list[np.ndarray]:
-    x = x.view(np.uint64)
-    return [(mix(x, np.full_like(x, salt)) & np.uint64(bits - 1)).astype(np.int64) for salt in (1, 2, 3)]
-
+        for i in range(0, batch.num_rows, 250):
+            b = batch.slice(i, 250)
+            flat, n = words_of(b.column("text"))
+            enc = flat.dictionary_encode()
+            h = np.fromiter((xxhash.xxh32_intdigest(w) for w in enc.dictionary.to_pylist()), np.uint32, len(enc.dictionary))
+            h = h[np.asarray(enc.indices)] if len(flat) else np.zeros(0, np.uint32)
+            ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(h)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("doc"), words], names=["doc_id", "key", "doc", "words"])
+
+
+def flat_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all rows in one array, and the number in each."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    words = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint32) if data is not None else np.zeros(0, np.uint32)
+    return words, np.diff(ends) // 4
+
+
+def _sums(x: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``k`` words, along the last axis."""
+    n = x.shape[-1] - k + 1
+    with np.errstate(over="ignore"):
+        out = np.full((*x.shape[:-1], n), np.uint64(k))
+        for j in range(k):
+            out += x[..., j : j + n] * TERMS[j]
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        return out ^ (out >> np.uint64(32))
+
+
+def band_keys(words: np.ndarray, n: np.ndarray, core: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in ``words``) and hashes of the least shingles of all cores; of equal shingles in a core the first counts."""
+    if len(words) < core:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    shingles, width = _sums(words.astype(np.uint64), SHINGLE), core - SHINGLE + 1
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(words))  # words from here to the end of the text
+    found = []
+    for lo in range(0, len(words) - core + 1, STEP):
+        part = shingles[lo : lo + STEP + width - 1]
+        least, span = (part & ~SPOT) | np.arange(len(part), dtype=np.uint64), 1
+        while 2 * span <= width:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if span < width:
+            least = np.minimum(least[: span - width], least[width - span :])
+        at = lo + (least & SPOT).astype(np.int64)[left[lo : lo + len(least)] >= core]
+        found.append(at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at)
+    at = np.concatenate(found)
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+    return at, shingles[at]
+
+
+def _bands(batches, core: int):
+    """(doc, words) -> (gram, doc, at): the band keys of a text, and where they are."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            b = batch.slice(i, 1000)
+            words, n = flat_words(b.column("words"))
+            at, gram = band_keys(words, n, core)
+            row = np.searchsorted(np.cumsum(n), at, side="right")
+            first = np.cumsum(n) - n
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), b.column("doc").take(pa.array(row)), pa.array((at - first[row]).astype(np.int32))], names=["gram", "doc", "at"])
 
-def _bloom(batches, bits: int):
-    out = np.zeros(bits, bool)
-    for b in batches:
-        for spot in _spots(np.asarray(b.column("k1")) ^ np.asarray(b.column("k2")), bits):
-            out[spot] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
+def _around(batches, core: int):
+    """(doc_id, key, words, places) -> (gram, ch, doc_id, key, at, lo, hi, around): the words around a text's places.
 
-def _sets(batches, least: int, shared, bits: int):
-    """(k1, k2, shingles) of the long lines that the filter lets through."""
-    filter_ = np.frombuffer(shared.value, np.uint8)
+    lo and hi: where the text's words begin and end, from the place; ch: a hash of all that.
+    """
+    side = core - SHINGLE
     for batch in batches:
-        for i in range(0, batch.num_rows, 200):
-            _, h, n, (k1, k2) = _long_lines(batch.slice(i, 200), least)
-            ok = np.ones(len(n), bool)
-            for spot in _spots(k1 ^ k2, bits):
-                ok &= (filter_[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
-            if not ok.any():
+        for i in range(0, batch.num_rows, 500):
+            b = batch.slice(i, 500)
+            words, n = flat_words(b.column("words"))
+            lists = b.column("places")
+            counts = np.asarray(lists.value_lengths())
+            if not counts.sum():
                 continue
-            s, k = sets_of(h[np.repeat(ok, n)], n[ok])
-            end = np.cumsum(k)
-            sets = [np.unique(s[x:y]).tobytes() for x, y in zip((end - k).tolist(), end.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(k1[ok]), pa.array(k2[ok]), pa.array(sets, pa.binary())], names=["k1", "k2", "shingles"])
+            row, at = np.repeat(np.arange(len(n)), counts), np.asarray(lists.flatten()).astype(np.int64)
+            first = (np.cumsum(n) - n)[row]
+            lo, hi = np.maximum(-side, -at), np.minimum(core, n[row] - at)
+            offset = np.arange(-side, core)
+            inside = (offset >= lo[:, None]) & (offset < hi[:, None])
+            x = np.where(inside, words[np.where(inside, (first + at)[:, None] + offset, 0)], np.uint32(0))
+            wide = x.astype(np.uint64)
+            gram = _sums(wide[:, side : side + SHINGLE], SHINGLE)[:, 0]
+            ch = mix(_sums(wide, wide.shape[1])[:, 0], (64 * hi - lo).astype(np.uint64))
+            take, size = pa.array(row), 4 * x.shape[1]
+            around = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, size * len(x) + 1, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(gram.view(np.int64)), pa.array(ch.view(np.int64)), b.column("doc_id").take(take), b.column("key").take(take),
+                pa.array(at.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), around,
+            ], names=["gram", "ch", "doc_id", "key", "at", "lo", "hi", "around"])
+
+
+def _cores(t: pa.RecordBatch, core: int):
+    """Hashes (row, core) of the cores around the places, with their bucket; and which of them the texts hold with the place as least shingle."""
+    side = core - SHINGLE
+    x = np.frombuffer(t.column("around").buffers()[2], np.uint8)[np.frombuffer(t.column("around").buffers()[1], np.int32)[t.column("around").offset] :][: 4 * (side + core) * t.num_rows]
+    x = x.view(np.uint32).reshape(t.num_rows, -1).astype(np.uint64)
+    start = np.arange(-side, 1)
+    ok = (start >= np.asarray(t.column("lo"))[:, None]) & (start + core <= np.asarray(t.column("hi"))[:, None])
+    shingles = _sums(x, SHINGLE) & ~SPOT
+    own = shingles[:, side : side + 1]
+    less = np.concatenate([shingles[:, :side] <= own, np.zeros_like(own, bool), shingles[:, side + 1 :] < own], axis=1)
+    before = np.where(less[:, :side].any(1), side - np.argmax(less[:, side::-1], axis=1), -1)
+    after = np.where(less[:, side:].any(1), side + np.argmax(less[:, side:], axis=1), shingles.shape[1])
+    j = np.arange(len(start))
+    ok &= (j > before[:, None]) & (j + core - SHINGLE < after[:, None])
+    return mix(_sums(x, core), np.asarray(t.column("gram")).view(np.uint64)[:, None]), ok
+
+
+def _verify(batches, core: int):
+    """Rows (gram, ch, copies, doc_id, key, at, lo, hi, around) sorted by gram and place -> which earlier place has their cores.
+
+    (gram, ch, lo, hi, own, p_doc_id, p_key, p_at): all cores from lo to hi that a place has first; own: it is the row itself.
+    """
+    side = core - SHINGLE
+
+    def done(t: pa.RecordBatch) -> pa.RecordBatch:
+        h, ok = _cores(t, core)
+        first = np.full(ok.shape, -1)
+        for j in range(ok.shape[1]):
+            rows = np.flatnonzero(ok[:, j])
+            if len(rows):
+                _, at, back = np.unique(h[rows, j], return_index=True, return_inverse=True)
+                first[rows, j] = rows[at[back]]
+        i, j = np.nonzero(ok)
+        f = first[i, j]
+        useful = (f != i) | (np.asarray(t.column("copies"))[i] > 1)
+        i, j, f = i[useful], j[useful], f[useful]
+        order = np.lexsort((j, f, i))
+        i, j, f = i[order], j[order], f[order]
+        edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (f[1:] != f[:-1])])) if len(i) else np.zeros(0, np.int64)
+        last = np.concatenate([edge[1:], [len(i)]]) - 1 if len(i) else edge
+        mine, theirs = pa.array(i[edge]), pa.array(f[edge])
+        return pa.RecordBatch.from_arrays([
+            t.column("gram").take(mine), t.column("ch").take(mine), pa.array((j[edge] - side).astype(np.int32)), pa.array((j[last] - side + core).astype(np.int32)),
+            pa.array(i[edge] == f[edge]), t.column("doc_id").take(theirs), t.column("key").take(theirs), t.column("at").take(theirs),
+        ], names=["gram", "ch", "lo", "hi", "own", "p_doc_id", "p_key", "p_at"])
+
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([rest, b] if rest is not None else [b]).combine_chunks().to_batches()
+        if not t:
+            continue
+        t = t[0]
+        gram = np.asarray(t.column("gram"))
+        cut = int(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))[-1])
+        if cut:
+            yield done(t.slice(0, cut))
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield done(rest)
+
+
+def _split(batches, core: int):
+    """The rows of _verify -> (gram, ch, j, h, place): one row for each core."""
+    for b in batches:
+        h, ok = _cores(b, core)
+        i, j = np.nonzero(ok)
+        take = pa.array(i)
+        yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("gram", "ch", "copies", "doc_id", "key", "at")], pa.array(j.astype(np.int32)), pa.array(h[i, j].view(np.int64))], names=["gram", "ch", "copies", "doc_id", "key", "at", "j", "h"])
 
 
-def _rolling(h: np.ndarray, k: int, salt: int) -> np.ndarray:
-    """Hashes of the runs of ``k`` words of one text."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, BASE)]))
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(h) - 1, np.uint64(pow(int(BASE), -1, 1 << 64)))]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(h, np.full_like(h, salt)) * down)])
-        x = (sums[k:] - sums[:-k]) * up[: len(h) - k + 1]
-    return mix(x, np.full_like(x, salt))
-
-
-def _anchors_of(h: np.ndarray):
-    """Places and hashes of the anchors of one text of ``RUN`` words or more."""
-    g = _rolling(h, GRAM, 5)
-    w = RUN - GRAM + 1
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(g, w).argmin(1) + np.arange(len(g) - w + 1))
-    return at, g[at]
-
-
-def _streams(b):
-    """(row, word hashes, line of each word) of the texts of ``RUN`` words or more of a batch."""
-    row, number, lines = [], [], []
-    for j, t in enumerate(b.column("text").to_pylist()):
-        if t and len(t) >= 2 * RUN - 1:
-            some = t.split("\n")
-            lines += some
-            row += [j] * len(some)
-            number += range(len(some))
-    h, n = shingled(lines)
-    row, line = np.repeat(np.array(row, np.int64), n), np.repeat(np.array(number, np.int32), n)
-    cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(1, np.int64)
-    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if y - x >= RUN:
-            yield int(row[x]), h[x:y], line[x:y]
-
-
-def _anchors(batches):
-    """(doc, text) -> (doc, line, upto, gram): the anchors, and the lines of their first and last words."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 200):
-            b = batch.slice(i, 200)
-            rows, cols = [], []
-            for j, h, line in _streams(b):
-                at, g = _anchors_of(h)
-                rows.append(np.full(len(at), j))
-                cols.append((line[at], line[at + GRAM - 1], at.astype(np.int32), g.view(np.int64)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]], names=["doc", "line", "upto", "at", "gram"])
-
-
-def _windows(batches, shared, bits: int):
-    """(doc_id, key, doc, text) -> the windows around anchors that the filter lets through."""
-    filter_ = np.frombuffer(shared.value, np.uint8)
-    for batch in batches:
-        for i in range(0, batch.num_rows, 200):
-            b = batch.slice(i, 200)
-            rows, cols = [], []
-            for j, h, line in _streams(b):
-                at, g = _anchors_of(h)
-                ok = np.ones(len(at), bool)
-                for spot in _spots(g, bits):
-                    ok &= (filter_[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
-                if not ok.any():
-                    continue
-                start = np.unique((at[ok][:, None] - np.arange(RUN - GRAM + 1)).ravel())
-                start = start[(start >= 0) & (start <= len(h) - RUN)]
-                rows.append(np.full(len(start), j))
-                cols.append((line[start], line[start + RUN - 1], start.astype(np.int32), _rolling(h, RUN, 6)[start].view(np.int64), _rolling(h, RUN, 7)[start].view(np.int64)))
-            if rows:
-                take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("doc_id", "key", "doc")], *[pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]], names=["doc_id", "key", "doc", "line", "upto", "at", "r1", "r2"])
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
-
-
-def links_within(sets: list[np.ndarray], side: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Spanning links of the pairs at ``similarity`` or more; each row is compared until it joins a group, group by group."""
-    groups, found = [], []
-
-    def can(i, j):
-        if side[i] == side[j] != 0:
-            return False
-        x, y = len(sets[i]), len(sets[j])
-        return min(x, y) >= similarity * max(x, y) and jaccard(sets[i], sets[j]) >= similarity
-
-    for i in range(len(sets)):
-        mine, rest = [i], []
-        for g in groups:
-            j = next((j for j in g if can(i, j)), None)
-            if j is None:
-                rest.append(g)
-            else:
-                found.append((i, j))
-                mine = g + mine if len(g) > len(mine) else mine + g
-        groups = [*rest, mine]
-    return found
-
-
-def _verify(batches, similarity: float):
-    """Rows (unit, node, side, shingles) sorted by unit -> links (a, b)."""
-    unit, rows = None, []
-
-    def done():
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        return [(rows[i][0], rows[j][0]) for i, j in links_within(sets, [r[1] for r in rows], similarity)] if len(rows) > 1 else []
+VERIFIED = "gram long, ch long, lo int, hi int, own boolean, p_doc_id long, p_key long, p_at int"
 
-    for b in batches:
-        found = []
-        for u, *row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            if u != unit:
-                found += done()
-                unit, rows = u, []
-            rows.append(row)
-        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
-    found = done()
-    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["a", "b"])
-
-
-def _filter(needed: DataFrame):
-    """A Bloom filter of k1 ^ k2, sent to all, and its bits."""
-    bits = min(BLOOM, 1 << max(16, (12 * needed.count()).bit_length()))
-    filter_ = np.zeros(bits // 8, np.uint8)
-    for r in needed.coalesce(8).mapInArrow(lambda it: _bloom(it, bits), "bits binary").toLocalIterator():
-        filter_ |= np.frombuffer(bytes(r.bits), np.uint8)
-    return needed.sparkSession.sparkContext.broadcast(filter_.tobytes()), bits
-
-
-def _passages(scratch: Scratch, texts: DataFrame, lines: DataFrame) -> DataFrame:
-    """(doc_id, key, start, stop, component) of the runs of words, between the removed ``lines``, that an earlier place has."""
-    doc = F.xxhash64("doc_id", "key").alias("doc")
-    texts = texts.select("doc_id", "key", doc, "text")
-    lost = scratch.put(lines.where("removed").groupBy(doc).agg(F.collect_set("line").alias("lost")))
-
-    def outside(rows: DataFrame) -> DataFrame:
-        inside = F.exists("lost", lambda x: x.between(F.col("line"), F.col("upto")))
-        return rows.join(lost, "doc", "left").where(F.col("lost").isNull() | ~inside).drop("lost")
-
-    anchors = texts.select("doc", "text").mapInArrow(_anchors, "doc long, line int, upto int, at int, gram long")
-    place = F.xxhash64("doc", "at")
-    common = outside(anchors).groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
-    common = scratch.put(common.select(F.col("gram").alias("k1"), F.lit(0).cast("long").alias("k2")))
-    shared, bits = _filter(common)
-    windows = texts.mapInArrow(lambda it: _windows(it, shared, bits), "doc_id long, key long, doc long, line int, upto int, at int, r1 long, r2 long")
-    windows = scratch.put(outside(windows).select("doc_id", "key", "at", "r1", "r2"))
-    at = F.struct("doc_id", "key", "at")
-    firsts = windows.groupBy("r1", "r2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    later = windows.join(firsts, ["r1", "r2"]).where(~at.eqNullSafe(F.col("first")))
-    # where a text repeats itself, the first place stays whole
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
-    start = F.when(own, F.greatest("at", F.col("first.at") + RUN)).otherwise(F.col("at"))
-    spans = later.select("doc_id", "key", start.alias("start"), (F.col("at") + RUN).alias("stop"), "r1").where("start < stop")
-    order = Window.partitionBy("doc_id", "key").orderBy("start", "stop", "r1")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
-    spans = spans.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = scratch.put(spans.groupBy("doc_id", "key", "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("r1").alias("component")).drop("span"))
-    scratch.drop(lost, common, windows)
-    return out
 
+def _by_core(rows: DataFrame, core: int) -> DataFrame:
+    """What _verify returns, for buckets of any size: cores are grouped across tasks."""
+    side, place = core - SHINGLE, F.struct("doc_id", "key", "at")
+    each = rows.mapInArrow(lambda it: _split(it, core), "gram long, ch long, copies long, doc_id long, key long, at int, j int, h long")
+    first = each.groupBy("gram", "j", "h").agg(F.min(place).alias("p"))
+    own = place.eqNullSafe(F.col("p"))
+    found = each.join(first, ["gram", "j", "h"]).where(~own | (F.col("copies") > 1)).groupBy("gram", "ch", "p", own.alias("own")).agg(F.min("j").alias("x"), F.max("j").alias("y"))
+    return found.select("gram", "ch", (F.col("x") - side).cast("int").alias("lo"), (F.col("y") - side + core).cast("int").alias("hi"), "own", F.col("p.doc_id").alias("p_doc_id"), F.col("p.key").alias("p_key"), F.col("p.at").alias("p_at"))
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
+def joined(spans: DataFrame, by: list[str]) -> DataFrame:
+    """(by, start, stop, ...) -> with ``stretch``: a number for each set of spans that overlap or touch."""
+    order = Window.partitionBy(*by).orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
+    return new.withColumn("stretch", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
-def repeats(docs: DataFrame, similarity: float = 0.8, least: int = LEAST, hot: int = 2048) -> DataFrame:
-    """(doc_id, key, line, component, removed, start, stop); key is the text's hash.
 
-    Every line of a component of two or more, and, without a line, every passage to remove: the words from start to before stop.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    texts = _keyed(docs)
-    lines = scratch.put(texts.mapInArrow(lambda it: _lines(it, least, similarity), "doc_id long, key long, line int, k1 long, k2 long, bands array<long>"))
-    node = F.xxhash64("k1", "k2")
-    firsts = scratch.put(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")).withColumn("node", node))
-    bands = firsts.select("k1", "k2", "node", F.explode("bands").alias("band"))
-    halves = [F.sum(F.col("node").bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"), F.sum(F.shiftrightunsigned("node", 32)).alias("y")]
-    buckets = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *halves).where("n > 1")
-    units = buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
-    members = scratch.put(bands.join(units, "band"))
-    needed = scratch.put(members.select("k1", "k2", "node").distinct())
-    shared, bits = _filter(needed)
-    sets = texts.mapInArrow(lambda it: _sets(it, least, shared, bits), "k1 long, k2 long, shingles binary")
-    sets = scratch.put(sets.join(needed, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("shingles").alias("shingles")).select(node.alias("node"), "shingles"))
-    pieces = F.ceil(F.col("n") / (hot // 2)).cast("long")
-    mine = F.pmod("node", pieces)
-    pair = lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"), F.when(o == mine, 0).when(mine < o, 1).otherwise(2).alias("side"))
-    alone = F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side")))
-    dealt = members.withColumn("p", F.explode(F.when(F.col("n") <= hot, alone).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), pair))))
-    work = dealt.select(F.xxhash64("band", "p.x", "p.y").alias("unit"), "node", F.col("p.side").alias("side")).join(sets, "node").select("unit", "node", "side", "shingles")
-    links = work.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(lambda it: _verify(it, similarity), "a long, b long")
-    root = components(scratch, links)
-    at = firsts.select("k1", "k2", "node", "first", "n").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    best = at.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    many = at.select("k1", "k2", "root").join(best.select("root", "keep"), "root")
-    places = lines.select("doc_id", "key", "line", "k1", "k2").join(many, ["k1", "k2"])
-    removed = ~F.struct("doc_id", "key", "line").eqNullSafe(F.col("keep"))
-    out = scratch.put(places.select("doc_id", "key", "line", F.col("root").alias("component"), removed.alias("removed")))
-    scratch.drop(lines, members, sets, firsts, needed)
-    runs = _passages(scratch, texts, out).select("doc_id", "key", F.lit(None).cast("int").alias("line"), "component", F.lit(True).alias("removed"), "start", "stop")
-    return out.select("*", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("stop")).union(runs)
+def _keyed(docs: DataFrame) -> DataFrame:
+    text, id_ = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("key"), F.xxhash64(id_, F.xxhash64(text)).alias("doc"), text.alias("text"))
+
+
+def _cores_found(scratch: Scratch, docs: DataFrame, core: int, hot: int) -> DataFrame:
+    """(doc_id, key, p_doc_id, p_key, diagonal, start, stop): the words that an earlier place has, and where they are there."""
+    texts = scratch.put(_keyed(docs).mapInArrow(_words, "doc_id long, key long, doc long, words binary"))
+    keys = texts.select("doc", "words").mapInArrow(lambda it: _bands(it, core), "gram long, doc long, at int")
+    spot = F.xxhash64("doc", "at")
+    common = scratch.put(keys.groupBy("gram").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("gram"))
+    places = keys.join(common, "gram", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("places"))
+    once = texts.groupBy("doc").agg(*[F.first(c).alias(c) for c in ("doc_id", "key", "words")])
+    around = once.join(places, "doc").select("doc_id", "key", "words", "places")
+    members = scratch.put(around.mapInArrow(lambda it: _around(it, core), "gram long, ch long, doc_id long, key long, at int, lo int, hi int, around binary"))
+    scratch.drop(texts, common)
+    place = F.struct("doc_id", "key", "at")
+    distinct = members.groupBy("gram", "ch").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("lo", "hi", "around")])
+    distinct = distinct.select("gram", "ch", "copies", F.col("p.doc_id").alias("doc_id"), F.col("p.key").alias("key"), F.col("p.at").alias("at"), "lo", "hi", "around")
+    large = scratch.put(members.select("gram", "ch").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("gram"))
+    some = large.isEmpty()
+    plain = distinct if some else distinct.join(large, "gram", "left_anti")
+    verified = plain.repartition("gram").sortWithinPartitions("gram", "doc_id", "key", "at").mapInArrow(lambda it: _verify(it, core), VERIFIED)
+    if not some:
+        verified = verified.union(_by_core(distinct.join(large, "gram", "left_semi"), core))
+    found = members.select("gram", "ch", "doc_id", "key", "at").join(verified, ["gram", "ch"])
+    first = F.struct(F.col("p_doc_id").alias("doc_id"), F.col("p_key").alias("key"), F.col("p_at").alias("at"))
+    found = found.where(~(F.col("own") & place.eqNullSafe(first)))
+    within = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("key") == F.col("p_key"))
+    start = F.col("at") + F.col("lo")
+    start = F.when(within, F.greatest(start, F.col("p_at") + F.col("lo") + core)).otherwise(start)
+    out = found.select("doc_id", "key", "p_doc_id", "p_key", (F.col("at") - F.col("p_at")).alias("diagonal"), start.alias("start"), (F.col("at") + F.col("hi")).alias("stop"))
+    # the same words are found by many places: one row a task and stretch before the shuffle
+    out = scratch.put(out.groupBy("doc_id", "key", "p_doc_id", "p_key", "diagonal", "start", "stop").agg(F.count(F.lit(1)).alias("n")).drop("n"))
+    scratch.drop(members, large)
+    return out
 
 
-def cuts(found: DataFrame) -> DataFrame:
-    """(doc_id, key, cut: numbers of the lines to remove, spans: of the words to remove, components: theirs) of the documents that lose any."""
-    c = found.where("removed").groupBy("doc_id", "key").agg(
-        F.sort_array(F.collect_set(F.when(F.col("line").isNotNull(), F.struct("line", "component")))).alias("c"),
-        F.sort_array(F.collect_set(F.when(F.col("line").isNull(), F.struct("start", "stop", "component")))).alias("s"),
+def repeats(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST, hot: int = 8192) -> DataFrame:
+    """(doc_id, key, start, stop, component): the words, from start to before stop, to remove from a text; key is its hash."""
+    scratch, core = Scratch(docs.sparkSession), core_words(least, similarity)
+    found = _cores_found(scratch, docs, core, hot)
+    pair = ["doc_id", "key", "p_doc_id", "p_key"]
+    runs = joined(found.repartition("doc_id", "key"), [*pair, "diagonal"]).groupBy(*pair, "diagonal", "stretch").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("stretch")
+    # neighbouring runs of the same two texts, and the words between them in either
+    order = Window.partitionBy(*pair).orderBy("start", "stop", "diagonal")
+    before = {c: F.lag(c).over(order) for c in ("start", "stop", "diagonal")}
+    gap, theirs = F.col("start") - before["stop"], F.col("start") - F.col("diagonal") - before["stop"] + before["diagonal"]
+    lengths = F.col("stop") - F.col("start") + before["stop"] - before["start"]
+    common, all_ = lengths - 2 * (SHINGLE - 1), 2 * lengths + gap + theirs - 2 * (SHINGLE - 1)
+    apart = ~(F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("key") == F.col("p_key")))
+    near = (gap >= 0) & (theirs >= 0) & apart & (common >= similarity * (all_ - common))
+    runs = scratch.put(runs.withColumn("start", F.when(F.coalesce(near, F.lit(False)), before["stop"]).otherwise(F.col("start"))))
+    scratch.drop(found)
+    # clusters: stretches of either side that overlap are one node
+    sides = scratch.put(
+        runs.select(F.xxhash64(*runs.columns).alias("run"), F.lit(True).alias("mine"), "doc_id", "key", "start", "stop")
+        .union(runs.select(F.xxhash64(*runs.columns), F.lit(False), "p_doc_id", "p_key", F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")))
     )
-    spans = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
-    return c.select("doc_id", "key", F.col("c.line").alias("cut"), spans.alias("spans"), F.array_distinct(F.concat("c.component", "s.component")).alias("components"))
+    node = F.xxhash64("doc_id", "key", "stretch")
+    nodes = scratch.put(joined(sides, ["doc_id", "key"]).withColumn("node", node))
+    a, b = (nodes.where(F.col("mine") == m).select("run", F.col("node").alias(n)) for m, n in ((True, "a"), (False, "b")))
+    root = components(scratch, a.join(b, "run").select("a", "b"))
+    spans = joined(nodes.where("mine").drop("stretch"), ["doc_id", "key"]).groupBy("doc_id", "key", "stretch").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("node").alias("node"))
+    out = scratch.put(spans.join(root, "node", "left").select("doc_id", "key", "start", "stop", F.coalesce("root", "node").alias("component")))
+    scratch.drop(runs, sides, nodes)
+    return out
 
 
-def _without(text, spans):
-    """A text without the words of spans; line breaks stay, so lines keep their numbers."""
-    words = F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
-    kept = F.transform(words, lambda x, i: F.when(F.exists(spans, lambda s: (i >= s["start"]) & (i < s["stop"])), F.regexp_replace(x, r"[^\n]", "")).otherwise(x))
-    return F.concat(F.regexp_extract(text, f"^[{SPACE}]*", 0), F.array_join(kept, ""))
+def cuts(found: DataFrame) -> DataFrame:
+    """(doc_id, key, spans, components) of the documents that lose words: where, and the clusters of the spans."""
+    c = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "component"))).alias("c"))
+    return c.select("doc_id", "key", F.transform("c", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("spans"), F.col("c.component").alias("components"))
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without the words of ordered spans; a line break among them stays one, so lines don't run together."""
+    data = text.encode()
+    b = np.frombuffer(data, np.uint8)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    out, at = [], 0
+    for x, y in spans:
+        lo, hi = int(starts[x]), int(starts[y]) if y < len(starts) else len(data)
+        out.append(data[at:lo])
+        if b"\n" in data[lo:hi] and lo and data[lo - 1] != 10:
+            out.append(b"\n")
+        at = hi
+    return b"".join([*out, data[at:]]).decode()
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents, all columns, without the paragraphs and passages to remove."""
+    """The documents, all columns, without the words to remove."""
     names = docs.columns
-    c = cuts(found).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("cut").alias("__cut"), F.col("spans").alias("__spans"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
-    rest = F.when(F.size("__spans") > 0, _without(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    lines = F.filter(F.split(rest, "\n"), lambda x, i: ~F.array_contains("__cut", i))
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return docs.join(c, same, "left").withColumn("text", text).select(*names)
+    c = cuts(found).select("doc_id", "key", "spans")
+    rows = docs.select(F.struct(*[docs[f"`{n}`"] for n in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    both = rows.join(c, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("key")), "left").select("row", "spans")
+
+    def apply(batches):
+        for batch in batches:
+            columns = batch.column("row").flatten()
+            at = names.index("text")
+            hit = np.flatnonzero(np.asarray(batch.column("spans").is_valid()))
+            if len(hit):
+                texts = columns[at].to_pylist()
+                for i in hit.tolist():
+                    texts[i] = without(texts[i], [(s["start"], s["stop"]) for s in batch.column("spans")[i].as_py()])
+                columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(apply, docs.schema)

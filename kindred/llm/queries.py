@@ -40,10 +40,11 @@ def op6_licenses(spark, sf_dir):
 
 
 def op7_substring_dedup(spark, sf_dir):
-    """One row per document that loses a paragraph or passage: its id, the lines cut, the spans of words cut, and their components."""
-    found = paragraphs.repeats(table(spark, sf_dir, "documents"))
-    c = paragraphs.cuts(found)
-    return c.select("doc_id", F.size("cut").cast("long").alias("n_cut"), F.array_join(F.transform("cut", lambda x: x.cast("string")), ",").alias("cut_lines"), F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("cut_words"), F.array_join(F.transform("components", lambda x: x.cast("string")), ",").alias("components"))
+    """One row per document that loses words: its id, the spans of words cut, how many words they hold, and their clusters."""
+    c = paragraphs.cuts(paragraphs.repeats(table(spark, sf_dir, "documents")))
+    n_words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    spans = F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string")))
+    return c.select("doc_id", F.size("spans").cast("long").alias("n_cut"), n_words.alias("n_words"), F.array_join(spans, ",").alias("cut_words"), F.array_join(F.transform("components", lambda x: x.cast("string")), ",").alias("components"))
 
 
 def op8_bpe(spark, sf_dir, path: str | None = None):

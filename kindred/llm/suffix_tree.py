@@ -335,7 +335,6 @@ def score(docs: DataFrame, depth: int = 3, least: int = 16, gain: float = 6.0, h
     parts = max(6, -(-n_all // PART))
 
     def level(asked: DataFrame, add) -> DataFrame:
-        scratch.free()
         return scratch.put(asked.groupBy("part").applyInArrow(add, BLOBS))
 
     words = level(chunks.select("chunk", "vocab", "trained").mapInArrow(partial(_ask_words, parts=parts), BLOBS), _add_words)
@@ -364,5 +363,4 @@ def score(docs: DataFrame, depth: int = 3, least: int = 16, gain: float = 6.0, h
         plan["states"] = plan["states"] | {k: (state, np.where(total >= gain, kinds, 0))}
         plan["level"] = k
         answers = answers.union(got.where("chunk >= 0").select("chunk", "part", "a", "b", F.lit(k).alias("kind")))
-    scratch.free()
     return pass_over(True, RESULT)

@@ -186,69 +186,116 @@ def test_simhash(spark, docs, empty, hot):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [2048, 4])
+def brute_cuts(rows, core=19, similarity=0.8):
+    """{doc: words to cut} of (doc_id, text) with distinct ids, straight from the definition."""
+    seen, runs, cut = {}, {}, {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        w = split(t)
+        for at in range(len(w) - core + 1):
+            f, p = seen.setdefault(tuple(w[at : at + core]), (i, at))
+            if (f, p) != (i, at):
+                runs.setdefault((str(i), str(f)), {}).setdefault(at - p, set()).update(range(max(at, p + core) if f == i else at, at + core))
+    for (i, f), by in runs.items():
+        whole = []
+        for diagonal, places in by.items():
+            for at in sorted(places):
+                if whole and whole[-1][2] == diagonal and whole[-1][1] == at:
+                    whole[-1][1] = at + 1
+                else:
+                    whole.append([at, at + 1, diagonal])
+        whole.sort()
+        for x, y in zip([None, *whole], whole, strict=False):
+            cut.setdefault(i, set()).update(range(y[0], y[1]))
+            if x and i != f:
+                gap, theirs, n = y[0] - x[1], y[0] - y[2] - x[1] + x[2], y[1] - y[0] + x[1] - x[0]
+                if min(gap, theirs) >= 0 and n - 8 >= similarity * (2 * n + gap + theirs - 8 - (n - 8)):
+                    cut[i].update(range(x[1], y[0]))
+    return {i: c for i, c in cut.items() if c}
+
+
+def cut_words(found):
+    got = {}
+    for r in found.collect():
+        got.setdefault(str(r.doc_id), set()).update(range(r.start, r.stop))
+    return got
+
+
+@pytest.mark.parametrize("hot", [8192, 1])
 def test_paragraphs(spark, docs, empty, hot):
     near = BASE.split()
-    many = [(200 + i, prose(25) + "\n" + " ".join([*near[:58], f"v{i}", near[59]]), "s", 0, "k", 0) for i in range(12)]
+    many = [(200 + i, prose(25) + "\n" + " ".join([*near[:30], f"v{i}", *near[31:]]), "s", 0, "k", 0) for i in range(12)]
     df = spark.createDataFrame([*docs.collect(), *many], DOCS)
     found = paragraphs.repeats(df, hot=hot)
-    lines = {}
-    for r in df.collect():
-        for i, line in enumerate((r.text or "").split("\n")):
-            if len(split(line)) >= 20:
-                w = split(line)
-                lines[(r.doc_id, i)] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
-    up = {k: k for k in lines}
-
-    def find(k):
-        while up[k] != k:
-            k = up[k]
-        return k
-
-    for a, b in combinations(sorted(lines), 2):
-        if len(lines[a] & lines[b]) / len(lines[a] | lines[b]) >= 0.8 and find(a) != find(b):
-            up[max(find(a), find(b))] = min(find(a), find(b))
-    assert {(r.doc_id, r.line) for r in found.where("removed").collect()} == {k for k in lines if find(k) != k}
+    want = brute_cuts({(r.doc_id, r.text) for r in df.collect()})
+    assert cut_words(found) == want and len(want["205"]) == 60  # the word put in goes with the rest
     out = paragraphs.remove(df, found)
     assert out.columns == df.columns and out.count() == df.count()
-    assert {r.doc_id: r.text for r in out.collect()}[9] == TEXTS[9].split("\n")[0]
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got[9] == TEXTS[9].split("\n")[0] + "\n" and got[6] == "" and got[0] is None and got[8] == TEXTS[8]
     assert paragraphs.repeats(empty).count() == 0
 
 
 def test_passages(spark):
-    """Runs of 50 words inside longer lines, over lines, and of a text that repeats itself; one of 49 stays."""
+    """Passages inside longer lines, over lines, of a text without an id, and of a text that repeats itself; a run of 18 words stays."""
     fresh = lambda n, k: " ".join(f"u{k}x{i}" for i in range(n))
-    p, short, lined = fresh(50, 1), fresh(49, 2), fresh(60, 3).split()
+    p, short, lined = fresh(50, 1), fresh(18, 2), fresh(60, 3).split()
     rows = [
         (1, f"{fresh(100, 4)} {p} {fresh(90, 5)}"), (2, f"{fresh(70, 6)}  {p.upper()} {fresh(90, 7)}\nend"), (None, f"{fresh(200, 8)} {p}"),
         (3, f"{fresh(100, 9)} {short} {fresh(90, 10)}"), (4, f"{fresh(70, 11)} {short} {fresh(90, 12)}"),
         (5, f"{fresh(80, 13)} " + " ".join(lined) + f" {fresh(80, 14)}"), (6, "top\n" + "\n".join(" ".join(lined[i : i + 10]) for i in range(0, 60, 10)) + "\nlast"),
-        (7, "spam and eggs " * 60), (8, None), (9, ""),
+        (7, "spam and eggs " * 60), (8, None), (9, ""), (10, p), (11, "x " * 30_000 + p),
     ]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in paragraphs.remove(df, paragraphs.repeats(df)).collect()}
-    want = dict(rows) | {1: f"{fresh(100, 4)} {fresh(90, 5)}", 2: f"{fresh(70, 6)}  {fresh(90, 7)}\nend", 6: "top\n\n\n\n\n\n\nlast"}
-    assert {k: v for k, v in got.items() if k != 7} == {k: v for k, v in want.items() if k != 7}
-    assert len(split(got[7])) in range(50, 54)
+    df = spark.createDataFrame([(i, t, "a", True) for i, t in rows], "doc_id long, text string, row string, spans boolean")
+    out = paragraphs.remove(df, paragraphs.repeats(df))
+    got = {r.doc_id: r.text for r in out.collect()}
+    want = dict(rows) | {1: f"{fresh(100, 4)} {fresh(90, 5)}", 2: f"{fresh(70, 6)}  {fresh(90, 7)}\nend", 6: "top\nlast", 10: ""}
+    assert out.columns == df.columns
+    assert {k: v for k, v in got.items() if k not in (7, 11)} == {k: v for k, v in want.items() if k not in (7, 11)}
+    assert len(split(got[7])) == len(split(got[11])) == 19
 
 
 def test_passages_brute_force(spark):
-    """Every run of 50 words whose first place is elsewhere is cut, and nothing else."""
-    pool = [" ".join(rng.choice(WORDS, int(n))) for n in rng.integers(30, 90, 12)]
-    rows = [(i, " ".join(x for _ in range(3) for x in (f"{prose(80)}", pool[int(rng.integers(12))]))) for i in range(30)]
-    seen, want = {}, {}
-    for i, t in rows:
-        w = split(t)
-        for at in range(len(w) - 49):
-            first = seen.setdefault(tuple(w[at : at + 50]), (i, at))
-            if first != (i, at):
-                want.setdefault(i, set()).update(range(max(at, first[1] + 50) if first[0] == i else at, at + 50))
-    found = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("removed").collect()
-    got = {}
-    for r in found:
-        assert r.line is None
-        got.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
-    assert got == want and want
+    """Every paragraph whose first place is elsewhere is cut, the words between two runs if the whole is alike, and nothing else."""
+    pool = [rng.choice(WORDS, int(n)).tolist() for n in rng.integers(15, 90, 14)]
+
+    def altered(w):
+        w = list(w)
+        for at in rng.integers(0, len(w), int(rng.integers(0, 3))):
+            w[at : at + int(rng.integers(0, 2))] = [f"z{int(rng.integers(9))}"] * int(rng.integers(0, 3))
+        return " ".join(w)
+
+    rows = [(i, "\n".join(x for _ in range(3) for x in (prose(int(rng.integers(5, 60))), altered(pool[int(rng.integers(14))])))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_cuts(rows)
+    assert cut_words(paragraphs.repeats(df)) == want and len(want) > 20
+    assert any(min(c) and len(c) > 40 for c in want.values())
+    found = paragraphs.repeats(df).collect()
+    place = {(r.doc_id, at): r.component for r in found for at in range(r.start, r.stop)}
+    first, by = {}, dict(rows)
+    for (i, at), c in place.items():  # cuts of the same core are of one cluster
+        core = tuple(split(by[i])[at : at + 19])
+        if len(core) == 19 and all((i, at + k) in place for k in range(19)):
+            assert first.setdefault(core, c) == c
+
+
+def test_core_is_in_every_near_pair():
+    """Stretches of 20 words or more with a Jaccard of 0.8 share 19 words in a row."""
+    core, shingles = paragraphs.core_words(), lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    assert core == 19
+    with pytest.raises(ValueError):
+        paragraphs.core_words(50, 0.8)
+    near = 0
+    for _ in range(4000):
+        a = list(range(int(rng.integers(20, 90))))
+        b = list(a)
+        for _ in range(int(rng.integers(1, 4))):
+            at = int(rng.choice([0, 1, len(b) - 1, rng.integers(len(b))]))
+            b[at : at + int(rng.integers(0, 2))] = [int(x) for x in rng.integers(1000, 9999, int(rng.integers(0, 2)))]
+        x, y = shingles(a), shingles(b)
+        if len(b) >= 20 and len(x & y) >= 0.8 * len(x | y):
+            near += 1
+            assert {tuple(a[i : i + core]) for i in range(len(a) - core + 1)} & {tuple(b[i : i + core]) for i in range(len(b) - core + 1)}
+    assert near > 300
 
 
 def test_packing(spark, docs, empty):
