@@ -9,11 +9,13 @@ of one row has a recall of exactly 1 (``core_words`` works the core out of lengt
 which one band would not do).  Cores that overlap mostly share their least shingle, so a text of n words gives about
 n / 8 band keys, not n.  Longer paragraphs of that similarity hold such a core, too.
 
-Verification.  Places whose band key occurs at two places or more are fetched with the words around them.  Equal
-surroundings collapse first, so copies cost one row.  In a bucket every core around the key is looked up by its 64-bit
-hash, which tells at once which earlier place has it: the links of a bucket are found without comparing pairs.  Buckets of
-over ``hot`` members are split by core.  Cores that touch on one diagonal join to runs; two runs of the same two texts
-join across the words between them if the Jaccard similarity of the joined paragraphs is 0.8 or more.
+Verification.  Keys that occur at two places or more go into a Bloom filter of at most ``BLOOM`` bits; the places it lets
+through meet in buckets by key, with the 64-bit hashes of the cores that have that key.  A core is looked up by its hash,
+which tells at once which earlier place has it: the links of a bucket are found without comparing pairs, and a key that
+the filter let through by chance finds nothing.  Buckets of over ``hot`` places are not brought together: their cores are
+grouped one by one, with a first place for each, before they are dealt.  Cores that touch on one diagonal join to runs;
+two runs of the same two texts join across the words between them if the Jaccard similarity of the joined paragraphs is
+0.8 or more.
 
 Clusters.  Paragraphs are linked with the place that has them first; components of the links are the clusters.  A
 place stays if no earlier place (smallest doc_id, then text hash, then position) has its words, so of each cluster the
@@ -39,6 +41,8 @@ from .common import Scratch, components, mix, words_of
 SHINGLE = 5
 LEAST = 20  # words of a paragraph
 SIMILARITY = 0.8
+BLOOM = 1 << 28  # bits, at most
+BLOCK = 1 << 16  # bits of one block of the filter
 STEP = 1 << 20  # cores that are worked on at a time
 SPOT = np.uint64((1 << 21) - 1)  # places within a step
 TERMS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -89,13 +93,16 @@ def _sums(x: np.ndarray, k: int) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
-def band_keys(words: np.ndarray, n: np.ndarray, core: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in ``words``) and hashes of the least shingles of all cores; of equal shingles in a core the first counts."""
+def band_keys(words: np.ndarray, n: np.ndarray, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in ``words``) and hashes of the least shingles of all cores; of equal shingles in a core the first counts.
+
+    With each place, where the cores begin that have it, and how many they are.
+    """
     if len(words) < core:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
     shingles, width = _sums(words.astype(np.uint64), SHINGLE), core - SHINGLE + 1
     left = np.repeat(np.cumsum(n), n) - np.arange(len(words))  # words from here to the end of the text
-    found = []
+    found, starts = [], []
     for lo in range(0, len(words) - core + 1, STEP):
         part = shingles[lo : lo + STEP + width - 1]
         least, span = (part & ~SPOT) | np.arange(len(part), dtype=np.uint64), 1
@@ -104,11 +111,12 @@ def band_keys(words: np.ndarray, n: np.ndarray, core: int) -> tuple[np.ndarray,
             span *= 2
         if span < width:
             least = np.minimum(least[: span - width], least[width - span :])
-        at = lo + (least & SPOT).astype(np.int64)[left[lo : lo + len(least)] >= core]
-        found.append(at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at)
-    at = np.concatenate(found)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
-    return at, shingles[at]
+        start = np.flatnonzero(left[lo : lo + len(least)] >= core)
+        found.append(lo + (least[start] & SPOT).astype(np.int64))
+        starts.append(lo + start)
+    at, start = np.concatenate(found), np.concatenate(starts)
+    edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+    return at[edge], shingles[at[edge]], start[edge], np.diff(np.append(edge, len(at)))
 
 
 def _bands(batches, core: int):
@@ -117,88 +125,109 @@ def _bands(batches, core: int):
         for i in range(0, batch.num_rows, 1000):
             b = batch.slice(i, 1000)
             words, n = flat_words(b.column("words"))
-            at, gram = band_keys(words, n, core)
+            at, gram, _, _ = band_keys(words, n, core)
             row = np.searchsorted(np.cumsum(n), at, side="right")
             first = np.cumsum(n) - n
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), b.column("doc").take(pa.array(row)), pa.array((at - first[row]).astype(np.int32))], names=["gram", "doc", "at"])
 
 
-def _around(batches, core: int):
-    """(doc_id, key, words, places) -> (gram, ch, doc_id, key, at, lo, hi, around): the words around a text's places.
+def _spots(gram: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The block of each key, and its three bits there."""
+    h = mix(gram, np.full_like(gram, 17))
+    return (h >> np.uint64(48)).astype(np.int64) % blocks, [((h >> np.uint64(16 * k)) & np.uint64(BLOCK - 1)).astype(np.int64) for k in range(3)]
 
-    lo and hi: where the text's words begin and end, from the place; ch: a hash of all that.
-    """
-    side = core - SHINGLE
+
+def _fill(batches, blocks: int):
+    """(block, gram), all keys of a block in one task -> (block, bits)."""
+    found: dict[int, np.ndarray] = {}
+    for b in batches:
+        block, spots = _spots(np.asarray(b.column("gram")).view(np.uint64), blocks)
+        for k in np.unique(block).tolist():
+            bits = found.setdefault(k, np.zeros(BLOCK, bool))
+            for spot in spots:
+                bits[spot[block == k]] = True
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in found.values()], pa.binary())], names=["block", "bits"])
+
+
+def _filter(common: DataFrame):
+    """A Bloom filter of the keys, in blocks, as a broadcast of ``BLOOM`` bits at most; beyond that it lets more through."""
+    spark, n = common.sparkSession, common.count()
+    blocks = 1 << max(0, min(BLOOM // BLOCK, 12 * n // BLOCK).bit_length() - 1)
+    filled = common.select("gram").mapInArrow(lambda it: _numbered(it, blocks), "block int, gram long").repartition("block").mapInArrow(lambda it: _fill(it, blocks), "block int, bits binary")
+    bits = np.zeros(blocks * BLOCK // 8, np.uint8)
+    for r in filled.toLocalIterator():
+        bits[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return spark.sparkContext.broadcast(bits.tobytes()), blocks
+
+
+def _numbered(batches, blocks: int):
+    for b in batches:
+        block, _ = _spots(np.asarray(b.column("gram")).view(np.uint64), blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), b.column("gram")], names=["block", "gram"])
+
+
+def _cores(batches, core: int, shared, blocks: int):
+    """(doc_id, key, words) -> (gram, doc_id, key, at, cores): the cores, from place ``at`` on, of the keys that the filter lets through."""
+    bits = np.frombuffer(shared.value, np.uint8)
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             b = batch.slice(i, 500)
             words, n = flat_words(b.column("words"))
-            lists = b.column("places")
-            counts = np.asarray(lists.value_lengths())
-            if not counts.sum():
+            _, gram, start, count = band_keys(words, n, core)
+            block, spots = _spots(gram, blocks)
+            ok = np.ones(len(gram), bool)
+            for spot in spots:
+                spot = block * BLOCK + spot
+                ok &= (bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+            if not ok.any():
                 continue
-            row, at = np.repeat(np.arange(len(n)), counts), np.asarray(lists.flatten()).astype(np.int64)
-            first = (np.cumsum(n) - n)[row]
-            lo, hi = np.maximum(-side, -at), np.minimum(core, n[row] - at)
-            offset = np.arange(-side, core)
-            inside = (offset >= lo[:, None]) & (offset < hi[:, None])
-            x = np.where(inside, words[np.where(inside, (first + at)[:, None] + offset, 0)], np.uint32(0))
-            wide = x.astype(np.uint64)
-            gram = _sums(wide[:, side : side + SHINGLE], SHINGLE)[:, 0]
-            ch = mix(_sums(wide, wide.shape[1])[:, 0], (64 * hi - lo).astype(np.uint64))
-            take, size = pa.array(row), 4 * x.shape[1]
-            around = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, size * len(x) + 1, size, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            gram, start, count = gram[ok], start[ok], count[ok]
+            ends = np.cumsum(count)
+            at = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(start, count)
+            h = _sums(words.astype(np.uint64), core)[at]
+            row = np.searchsorted(np.cumsum(n), start, side="right")
+            take, first = pa.array(row), np.cumsum(n) - n
+            cores = pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(np.concatenate([[0], 8 * ends]).astype(np.int32)), pa.py_buffer(h)])
             yield pa.RecordBatch.from_arrays([
-                pa.array(gram.view(np.int64)), pa.array(ch.view(np.int64)), b.column("doc_id").take(take), b.column("key").take(take),
-                pa.array(at.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), around,
-            ], names=["gram", "ch", "doc_id", "key", "at", "lo", "hi", "around"])
-
-
-def _cores(t: pa.RecordBatch, core: int):
-    """Hashes (row, core) of the cores around the places, with their bucket; and which of them the texts hold with the place as least shingle."""
-    side = core - SHINGLE
-    x = np.frombuffer(t.column("around").buffers()[2], np.uint8)[np.frombuffer(t.column("around").buffers()[1], np.int32)[t.column("around").offset] :][: 4 * (side + core) * t.num_rows]
-    x = x.view(np.uint32).reshape(t.num_rows, -1).astype(np.uint64)
-    start = np.arange(-side, 1)
-    ok = (start >= np.asarray(t.column("lo"))[:, None]) & (start + core <= np.asarray(t.column("hi"))[:, None])
-    shingles = _sums(x, SHINGLE) & ~SPOT
-    own = shingles[:, side : side + 1]
-    less = np.concatenate([shingles[:, :side] <= own, np.zeros_like(own, bool), shingles[:, side + 1 :] < own], axis=1)
-    before = np.where(less[:, :side].any(1), side - np.argmax(less[:, side::-1], axis=1), -1)
-    after = np.where(less[:, side:].any(1), side + np.argmax(less[:, side:], axis=1), shingles.shape[1])
-    j = np.arange(len(start))
-    ok &= (j > before[:, None]) & (j + core - SHINGLE < after[:, None])
-    return mix(_sums(x, core), np.asarray(t.column("gram")).view(np.uint64)[:, None]), ok
+                pa.array(gram.view(np.int64)), b.column("doc_id").take(take), b.column("key").take(take), pa.array((start - first[row]).astype(np.int32)), cores,
+            ], names=["gram", "doc_id", "key", "at", "cores"])
 
 
-def _verify(batches, core: int):
-    """Rows (gram, ch, copies, doc_id, key, at, lo, hi, around) sorted by gram and place -> which earlier place has their cores.
+def _flat_cores(t: pa.RecordBatch):
+    """Row, place and hash of all cores."""
+    _, ends, data = t.column("cores").buffers()
+    ends = np.frombuffer(ends, np.int32)[t.column("cores").offset :][: t.num_rows + 1]
+    count = np.diff(ends) // 8
+    row = np.repeat(np.arange(t.num_rows), count)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.asarray(t.column("at")).astype(np.int64), count)
+    return row, at, np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint64)
 
-    (gram, ch, lo, hi, own, p_doc_id, p_key, p_at): all cores from lo to hi that a place has first; own: it is the row itself.
-    """
-    side = core - SHINGLE
+
+FOUND = "doc_id long, key long, p_doc_id long, p_key long, diagonal int, start int, stop int"
+
+
+def _verify(batches, core: int):
+    """Rows (gram, doc_id, key, at, cores) sorted by gram and place -> FOUND: the words of each place that an earlier one has."""
 
     def done(t: pa.RecordBatch) -> pa.RecordBatch:
-        h, ok = _cores(t, core)
-        first = np.full(ok.shape, -1)
-        for j in range(ok.shape[1]):
-            rows = np.flatnonzero(ok[:, j])
-            if len(rows):
-                _, at, back = np.unique(h[rows, j], return_index=True, return_inverse=True)
-                first[rows, j] = rows[at[back]]
-        i, j = np.nonzero(ok)
-        f = first[i, j]
-        useful = (f != i) | (np.asarray(t.column("copies"))[i] > 1)
-        i, j, f = i[useful], j[useful], f[useful]
-        order = np.lexsort((j, f, i))
-        i, j, f = i[order], j[order], f[order]
-        edge = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (f[1:] != f[:-1])])) if len(i) else np.zeros(0, np.int64)
-        last = np.concatenate([edge[1:], [len(i)]]) - 1 if len(i) else edge
-        mine, theirs = pa.array(i[edge]), pa.array(f[edge])
+        row, at, h = _flat_cores(t)
+        doc, key = t.column("doc_id"), np.asarray(t.column("key"))
+        none, doc_ = np.asarray(doc.is_null()), np.asarray(doc.fill_null(0))
+        _, first, back = np.unique(h, return_index=True, return_inverse=True)
+        f = first[back]  # rows are in order, so this is the first place of the core
+        i, j = row, row[f]
+        same = (none[i] == none[j]) & (doc_[i] == doc_[j]) & (key[i] == key[j])
+        keep = ~(same & (at == at[f]))
+        i, j, same, diagonal, at = i[keep], j[keep], same[keep], (at - at[f])[keep], at[keep]
+        new = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (diagonal[1:] != diagonal[:-1]) | (at[1:] != at[:-1] + 1)]) if len(i) else np.zeros(0, bool)
+        edge = np.flatnonzero(new)
+        last = np.append(edge[1:], len(i)) - 1 if len(edge) else edge
+        start = np.where(same[edge], np.maximum(at[edge], at[edge] - diagonal[edge] + core), at[edge])
+        mine, theirs = pa.array(i[edge]), pa.array(j[edge])
         return pa.RecordBatch.from_arrays([
-            t.column("gram").take(mine), t.column("ch").take(mine), pa.array((j[edge] - side).astype(np.int32)), pa.array((j[last] - side + core).astype(np.int32)),
-            pa.array(i[edge] == f[edge]), t.column("doc_id").take(theirs), t.column("key").take(theirs), t.column("at").take(theirs),
-        ], names=["gram", "ch", "lo", "hi", "own", "p_doc_id", "p_key", "p_at"])
+            doc.take(mine), t.column("key").take(mine), doc.take(theirs), t.column("key").take(theirs),
+            *[pa.array(x.astype(np.int32)) for x in (diagonal[edge], start, at[last] + core)],
+        ], names=["doc_id", "key", "p_doc_id", "p_key", "diagonal", "start", "stop"])
 
     rest = None
     for b in batches:
@@ -215,26 +244,26 @@ def _verify(batches, core: int):
         yield done(rest)
 
 
-def _split(batches, core: int):
-    """The rows of _verify -> (gram, ch, j, h, place): one row for each core."""
+def _split(batches):
+    """The rows of _verify -> (h, doc_id, key, at): one row for each core."""
     for b in batches:
-        h, ok = _cores(b, core)
-        i, j = np.nonzero(ok)
-        take = pa.array(i)
-        yield pa.RecordBatch.from_arrays([*[b.column(c).take(take) for c in ("gram", "ch", "copies", "doc_id", "key", "at")], pa.array(j.astype(np.int32)), pa.array(h[i, j].view(np.int64))], names=["gram", "ch", "copies", "doc_id", "key", "at", "j", "h"])
+        row, at, h = _flat_cores(b)
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("doc_id").take(take), b.column("key").take(take), pa.array(at.astype(np.int32))], names=["h", "doc_id", "key", "at"])
 
 
-VERIFIED = "gram long, ch long, lo int, hi int, own boolean, p_doc_id long, p_key long, p_at int"
+def _within():
+    """Whether a place and the first place of its words are in the same text."""
+    return F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("key") == F.col("p_key"))
 
 
 def _by_core(rows: DataFrame, core: int) -> DataFrame:
-    """What _verify returns, for buckets of any size: cores are grouped across tasks."""
-    side, place = core - SHINGLE, F.struct("doc_id", "key", "at")
-    each = rows.mapInArrow(lambda it: _split(it, core), "gram long, ch long, copies long, doc_id long, key long, at int, j int, h long")
-    first = each.groupBy("gram", "j", "h").agg(F.min(place).alias("p"))
-    own = place.eqNullSafe(F.col("p"))
-    found = each.join(first, ["gram", "j", "h"]).where(~own | (F.col("copies") > 1)).groupBy("gram", "ch", "p", own.alias("own")).agg(F.min("j").alias("x"), F.max("j").alias("y"))
-    return found.select("gram", "ch", (F.col("x") - side).cast("int").alias("lo"), (F.col("y") - side + core).cast("int").alias("hi"), "own", F.col("p.doc_id").alias("p_doc_id"), F.col("p.key").alias("p_key"), F.col("p.at").alias("p_at"))
+    """What _verify returns, a row for each core, for buckets of any size."""
+    each, place = rows.mapInArrow(_split, "h long, doc_id long, key long, at int"), F.struct("doc_id", "key", "at")
+    first = each.groupBy("h").agg(F.min(place).alias("p"))
+    found = each.join(first, "h").where(~place.eqNullSafe(F.col("p"))).select("doc_id", "key", F.col("p.doc_id").alias("p_doc_id"), F.col("p.key").alias("p_key"), "at", F.col("p.at").alias("p_at"))
+    start = F.when(_within(), F.greatest("at", F.col("p_at") + core)).otherwise(F.col("at"))
+    return found.select("doc_id", "key", "p_doc_id", "p_key", (F.col("at") - F.col("p_at")).alias("diagonal"), start.alias("start"), (F.col("at") + core).alias("stop"))
 
 
 def joined(spans: DataFrame, by: list[str]) -> DataFrame:
@@ -251,43 +280,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _cores_found(scratch: Scratch, docs: DataFrame, core: int, hot: int) -> DataFrame:
-    """(doc_id, key, p_doc_id, p_key, diagonal, start, stop): the words that an earlier place has, and where they are there."""
+    """FOUND: the words that an earlier place has, and where they are there."""
     texts = scratch.put(_keyed(docs).mapInArrow(_words, "doc_id long, key long, doc long, words binary"))
     keys = texts.select("doc", "words").mapInArrow(lambda it: _bands(it, core), "gram long, doc long, at int")
     spot = F.xxhash64("doc", "at")
-    common = scratch.put(keys.groupBy("gram").agg(F.min(spot).alias("x"), F.max(spot).alias("y")).where("x <> y").select("gram"))
-    places = keys.join(common, "gram", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("places"))
-    once = texts.groupBy("doc").agg(*[F.first(c).alias(c) for c in ("doc_id", "key", "words")])
-    around = once.join(places, "doc").select("doc_id", "key", "words", "places")
-    members = scratch.put(around.mapInArrow(lambda it: _around(it, core), "gram long, ch long, doc_id long, key long, at int, lo int, hi int, around binary"))
+    common = scratch.put(keys.groupBy("gram").agg(F.min(spot).alias("x"), F.max(spot).alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("gram", "n"))
+    shared, blocks = _filter(common)
+    members = texts.select("doc_id", "key", "words").mapInArrow(lambda it: _cores(it, core, shared, blocks), "gram long, doc_id long, key long, at int, cores binary")
+    large = common.where(F.col("n") > hot).select("gram")
+    some = not large.isEmpty()
+    plain = members.join(large, "gram", "left_anti") if some else members
+    found = plain.repartition("gram").sortWithinPartitions("gram", "doc_id", "key", "at").mapInArrow(lambda it: _verify(it, core), FOUND)
+    if some:
+        found = found.union(_by_core(members.join(large, "gram", "left_semi"), core))
+    out = scratch.put(found)
     scratch.drop(texts, common)
-    place = F.struct("doc_id", "key", "at")
-    distinct = members.groupBy("gram", "ch").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("lo", "hi", "around")])
-    distinct = distinct.select("gram", "ch", "copies", F.col("p.doc_id").alias("doc_id"), F.col("p.key").alias("key"), F.col("p.at").alias("at"), "lo", "hi", "around")
-    large = scratch.put(members.select("gram", "ch").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("gram"))
-    some = large.isEmpty()
-    plain = distinct if some else distinct.join(large, "gram", "left_anti")
-    verified = plain.repartition("gram").sortWithinPartitions("gram", "doc_id", "key", "at").mapInArrow(lambda it: _verify(it, core), VERIFIED)
-    if not some:
-        verified = verified.union(_by_core(distinct.join(large, "gram", "left_semi"), core))
-    found = members.select("gram", "ch", "doc_id", "key", "at").join(verified, ["gram", "ch"])
-    first = F.struct(F.col("p_doc_id").alias("doc_id"), F.col("p_key").alias("key"), F.col("p_at").alias("at"))
-    found = found.where(~(F.col("own") & place.eqNullSafe(first)))
-    within = F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("key") == F.col("p_key"))
-    start = F.col("at") + F.col("lo")
-    start = F.when(within, F.greatest(start, F.col("p_at") + F.col("lo") + core)).otherwise(start)
-    out = found.select("doc_id", "key", "p_doc_id", "p_key", (F.col("at") - F.col("p_at")).alias("diagonal"), start.alias("start"), (F.col("at") + F.col("hi")).alias("stop"))
-    # the same words are found by many places: one row a task and stretch before the shuffle
-    out = scratch.put(out.groupBy("doc_id", "key", "p_doc_id", "p_key", "diagonal", "start", "stop").agg(F.count(F.lit(1)).alias("n")).drop("n"))
-    scratch.drop(members, large)
+    shared.unpersist()
     return out
 
 
-def repeats(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST, hot: int = 8192) -> DataFrame:
+def repeats(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST, hot: int = 16_384) -> DataFrame:
     """(doc_id, key, start, stop, component): the words, from start to before stop, to remove from a text; key is its hash."""
     scratch, core = Scratch(docs.sparkSession), core_words(least, similarity)
     found = _cores_found(scratch, docs, core, hot)
-    pair = ["doc_id", "key", "p_doc_id", "p_key"]
+    pair, place = ["doc_id", "key", "p_doc_id", "p_key"], ["doc_id", "key", "start", "stop"]
     runs = joined(found.repartition("doc_id", "key"), [*pair, "diagonal"]).groupBy(*pair, "diagonal", "stretch").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("stretch")
     # neighbouring runs of the same two texts, and the words between them in either
     order = Window.partitionBy(*pair).orderBy("start", "stop", "diagonal")
@@ -295,22 +311,21 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST,
     gap, theirs = F.col("start") - before["stop"], F.col("start") - F.col("diagonal") - before["stop"] + before["diagonal"]
     lengths = F.col("stop") - F.col("start") + before["stop"] - before["start"]
     common, all_ = lengths - 2 * (SHINGLE - 1), 2 * lengths + gap + theirs - 2 * (SHINGLE - 1)
-    apart = ~(F.col("doc_id").eqNullSafe(F.col("p_doc_id")) & (F.col("key") == F.col("p_key")))
-    near = (gap >= 0) & (theirs >= 0) & apart & (common >= similarity * (all_ - common))
-    runs = scratch.put(runs.withColumn("start", F.when(F.coalesce(near, F.lit(False)), before["stop"]).otherwise(F.col("start"))))
+    near = (gap >= 0) & (theirs >= 0) & ~_within() & (common >= similarity * (all_ - common))
+    runs = runs.withColumn("start", F.when(F.coalesce(near, F.lit(False)), before["stop"]).otherwise(F.col("start")))
+    runs = scratch.put(runs.select(*place, "p_doc_id", "p_key", (F.col("start") - F.col("diagonal")).alias("p_start"), (F.col("stop") - F.col("diagonal")).alias("p_stop")))
     scratch.drop(found)
-    # clusters: stretches of either side that overlap are one node
-    sides = scratch.put(
-        runs.select(F.xxhash64(*runs.columns).alias("run"), F.lit(True).alias("mine"), "doc_id", "key", "start", "stop")
-        .union(runs.select(F.xxhash64(*runs.columns), F.lit(False), "p_doc_id", "p_key", F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")))
-    )
-    node = F.xxhash64("doc_id", "key", "stretch")
-    nodes = scratch.put(joined(sides, ["doc_id", "key"]).withColumn("node", node))
-    a, b = (nodes.where(F.col("mine") == m).select("run", F.col("node").alias(n)) for m, n in ((True, "a"), (False, "b")))
-    root = components(scratch, a.join(b, "run").select("a", "b"))
-    spans = joined(nodes.where("mine").drop("stretch"), ["doc_id", "key"]).groupBy("doc_id", "key", "stretch").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("node").alias("node"))
+    # clusters: stretches that overlap, of either side, are one node; equal ones are one row
+    theirs = runs.select(F.col("p_doc_id").alias("doc_id"), F.col("p_key").alias("key"), F.col("p_start").alias("start"), F.col("p_stop").alias("stop"), F.lit(0).alias("mine"))
+    sides = runs.select(*place, F.lit(1).alias("mine")).union(theirs).groupBy(*place).agg(F.max("mine").alias("mine"))
+    nodes = scratch.put(joined(sides.repartition("doc_id", "key"), ["doc_id", "key"]).select(*place, "mine", F.xxhash64("doc_id", "key", "stretch").alias("node")))
+    spot, p_spot = F.xxhash64(*place), F.xxhash64("p_doc_id", "p_key", "p_start", "p_stop")
+    named = nodes.select(spot.alias("spot"), "node")
+    links = runs.select(spot.alias("spot"), p_spot.alias("p_spot")).join(named.withColumnRenamed("node", "a"), "spot").join(named.select(F.col("spot").alias("p_spot"), F.col("node").alias("b")), "p_spot")
+    root = components(scratch, links.select("a", "b"))
+    spans = joined(nodes.where("mine = 1"), ["doc_id", "key"]).groupBy("doc_id", "key", "stretch").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("node").alias("node"))
     out = scratch.put(spans.join(root, "node", "left").select("doc_id", "key", "start", "stop", F.coalesce("root", "node").alias("component")))
-    scratch.drop(runs, sides, nodes)
+    scratch.drop(runs, nodes)
     return out
 
 
