@@ -65,6 +65,15 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """All rows of a key in one partition, for functions over whole partitions.
+
+    Dealt by an expression of its own: after a join on the same keys Spark leaves a repartition by them out, and may then
+    split the partitions of the join.
+    """
+    return df.repartition(F.xxhash64(F.lit("gathered"), *keys))
+
+
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b); root is the smallest node that it reaches.
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, components, mix, words_of
+from .common import Scratch, components, gathered, mix, words_of
 
 SHINGLE = 5
 LEAST = 20  # words of a paragraph
@@ -290,7 +290,7 @@ def _cores_found(scratch: Scratch, docs: DataFrame, core: int, hot: int) -> Data
     large = common.where(F.col("n") > hot).select("gram")
     some = not large.isEmpty()
     plain = members.join(large, "gram", "left_anti") if some else members
-    found = plain.repartition("gram").sortWithinPartitions("gram", "doc_id", "key", "at").mapInArrow(lambda it: _verify(it, core), FOUND)
+    found = gathered(plain, "gram").sortWithinPartitions("gram", "doc_id", "key", "at").mapInArrow(lambda it: _verify(it, core), FOUND)
     if some:
         found = found.union(_by_core(members.join(large, "gram", "left_semi"), core))
     out = scratch.put(found)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, words_of
+from .common import Scratch, components, gathered, words_of
 
 CUTS = (0, 11, 22, 33, 44, 54, 64)
 TABLES = tuple(combinations(range(6), 3))
@@ -207,7 +207,7 @@ def linked(scratch: Scratch, prints: DataFrame, radius: int = 3, hot: int = 8192
     dealt = dealt.select(F.col("k.t").alias("t"), F.col("k.key").alias("key"), "fp", "node")
     sizes = dealt.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"))
     large = scratch.put(sizes.where(F.col("n") > hot))
-    run = lambda rows: rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp", "side").mapInArrow(lambda it: _links(it, radius, hot), "a long, b long")
+    run = lambda rows: gathered(rows, "t", "key").sortWithinPartitions("t", "key", "fp", "side").mapInArrow(lambda it: _links(it, radius, hot), "a long, b long")
     plain = dealt.withColumn("side", F.lit(0).cast("byte"))
     if large.isEmpty():
         return run(plain)

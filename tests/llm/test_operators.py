@@ -278,6 +278,17 @@ def test_passages_brute_force(spark):
             assert first.setdefault(core, c) == c
 
 
+def test_gathered_survives_a_join(spark):
+    """Spark leaves a plain repartition by a join's keys out; ours stays, so the rows of a key are together."""
+    from kindred.llm.common import gathered
+
+    a = spark.range(100).withColumnRenamed("id", "k")
+    both = a.join(a.where("k > 50").hint("merge"), "k", "left_anti")
+    plan = gathered(both, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "gathered" in plan and "REPARTITION_BY_COL" in plan
+    assert "REPARTITION_BY_COL" not in both.repartition("k")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_core_is_in_every_near_pair():
     """Stretches of 20 words or more with a Jaccard of 0.8 share 19 words in a row."""
     core, shingles = paragraphs.core_words(), lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
