@@ -15,7 +15,7 @@ INDIC_FORMS = (r"(?:praaivett|praiveett|praaevett|praivett)\s+(?:limittedd|limit
 LEGAL = ("private limited", "pvt ltd", "et fils", "limited liability company", "llp", "sarl", "sas", "sasu", "eurl", "sa", "sci", "incorporated", "inc", "corporation", "corp", "llc", "limited", "ltd", "company", "co")
 # Address abbreviations.
 ABBREVIATIONS = {"st": "street", "rd": "road", "ave": "avenue", "av": "avenue", "blvd": "boulevard", "bd": "boulevard", "dr": "drive", "ln": "lane", "ct": "court", "hwy": "highway", "pkwy": "parkway", "bldg": "building", "fl": "floor", "apt": "apartment", "ste": "suite", "pl": "place", "r": "rue", "rte": "route", "all": "allee", "imp": "impasse"}
-# Words without weight in keys.
+# Words without weight in keys, names of places, general words of addresses, lines of business, and two patterns of domains.
 STOP = ("the", "and", "for", "of", "in", "on", "at", "to", "by", "with", "from", "de", "du", "des", "la", "le", "et", "near", "opp", "opposite", "behind")
 CITY = ("delhi", "mumbai", "bangalore", "bengaluru", "hyderabad", "chennai", "kolkata", "pune", "ahmedabad", "jaipur", "india", "new", "south", "north", "east", "west", "paris", "lyon", "bordeaux", "ny", "ca", "tx", "fl")
 GENERIC = ("street", "road", "avenue", "boulevard", "lane", "drive", "floor", "building", "rue", "allee", "route", "court", "plaza", "parkway")
@@ -144,17 +144,51 @@ def romanized_name(c: Column) -> Column:
     return F.when(has_non_latin(c), F.trim(F.regexp_replace(x, r"\s+", " "))).otherwise(business_name(c))
 
 
+# The spellings that count as a match in an answer that is no JSON.
+MATCH_SPELLINGS = ('"is_match": true', '"is_match":true', "is_match = true")
+# The instruction to the language model.
+SYSTEM_PROMPT = (
+    "You are an international business entity resolution expert fluent in multiple languages including English, Hindi, and French. "
+    "Analyze Record A and Record B and determine if they refer to the exact same real-world business entity despite differences in language, script, address formatting, abbreviations, or legal entity suffixes. "
+    "Return a valid JSON object with keys: 'is_match' (boolean), 'confidence' (float 0.0-1.0), and 'rationale' (string)."
+)
+
+
+def _json(c: Column) -> Column:
+    """The text if it is one JSON object and nothing more, else null; within brackets, what follows an object counts too."""
+    return F.when((F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1) & c.startswith("{"), c)
+
+
 def parse_verdict(c: Column) -> Column:
-    """(is_match, confidence, rationale) of a model's answer: JSON, else JSON within braces, else a guess from its words."""
-    kind = "is_match boolean, confidence double, rationale string"
-    whole, inner = F.from_json(c, kind), F.from_json(F.regexp_extract(c, r"(?s)\{.*\}", 0), kind)
-    yes = F.lower(c).rlike(r"\"?is_match\"?\s*:\s*true|\byes\b|\btrue\b")
-    guess = F.struct(yes.alias("is_match"), F.when(yes, 0.9).otherwise(0.1).alias("confidence"), F.lit("heuristic").alias("rationale"))
-    fill = lambda s: F.struct(s["is_match"].alias("is_match"), F.coalesce(s["confidence"], F.lit(0.5)).alias("confidence"), F.coalesce(s["rationale"], F.lit("")).alias("rationale"))
-    return F.when(whole["is_match"].isNotNull(), fill(whole)).when(inner["is_match"].isNotNull(), fill(inner)).otherwise(guess)
-
-
-def chat_prompt(a: Column, b: Column) -> Column:
-    """User message on two records (structs of name, address, country)."""
-    say = lambda r, n: F.format_string(f"Record {n}:\nName: %s\nAddress: %s\nCountry: %s\n", r["business_name"], r["business_address"], r["country"])
-    return F.concat(say(a, "A"), say(b, "B"), F.lit("Are these the same business? Answer in JSON."))
+    """(is_match, confidence, rationale) of a model's answer.
+
+    JSON, else JSON from the first brace to the last, with false, 0.5 and nothing for what it lacks; else a match at 0.9 if the
+    answer holds one of the spellings of a match, none at 0.1 if not, with the answer's first 80 characters.
+    """
+    raw = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""))
+    found = F.coalesce(_json(raw), _json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
+    of = F.from_json(found, "is_match boolean, confidence double, rationale string")
+    parsed = F.struct(F.coalesce(of["is_match"], F.lit(False)).alias("is_match"), F.coalesce(of["confidence"], F.lit(0.5)).alias("confidence"), F.coalesce(of["rationale"], F.lit("")).alias("rationale"))
+    yes = F.lit(False)
+    for spelling in MATCH_SPELLINGS:
+        yes = yes | F.lower(raw).contains(spelling)
+    guess = F.struct(yes.alias("is_match"), F.when(yes, 0.9).otherwise(0.1).alias("confidence"), F.substring(raw, 1, 80).alias("rationale"))
+    return F.when(found.isNotNull(), parsed).otherwise(guess)
+
+
+def chat_user(a: Column, b: Column) -> Column:
+    """The user's message on two records (structs of name, address, country)."""
+    blank = lambda r, x: F.coalesce(r[x], F.lit(""))
+    say = lambda r, n: F.concat(F.lit(f"Record {n}:\nName: "), blank(r, "business_name"), F.lit("\nAddress: "), blank(r, "business_address"), F.lit("\nCountry: "), blank(r, "country"))
+    return F.concat(say(a, "A"), F.lit("\n\n"), say(b, "B"))
+
+
+def chat_messages(a: Column, b: Column, verdict: Column | None = None) -> Column:
+    """Messages (role, content) to a model: instruction, records, and, for training, the verdict (is_match, confidence, rationale) as JSON."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    out = [message("system", F.lit(SYSTEM_PROMPT)), message("user", chat_user(a, b))]
+    if verdict is not None:
+        quoted = F.regexp_extract(F.to_json(F.struct(verdict["rationale"].alias("r"))), r'(?s)^\{"r":(.*)\}$', 1)
+        said = F.concat(F.lit('{"is_match": '), verdict["is_match"].cast("string"), F.lit(', "confidence": '), F.round(verdict["confidence"], 2).cast("string"), F.lit(', "rationale": '), quoted, F.lit("}"))
+        out.append(message("assistant", said))
+    return F.array(*out)

@@ -98,3 +98,81 @@ def chunked_candidates(records: DataFrame, size: int = 100_000, k: int = 35, cap
     scored = ask.join(posted, ["idx", "country", "key"]).groupBy("s1_id", "cand_id", "cand_seq", "source", "chunk").agg(F.sum(weight()).alias("block_score"))
     best = Window.partitionBy("s1_id", "source", "chunk").orderBy(F.desc("block_score"), "cand_seq", "cand_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("s1_id", "cand_id", "block_score", "rank")
+
+
+@dataclass(frozen=True)
+class Runner:
+    """A country runner: posting cap, candidates of a record, and the weights of plot codes, compound numbers and address words."""
+
+    cap: int
+    k: int
+    plot: int
+    compound: int
+    word: int
+    romanized: bool
+
+
+RUNNER_V3 = Runner(150, 20, 12, 10, 3, False)
+RUNNER_FAST = Runner(100, 8, 15, 15, 10, True)
+
+
+def _raw_words(c, marks: str):
+    """Words of four letters or more of a raw address, split at ``marks`` too."""
+    w = T.words(F.translate(F.lower(F.coalesce(c, F.lit(""))), marks, " " * len(marks)))
+    return F.filter(w, lambda t: (F.length(t) >= 4) & ~t.isin(*T.STOP, *T.CITY))
+
+
+def _name_keys(name):
+    """Keys of a normalised name; repeats stay."""
+    w = T.words(name)
+    first = F.get(w, F.lit(0))
+    good = F.coalesce(~first.isin(*T.CITY) & (F.length(first) >= 3), F.lit(False))
+    struct = lambda idx, x: F.struct(F.lit(idx).alias("idx"), x.alias("key"))
+    none = F.array().cast("array<struct<idx:string,key:string>>")
+    one = lambda idx, cond, x: F.when(cond, F.array(struct(idx, x))).otherwise(none)
+    tokens = F.filter(w, lambda t: (F.length(t) >= 3) & ~t.isin(*T.STOP))
+    return F.concat(one("exact", name != "", name), one("first", good, first), one("sound", good & (T.soundex(first) != ""), T.soundex(first)), F.transform(tokens, lambda t: struct("token", t)))
+
+
+def runner_keys(records: DataFrame, address_words, romanized: bool = False) -> DataFrame:
+    """One row per key occurrence of records with name and addr: (entity_id, source, country, seq, first, pos, idx, key)."""
+    raw, prefix = F.col("business_address"), lambda p, a: F.transform(a, lambda x: F.struct(F.lit(p).alias("idx"), x.alias("key")))
+    names = _name_keys(F.col("name"))
+    if romanized:
+        again = _name_keys(T.romanized_name(F.col("business_name")))
+        names = F.when(T.has_non_latin(F.col("business_name")), F.concat(names, again)).otherwise(names)
+    keys = F.concat(names, prefix("plot", T.plot_codes(raw)), prefix("cnum", T.compound_numbers(raw)), prefix("aw", address_words))
+    return records.select(*RECORD, F.get(T.words(F.col("name")), F.lit(0)).alias("first"), F.posexplode(keys).alias("pos", "k")).select(*RECORD, "first", "pos", "k.*")
+
+
+def runner_candidates(records: DataFrame, runner: Runner) -> DataFrame:
+    """(s1_id, cand_id, block_score, rank) as the country runners find them.
+
+    A sound is asked for only where the first word has a posting; a runner that romanises posts names of Indic scripts a
+    second time in Latin letters.  Ties go by input order.
+    """
+    text = with_text(records)
+    plain = _raw_words(F.col("business_address"), ",./-#")
+    indexed = F.filter(plain, lambda t: ~t.isin(*T.GENERIC) & ~t.rlike("^[0-9]+$"))
+    asked = F.filter(T.words(F.col("addr")), lambda t: (F.length(t) >= 4) & ~t.isin(*T.STOP, *T.CITY)) if runner.romanized else _raw_words(F.col("business_address"), ",./-")
+    posted = capped(runner_keys(text.where("source <> 'S1'"), indexed, runner.romanized), runner.cap)
+    ask = runner_keys(text.where("source = 'S1'"), asked)
+    firsts = posted.where("idx = 'first'").select("country", F.col("key").alias("first")).distinct()
+    ask = ask.where("idx <> 'sound'").unionByName(ask.where("idx = 'sound'").join(firsts, ["country", "first"], "left_semi"))
+    hits = ask.select("idx", "country", "key", F.col("entity_id").alias("s1_id")).join(posted.select("idx", "country", "key", F.col("entity_id").alias("cand_id"), F.col("seq").alias("cand_seq")), ["idx", "country", "key"])
+    idx = F.col("idx")
+    worth = F.when(idx == "exact", 40).when(idx == "first", 15).when(idx == "sound", 8).when(idx == "token", F.when(F.col("key").isin(*T.CITY), 2).otherwise(6)).when(idx == "plot", runner.plot).when(idx == "cnum", runner.compound).otherwise(runner.word)
+    scored = hits.groupBy("s1_id", "cand_id", "cand_seq").agg(F.sum(worth).alias("block_score"))
+    order = Window.partitionBy("s1_id").orderBy(F.desc("block_score"), "cand_seq", "cand_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= runner.k).select("s1_id", "cand_id", "block_score", "rank")
+
+
+def reverse_keys(text: DataFrame) -> DataFrame:
+    """(entity_id, source, country, seq, kind, key), each once: exact name, first word, five words, their trigrams, address keys."""
+    w = F.filter(T.words(F.col("name")), lambda t: (F.length(t) >= 3) & ~t.isin(*T.STOP, *T.CITY))
+    five = F.slice(w, 1, 5)
+    struct = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("key"))
+    grams = F.flatten(F.transform(F.filter(five, lambda t: F.length(t) >= 5), lambda t: T.trigrams(t)))
+    some = lambda kind, a: F.transform(F.array_distinct(a), lambda x: struct(kind, x))
+    keys = F.concat(some("exact", F.filter(F.array("name"), lambda x: x != "")), some("first", F.slice(w, 1, 1)), some("token", five), some("tri", grams), some("addr", address_keys(F.col("addr"), F.col("business_address"))))
+    return text.select(*RECORD, F.explode(keys).alias("k")).select(*RECORD, "k.*")

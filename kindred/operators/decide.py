@@ -82,19 +82,26 @@ def merged(s1: DataFrame, matches: DataFrame, candidates: DataFrame) -> DataFram
     return out.select("s1_id", "seq", F.coalesce("ids", none).alias("ids"), F.array_union(F.coalesce("c", none), F.coalesce("ids", none)).alias("cand_ids"))
 
 
+RULES = ("v1_missing_or_repeated", "v2_unknown_s1", "v3_unknown_id", "v4_repeats", "v5_self", "v6_not_candidate")
+
+
 def violations(s1: DataFrame, others: DataFrame, lists_: DataFrame) -> DataFrame:
-    """(rule, n): breaches of the submission rules by (s1_id, ids, cand_ids)."""
-    one = lists_.withColumn("id", F.explode("ids"))
-    rules = {
-        "v1_missing_or_repeated": s1.join(lists_.groupBy("s1_id").count(), "s1_id", "left").where(F.coalesce("count", F.lit(0)) != 1),
-        "v2_unknown_s1": lists_.join(s1, "s1_id", "left_anti"), "v3_unknown_id": one.join(others.select(F.col("entity_id").alias("id")), "id", "left_anti"),
-        "v4_repeats": lists_.where(F.size("ids") != F.size(F.array_distinct("ids"))), "v5_self": one.where("id = s1_id"), "v6_not_candidate": lists_.where(F.size(F.array_except("ids", "cand_ids")) > 0),
-    }
-    out = None
-    for name, rows in rules.items():
-        n = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")
-        out = n if out is None else out.union(n)
-    return out
+    """(rule, n): breaches of the submission rules by (s1_id, ids, cand_ids).
+
+    Three passes, none of them over what made the lists twice if those are stored: lists against records, ids against the
+    pool, and the rules that a list can break on its own.
+    """
+    seen = lists_.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"))
+    both = s1.select("s1_id", F.lit(True).alias("known")).join(seen, "s1_id", "full")
+    one = both.agg(F.count_if(F.col("known") & (F.coalesce("n", F.lit(0)) != 1)).alias(RULES[0]), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias(RULES[1]))
+    ids = lists_.select(F.explode("ids").alias("entity_id")).join(others.select("entity_id"), "entity_id", "left_anti").agg(F.count(F.lit(1)).alias(RULES[2]))
+    own = lists_.agg(
+        F.count_if(F.size("ids") != F.size(F.array_distinct("ids"))).alias(RULES[3]),
+        F.coalesce(F.sum(F.size(F.filter("ids", lambda x: x == F.col("s1_id")))), F.lit(0)).cast("long").alias(RULES[4]),
+        F.count_if(F.size(F.array_except("ids", "cand_ids")) > 0).alias(RULES[5]),
+    )
+    row = one.join(ids).join(own)  # one row each
+    return row.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).cast("long").alias("n")) for r in RULES])).alias("x")).select("x.*")
 
 
 def binary(p="p", tau: float = 0.5):

@@ -48,6 +48,11 @@ def sweep(s1: DataFrame, truth: DataFrame, scored: DataFrame, grid: DataFrame) -
     return out.select("tau", "m", F.round((F.col("f") + F.col("singles") - F.col("lost")) / F.col("n"), 6).alias("macro_f05"), F.col("links").cast("long").alias("predicted_links"), F.col("with_pred").cast("long").alias("s1_with_predictions"))
 
 
+def best_of_sweep(swept: DataFrame) -> DataFrame:
+    """The row of the highest macro-F0.5; of equals the first of the grid."""
+    return swept.orderBy(F.desc("macro_f05"), "tau", "m").limit(1)
+
+
 def recall(s1: DataFrame, truth: DataFrame, pairs: DataFrame) -> DataFrame:
     hit = truth.join(pairs.select("s1_id", "cand_id").distinct().withColumn("hit", F.lit(1)), ["s1_id", "cand_id"], "left")
     per = hit.groupBy("s1_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("hit", F.lit(0))).alias("h"))

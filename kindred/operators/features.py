@@ -82,6 +82,16 @@ def first_generation() -> list:
     ]
 
 
+def domain_link():
+    """1 if one name is a domain and its stem is in the other, or like it; or if either holds a web ending and the names are alike."""
+    a, b = F.col("a"), F.col("b")
+    like = lambda x, y, least: K.token_sort_udf(x, y) >= least
+    one = lambda x, y: y["name"].contains(F.replace(x["stem"], F.lit("-"), F.lit(" "))) | like(F.replace(x["stem"], F.lit("-"), F.lit(" ")), y["name"], 0.75)
+    web = F.lower(F.concat_ws(" ", a["business_name"], b["business_name"])).rlike(r"\.(?:com|in|org|net)")
+    here, there = a["stem"] != "", b["stem"] != ""
+    return _flag(F.when(here & ~there, one(a, b)).when(there & ~here, one(b, a)).otherwise(web & like(a["name"], b["name"], 0.7))).alias("domain_match")
+
+
 def scorecard():
     """A transparent logistic score of set features."""
     z = -4.0 + 3.0 * F.col("exact_name_match") + 3.0 * F.col("name_jaccard") + 4.0 * F.col("address_token_jaccard") - 1.0 * F.col("number_conflict_flag")

@@ -2,29 +2,63 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INPUTS = ["exact_name_match", "number_overlap_ratio", "exact_number_match", "number_conflict_flag", "address_token_jaccard", "missing_address_flag", "name_length_diff", "token_count_ratio", "name_jaccard"]
+from . import features
+
+#: The 14 features, in the order of the model's inputs.
+INPUTS = [
+    "levenshtein_ratio", "jaro_winkler", "token_sort_ratio", "token_set_ratio", "exact_name_match", "domain_match_flag", "number_overlap_ratio",
+    "exact_number_match", "number_conflict_flag", "address_token_jaccard", "address_token_sort_ratio", "missing_address_flag", "name_length_diff", "token_count_ratio",
+]
+
 
+def featured(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs with the model's inputs; the string kernels see each pair of records once."""
+    wide = features.paired(pairs, records)
+    return wide.select(*pairs.columns, *features.set_features(), *features.kernel_features()).select(*pairs.columns, *INPUTS)
 
-def train(pairs: DataFrame, trees: int = 20, inputs: list[str] | None = None):
-    """A boosted model of label on the features, with a validation share for early stopping."""
+
+def train(pairs: DataFrame, trees: int = 60, held: str = "held", inputs: list[str] | None = None) -> PipelineModel:
+    """A boosted model of ``label`` on the inputs.  Rows where ``held`` is true are not learned from; they stop the boosting early."""
     inputs = inputs or INPUTS
-    data = VectorAssembler(inputCols=inputs, outputCol="features").transform(pairs)
-    return GBTClassifier(labelCol="label", maxIter=trees, stepSize=0.1, maxDepth=5, subsamplingRate=0.8, seed=42, validationIndicatorCol="held").fit(data)
+    trees_ = GBTClassifier(labelCol="label", maxIter=trees, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42, validationIndicatorCol=held)
+    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), trees_]).fit(pairs)
+
+
+def retrained(pairs: DataFrame, negatives: DataFrame, trees: int = 60) -> PipelineModel:
+    """A model of the pairs and of hard negatives that are not among them; negatives of held-out records are left out."""
+    more = negatives.join(pairs.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti").where("NOT held").dropDuplicates(["s1_id", "cand_id"])
+    columns = ["s1_id", "cand_id", "label", "held", *INPUTS]
+    return train(pairs.select(*columns).union(more.withColumn("label", F.lit(0.0)).select(*columns)), trees)
+
+
+def predict(model: PipelineModel, pairs: DataFrame) -> DataFrame:
+    out = model.transform(pairs).withColumn("p", F.round(vector_to_array("probability")[1], 6))
+    return out.drop("features", "rawPrediction", "probability", "prediction")
+
+
+def importances(model: PipelineModel, most: int = 8) -> list[tuple[str, float]]:
+    """The inputs that the trees lean on most."""
+    assembler, trees = model.stages
+    return sorted(zip(assembler.getInputCols(), trees.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:most]
+
+
+def metadata(model: PipelineModel, **measured) -> str:
+    """Inputs, number of trees and what was measured, as JSON."""
+    return json.dumps({"inputs": model.stages[0].getInputCols(), "trees": model.stages[1].getNumTrees} | measured, sort_keys=True)
 
 
-def predict(model, pairs: DataFrame, inputs: list[str] | None = None) -> DataFrame:
-    data = VectorAssembler(inputCols=inputs or INPUTS, outputCol="features").transform(pairs)
-    return model.transform(data).withColumn("p", F.round(vector_to_array("probability")[1], 6)).drop("features", "rawPrediction", "probability", "prediction")
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
 
 
-def report(scored: DataFrame, tau: float = 0.5) -> DataFrame:
-    """Precision, recall, F1 and support by label."""
-    yes, true = F.col("p") >= tau, F.col("label") == 1
-    n = scored.agg(F.count_if(yes & true).alias("tp"), F.count_if(yes & ~true).alias("fp"), F.count_if(~yes & true).alias("fn"), F.count_if(~yes & ~true).alias("tn"))
-    return n.withColumn("precision", F.try_divide("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide("tp", F.col("tp") + F.col("fn")))
+def load(spark: SparkSession, path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -237,17 +237,31 @@ def pair_features_first_generation(spark, d):
     return f.select(*PAIR, *[F.round(c, 6).alias(c) for c in names])
 
 
-ASCII = "NOT regexp_matches(an || bn, '[^\\x00-\\x7F]') AND an <> '' AND bn <> ''"
+# SQL's distances count bytes: letters beyond ASCII that accents don't explain become marks that names don't hold.
+BEYOND = "ßæðøþđħıĸłŋœŧªº"
+MARKS = "!#$%&*+,-./:;<="
 
 
-@query(f"{SCORED} SELECT s1_id, cand_id, round(1 - levenshtein(an, bn) / greatest(length(an), length(bn)), 6) AS levenshtein_ratio, round(jaro_winkler_similarity(an, bn), 6) AS jaro_winkler FROM sc WHERE {ASCII}")
+def sql_bytes(x):
+    return f"translate({x}, '{BEYOND}', '{MARKS}')"
+
+
+EDIT = f"CASE WHEN greatest(length(an), length(bn)) = 0 THEN 1.0 ELSE round(1 - levenshtein({sql_bytes('an')}, {sql_bytes('bn')}) / greatest(length(an), length(bn)), 6) END::DOUBLE AS levenshtein_ratio, CASE WHEN an = bn THEN 1.0 WHEN an = '' OR bn = '' THEN 0.0 ELSE round(jaro_winkler_similarity({sql_bytes('an')}, {sql_bytes('bn')}), 6) END::DOUBLE AS jaro_winkler"
+
+
+@query(f"{SCORED} SELECT s1_id, cand_id, {EDIT} FROM sc")
 def pair_features_edit(spark, d):
-    """SQL's distances count bytes, so pairs with characters beyond ASCII stay out of this comparison."""
     r = recs(spark, d)
-    f = features.paired(blocking.candidates(r), r).where("NOT concat(a.name, b.name) RLIKE '[^\\\\x00-\\\\x7F]' AND a.name <> '' AND b.name <> ''")
+    f = features.paired(blocking.candidates(r), r)
     return f.select(*PAIR, *features.kernel_features()[:2]).select(*PAIR, *[F.round(c, 6).alias(c) for c in ("levenshtein_ratio", "jaro_winkler")])
 
 
+@query()
+def pair_domain_link(spark, d):
+    r = recs(spark, d)
+    return features.paired(blocking.candidates(r), r).select(*PAIR, features.domain_link())
+
+
 @query()
 def pair_features_token(spark, d):
     r = recs(spark, d)
@@ -322,10 +336,10 @@ def grid_sweep(spark, d):
     return _sweep(spark, d, MARGINS)
 
 
-@query(f"""{SCORED}, h AS (SELECT s1_id, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM cand c WHERE c.s1_id = t.s1_id AND c.cand_id = t.cand_id)) AS h FROM truth t GROUP BY 1)
+@query(f"""{SCORED.replace('rank <= 20', 'rank <= 35')}, h AS (SELECT s1_id, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM cand c WHERE c.s1_id = t.s1_id AND c.cand_id = t.cand_id)) AS h FROM truth t GROUP BY 1)
 SELECT count(*) AS entities_with_truth, CAST(sum(n) AS BIGINT) AS true_links, CAST(sum(h) AS BIGINT) AS captured_links, round(sum(h) / sum(n), 6) AS link_recall, round(avg(CAST(h = n AS DOUBLE)), 6) AS entity_recall, (SELECT count(*) FROM cand) AS candidate_pairs, (SELECT count(*) FROM s1) AS n_s1, round((SELECT count(*) FROM cand) / (SELECT count(*) FROM s1), 6) AS avg_candidates FROM h""")
 def blocking_recall(spark, d):
-    return evaluate.recall(s1(spark, d), truth(spark, d), blocking.candidates(recs(spark, d)))
+    return evaluate.recall(s1(spark, d), truth(spark, d), blocking.candidates(recs(spark, d), 35))
 
 
 OUT = f"o AS (SELECT *, CASE WHEN p >= {TAU} AND hit THEN 'TP' WHEN p >= {TAU} THEN 'FP' WHEN hit THEN 'FN' ELSE 'TN' END AS outcome FROM (SELECT sc.*, EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = sc.s1_id AND t.cand_id = sc.cand_id) AS hit FROM sc))"
@@ -368,17 +382,40 @@ def training_pairs(spark, d):
     return mining.training_pairs(blocking.candidates(recs(spark, d)), truth(spark, d))
 
 
-@query(f"""{SCORED}, m AS (SELECT s1_id, cand_id, CAST(CASE WHEN exact_name_match = 1 THEN 50 ELSE 0 END + least(8 * len(list_intersect(anw, bnw)), 32) + least(10 * len(list_intersect(aaw, baw)), 40) + CASE WHEN len(anu) > 0 AND len(bnu) > 0 THEN CASE WHEN len(list_intersect(anu, bnu)) > 0 THEN 20 ELSE 5 END ELSE 0 END AS INTEGER) AS score FROM sc WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = sc.s1_id AND t.cand_id = sc.cand_id))
-SELECT s1_id, cand_id, score, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id DESC) AS n FROM m) WHERE n <= 25""")
-def blocking_score_mining(spark, d):
-    pairs = scored(spark, d).select(*PAIR, mining.blocking_score())
-    return mining.reverse_mined(pairs, truth(spark, d))
+REVERSE = f"""rv AS (SELECT *, list_filter(w, lambda t: length(t) >= 3 AND t NOT IN {sql_in((*T.STOP, *T.CITY))})[1:5] AS five, list_distinct(list_filter(w, lambda t: length(t) >= 3 AND t NOT IN {sql_in(T.STOP)})) AS stoks, list_distinct(akeys) AS sk, list_distinct({NUMS.format('addr')}) AS snums FROM k3),
+rk AS (SELECT DISTINCT entity_id, source, country, seq, unnest(flatten([CASE WHEN name <> '' THEN ['exact|' || name] ELSE [] END, list_transform(five[1:1], lambda t: 'first|' || t), list_transform(five, lambda t: 'token|' || t),
+  flatten(list_transform(list_filter(five, lambda t: length(t) >= 5), lambda t: list_transform(generate_series(1, length(t) - 2), lambda i: 'tri|' || substr(t, i, 3)))), list_transform(akeys, lambda t: 'addr|' || t)])) AS key FROM rv),
+ask AS (SELECT * FROM rk WHERE entity_id IN (SELECT entity_id FROM rec WHERE source = 'S1' ORDER BY seq, entity_id LIMIT 2000)),
+rp AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM ask a JOIN rk b USING (country, key) WHERE b.source <> 'S1'),
+rs AS (SELECT s1_id, cand_id, b.source, CAST(CASE WHEN a.name <> '' AND a.name = b.name THEN 50 ELSE 0 END + least(8 * len(list_intersect(a.stoks, b.stoks)), 32) + least(10 * len(list_intersect(a.sk, b.sk)), 40)
+  + CASE WHEN len(a.snums) > 0 AND len(b.snums) > 0 THEN CASE WHEN len(list_intersect(a.snums, b.snums)) > 0 THEN 20 ELSE 5 END ELSE 0 END AS INTEGER) AS score
+  FROM rp JOIN rv a ON a.entity_id = s1_id JOIN rv b ON b.entity_id = cand_id WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = rp.s1_id AND t.cand_id = rp.cand_id)),
+rh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, s1_id ORDER BY score DESC, cand_id DESC) AS h FROM rs) WHERE h <= 80)"""
+
+
+@query(", ".join(("WITH " + REC, TXT, KEYS, SRC, TRUTH, REVERSE)) + " SELECT s1_id, cand_id, score, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id DESC) AS n FROM rh) WHERE n <= 25")
+def reverse_mining(spark, d):
+    return mining.reverse_mined(recs(spark, d), truth(spark, d))
 
 
-@query(f"{SCORED} SELECT s1_id, cand_id, exact_number_match = 1 AND address_token_jaccard >= 0.5 AND name_jaccard < 0.7 AS number_address_trap, name_jaccard >= 0.9 AND address_token_jaccard >= 0.4 AS name_address, name_jaccard >= 0.85 AND number_conflict_flag = 1 AS name_conflict, address_token_jaccard >= 0.7 AND name_jaccard < 0.3 AS address_only FROM sc WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = sc.s1_id AND t.cand_id = sc.cand_id)")
+@query()
 def hard_negatives(spark, d):
-    rest = scored(spark, d).join(truth(spark, d), list(PAIR), "left_anti")
-    return rest.select(*PAIR, *[c.alias(k) for k, c in mining.hard_negative_rules().items()])
+    return mining.hard_negatives(recs(spark, d), truth(spark, d))
+
+
+def pooled(cap: int, base: str = "rec0") -> str:
+    """SQL of the S1 records, the first ``cap`` others, and all true ones."""
+    return f"rec AS (SELECT entity_id, source, business_name, business_address, country, seq FROM (SELECT *, row_number() OVER (PARTITION BY source = 'S1' ORDER BY source, seq, entity_id) AS place FROM {base}) WHERE source = 'S1' OR place <= {cap} OR entity_id IN (SELECT cand_id FROM truth))"
+
+
+POOL_CAP = 60_000
+
+
+@query(", ".join(("WITH " + REC.replace("rec AS", "rec0 AS", 1), SRC, TRUTH, pooled(POOL_CAP), TXT, KEYS, CAP, CAND)) + """, late AS (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY cand_id) AS m FROM (SELECT DISTINCT s1_id, cand_id FROM truth ANTI JOIN cand USING (s1_id, cand_id))),
+every AS (SELECT s1_id, cand_id, rank FROM cand UNION ALL SELECT s1_id, cand_id, CAST(coalesce((SELECT max(rank) FROM cand c WHERE c.s1_id = late.s1_id), 0) + m AS INTEGER) FROM late)
+SELECT s1_id, cand_id, rank, CAST(EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = e.s1_id AND t.cand_id = e.cand_id) AS INTEGER) AS label FROM every e""")
+def training_pairs_first(spark, d):
+    return mining.first_generation_pairs(recs(spark, d), truth(spark, d), POOL_CAP)
 
 
 @query(f"{SCORED} SELECT s1_id, cand_id, band, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY s1_id, cand_id) AS n FROM (SELECT s1_id, cand_id, CASE WHEN p >= 0.88 THEN 'clear_match' WHEN p < 0.35 THEN 'reject' ELSE 'borderline' END AS band FROM sc)) WHERE n <= CASE band WHEN 'clear_match' THEN 40 WHEN 'borderline' THEN 60 ELSE 30 END")
@@ -424,20 +461,66 @@ def merge_submission(spark, d):
     return _merged(spark, d).select("s1_id", F.array_join("ids", ",").alias("ids"), F.array_join("cand_ids", ",").alias("cand_ids"))
 
 
-@query("SELECT unnest(['v1_missing_or_repeated', 'v2_unknown_s1', 'v3_unknown_id', 'v4_repeats', 'v5_self', 'v6_not_candidate']) AS rule, CAST(0 AS BIGINT) AS n")
-def validate_submission(spark, d):
-    return decide.violations(s1(spark, d), recs(spark, d).where("source <> 'S1'"), _merged(spark, d))
+SEEDED = """base AS (SELECT r.entity_id AS s1_id, r.seq, coalesce((SELECT list_sort(list(DISTINCT cand_id)) FROM truth t WHERE t.s1_id = r.entity_id), [(SELECT min(entity_id) FROM rec WHERE source <> 'S1')]) AS ids FROM rec r WHERE source = 'S1'),
+seeded AS (SELECT CASE WHEN seq % 9 = 2 THEN 'X' || s1_id ELSE s1_id END AS s1_id, seq, CASE seq % 9 WHEN 3 THEN list_concat(ids, ['S9-0']) WHEN 4 THEN list_concat(ids, ids) WHEN 5 THEN list_concat(ids, [s1_id]) ELSE ids END AS ids FROM base WHERE seq % 9 <> 0),
+ls AS (SELECT s1_id, ids, CASE WHEN seq % 9 = 6 THEN [] ELSE ids END AS cand_ids FROM seeded UNION ALL SELECT s1_id, ids, ids FROM seeded WHERE seq % 9 = 1)"""
 
 
-@query()
+@query(", ".join(("WITH " + REC, SRC, TRUTH, SEEDED)) + """ SELECT 'v1_missing_or_repeated' AS rule, (SELECT count(*) FROM base WHERE (SELECT count(*) FROM ls WHERE ls.s1_id = base.s1_id) <> 1) AS n
+UNION ALL SELECT 'v2_unknown_s1', (SELECT count(*) FROM ls WHERE s1_id NOT IN (SELECT s1_id FROM base)) UNION ALL SELECT 'v3_unknown_id', (SELECT count(*) FROM (SELECT unnest(ids) AS id FROM ls) WHERE id NOT IN (SELECT entity_id FROM rec WHERE source <> 'S1'))
+UNION ALL SELECT 'v4_repeats', (SELECT count(*) FROM ls WHERE len(ids) > len(list_distinct(ids))) UNION ALL SELECT 'v5_self', (SELECT count(*) FROM (SELECT s1_id, unnest(ids) AS id FROM ls) WHERE id = s1_id)
+UNION ALL SELECT 'v6_not_candidate', (SELECT count(*) FROM ls WHERE len(list_filter(ids, lambda x: NOT list_contains(cand_ids, x))) > 0)""")
+def validate_submission(spark, d):
+    """Lists with breaches of every rule put in."""
+    r, s = recs(spark, d), F.col("seq") % 9
+    others = r.where("source <> 'S1'")
+    least = others.agg(F.array(F.min("entity_id")).alias("least"))
+    ids = truth(spark, d).groupBy("s1_id").agg(F.array_sort(F.collect_set("cand_id")).alias("ids"))
+    base = r.where("source = 'S1'").select(F.col("entity_id").alias("s1_id"), "seq").join(ids, "s1_id", "left").join(least).withColumn("ids", F.coalesce("ids", "least"))
+    broken = F.when(s == 3, F.concat("ids", F.array(F.lit("S9-0")))).when(s == 4, F.concat("ids", "ids")).when(s == 5, F.concat("ids", F.array("s1_id"))).otherwise(F.col("ids"))
+    seeded = base.where(s != 0).select(F.when(s == 2, F.concat(F.lit("X"), "s1_id")).otherwise(F.col("s1_id")).alias("s1_id"), "seq", broken.alias("ids"))
+    none = F.array().cast("array<string>")
+    lists = seeded.select("s1_id", "ids", F.when(s == 6, none).otherwise(F.col("ids")).alias("cand_ids")).union(seeded.where(s == 1).select("s1_id", "ids", F.col("ids")))
+    return decide.violations(base.select("s1_id"), others, lists)
+
+
+ANSWER = """CASE event_id % 8 WHEN 0 THEN '{"is_match": true, "confidence": 0.8, "rationale": "r' || CAST(event_id AS VARCHAR(20)) || '"}' WHEN 1 THEN 'Sure: {"is_match": false} ok' WHEN 2 THEN 'That is not true.'
+WHEN 3 THEN 'IS_MATCH = TRUE for ' || CAST(event_id AS VARCHAR(20)) WHEN 4 THEN 'x "is_match":true }{ y' WHEN 5 THEN props WHEN 6 THEN '  {"confidence": 0.25}  ' ELSE 'yes, a match. ' || props || props || props || 'z' END"""
+
+
+@query(rf"""WITH a AS (SELECT event_id, trim({ANSWER}) AS raw FROM events), i AS (SELECT *, regexp_extract(raw, '(?s)\{{.*\}}') AS part FROM a),
+j AS (SELECT *, CASE WHEN starts_with(raw, '{{') AND json_valid(raw) THEN raw WHEN part <> '' AND json_valid(part) THEN part END AS found, contains(lower(raw), '"is_match": true') OR contains(lower(raw), '"is_match":true') OR contains(lower(raw), 'is_match = true') AS yes FROM i)
+SELECT event_id, CASE WHEN found IS NULL THEN yes ELSE coalesce(CAST(json_extract(found, '$.is_match') AS BOOLEAN), false) END AS is_match, CASE WHEN found IS NULL THEN CASE WHEN yes THEN 0.9 ELSE 0.1 END ELSE coalesce(CAST(json_extract(found, '$.confidence') AS DOUBLE), 0.5) END::DOUBLE AS confidence,
+CASE WHEN found IS NULL THEN substr(raw, 1, 80) ELSE coalesce(json_extract_string(found, '$.rationale'), '') END AS rationale FROM j""")
 def parse_verdict(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").select("event_id", T.parse_verdict(F.col("props")).alias("v")).select("event_id", "v.*")
+    """Answers of all kinds, made from the events."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", T.parse_verdict(F.expr(ANSWER)).alias("v")).select("event_id", "v.*")
+
+
+HELD = "CAST('0x' || substr(md5(s1_id), 1, 4) AS INTEGER) % 100 >= 80"
+
+
+def _learnable(spark, d):
+    r, t = recs(spark, d), truth(spark, d)
+    pairs = mining.training_pairs(blocking.candidates(r), t).withColumn("held", ~mining.split()).withColumn("label", F.col("label").cast("double"))
+    return r, t, pairs
+
+
+@query(f"{SCORED}, tp AS (SELECT DISTINCT s1_id, cand_id, 1 AS label FROM truth UNION ALL SELECT s1_id, cand_id, 0 FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY rank) AS n FROM cand WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = cand.s1_id AND t.cand_id = cand.cand_id)) WHERE n <= 5) SELECT {HELD} AS held, label, count(*) AS n, count(DISTINCT s1_id) AS records FROM tp GROUP BY ALL")
+def model_split(spark, d):
+    """What the model learns from and is judged by: no record is on both sides."""
+    _, _, pairs = _learnable(spark, d)
+    return pairs.groupBy("held", F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("s1_id").alias("records"))
 
 
 @query()
 def gbt_score(spark, d):
-    pairs = scored(spark, d).drop("a", "b", "p").join(truth(spark, d).withColumn("label", F.lit(1.0)), list(PAIR), "left").na.fill(0.0, ["label"]).withColumn("held", ~mining.split())
-    return model.predict(model.train(pairs), pairs).select(*PAIR, "label", "held", "p")
+    """Held-out pairs by a model of the 14 features, learned with hard negatives of the training records."""
+    r, t, pairs = _learnable(spark, d)
+    pairs = model.featured(pairs, r)
+    more = model.featured(mining.hard_negatives(r, t).select(*PAIR).withColumn("held", ~mining.split()), r)
+    return model.predict(model.retrained(pairs, more, 20), pairs.where("held")).select(*PAIR, "label", "p")
 
 
 # --- further evaluation, mining and text -------------------------------------------------------
@@ -480,25 +563,82 @@ def class_report(spark, d):
     return evaluate.class_report(_outcome(spark, d))
 
 
-DISTRACTORS = 200
+DISTRACTORS = 50_000
 TARGETED = f"rec AS (SELECT * FROM rec0 WHERE source = 'S1' OR entity_id IN (SELECT cand_id FROM truth) UNION ALL (SELECT * FROM rec0 WHERE source <> 'S1' AND entity_id NOT IN (SELECT cand_id FROM truth) ORDER BY source, seq, entity_id LIMIT {DISTRACTORS}))"
+IN_POOL = ", ".join(("WITH " + REC.replace("rec AS", "rec0 AS", 1), SRC, TRUTH, TARGETED, TXT, KEYS, CAP, CAND.replace("rank <= 20", "rank <= 90")))
 
 
-@query(", ".join(("WITH " + REC.replace("rec AS", "rec0 AS", 1), SRC, TRUTH, TARGETED, TXT, KEYS, CAP, CAND)) + " SELECT * FROM cand")
+@query(IN_POOL + " SELECT * FROM cand")
 def targeted_candidates(spark, d):
-    return blocking.candidates(evaluate.targeted_pool(recs(spark, d), truth(spark, d), DISTRACTORS))
+    return blocking.candidates(evaluate.targeted_pool(recs(spark, d), truth(spark, d), DISTRACTORS), blocking.BLOCKER.k)
 
 
-CHUNK = 100
+@query(f"""{IN_POOL}, s1 AS (SELECT entity_id AS s1_id FROM rec WHERE source = 'S1'), h AS (SELECT s1_id, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM cand c WHERE c.s1_id = t.s1_id AND c.cand_id = t.cand_id)) AS h FROM truth t GROUP BY 1)
+SELECT count(*) AS entities_with_truth, CAST(sum(n) AS BIGINT) AS true_links, CAST(sum(h) AS BIGINT) AS captured_links, round(sum(h) / sum(n), 6) AS link_recall, round(avg(CAST(h = n AS DOUBLE)), 6) AS entity_recall, (SELECT count(*) FROM cand) AS candidate_pairs, (SELECT count(*) FROM s1) AS n_s1, round((SELECT count(*) FROM cand) / (SELECT count(*) FROM s1), 6) AS avg_candidates FROM h""")
+def targeted_recall(spark, d):
+    return evaluate.recall(s1(spark, d), truth(spark, d), targeted_candidates(spark, d))
+
+
+CHUNK = 100_000
 CHUNKED = ", ".join((
     "WITH " + REC, TXT, KEYS, CAP.replace("PARTITION BY idx", f"PARTITION BY source, seq // {CHUNK}, idx"),
-    CAND.replace("PARTITION BY s1_id", f"PARTITION BY s1_id, split_part(cand_id, '-', 1), cand_seq // {CHUNK}").replace("rank <= 20", "rank <= 5"),
+    CAND.replace("PARTITION BY s1_id", f"PARTITION BY s1_id, split_part(cand_id, '-', 1), cand_seq // {CHUNK}").replace("rank <= 20", "rank <= 35"),
 ))
 
 
 @query(f"{CHUNKED} SELECT * FROM cand")
 def chunked_topk(spark, d):
-    return blocking.chunked_candidates(recs(spark, d), CHUNK, 5)
+    return blocking.chunked_candidates(recs(spark, d), CHUNK, 35)
+
+
+def sql_runner(r) -> str:
+    words = lambda marks: sql_words(f"translate(lower(coalesce(business_address, '')), '{marks}', '{' ' * len(marks)}')")
+    keys = lambda aw: f"""flatten([CASE WHEN name <> '' THEN [{{'idx': 'exact', 'key': name}}] ELSE [] END, CASE WHEN good THEN [{{'idx': 'first', 'key': f}}] ELSE [] END, CASE WHEN good AND {sql_soundex('f')} <> '' THEN [{{'idx': 'sound', 'key': {sql_soundex('f')}}}] ELSE [] END,
+  list_transform(list_filter(w, lambda t: length(t) >= 3 AND t NOT IN {sql_in(T.STOP)}), lambda t: {{'idx': 'token', 'key': t}}), list_transform(plots, lambda t: {{'idx': 'plot', 'key': t}}), list_transform(comps, lambda t: {{'idx': 'cnum', 'key': t}}), list_transform(list_filter({aw}, lambda t: length(t) >= 4 AND t NOT IN {sql_in((*T.STOP, *T.CITY))}), lambda t: {{'idx': 'aw', 'key': t}})])"""
+    asked = "aws" if r.romanized else words(",./-")
+    return f"""WITH {REC}, {TXT}, {KEYS},
+pool AS (SELECT entity_id, country, seq, u.idx AS idx, u.key AS key, pos FROM (SELECT entity_id, country, seq, unnest(ks) AS u, generate_subscripts(ks, 1) AS pos FROM (SELECT *, {keys(words(',./-#'))} AS ks FROM k2 WHERE source <> 'S1')) WHERE u.idx <> 'aw' OR (u.key NOT IN {sql_in(T.GENERIC)} AND NOT regexp_matches(u.key, '^[0-9]+$'))),
+posted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY idx, country, key ORDER BY seq, pos, entity_id) AS n FROM pool) WHERE n <= {r.cap}),
+ask AS (SELECT entity_id, country, f, u.idx AS idx, u.key AS key FROM (SELECT entity_id, country, f, unnest(ks) AS u FROM (SELECT *, {keys(asked)} AS ks FROM k2 WHERE source = 'S1'))),
+hit AS (SELECT a.entity_id AS s1_id, p.entity_id AS cand_id, p.seq AS cand_seq, CAST(sum(CASE a.idx WHEN 'exact' THEN 40 WHEN 'first' THEN 15 WHEN 'sound' THEN 8 WHEN 'token' THEN CASE WHEN a.key IN {sql_in(T.CITY)} THEN 2 ELSE 6 END WHEN 'plot' THEN {r.plot} WHEN 'cnum' THEN {r.compound} ELSE {r.word} END) AS BIGINT) AS block_score
+  FROM ask a JOIN posted p USING (idx, country, key) WHERE a.idx <> 'sound' OR EXISTS (SELECT 1 FROM posted x WHERE x.idx = 'first' AND x.country = a.country AND x.key = a.f) GROUP BY ALL)
+SELECT s1_id, cand_id, block_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY block_score DESC, cand_seq, cand_id) AS rank FROM hit) WHERE rank <= {r.k}"""
+
+
+@query(sql_runner(blocking.RUNNER_V3))
+def runner_v3(spark, d):
+    return blocking.runner_candidates(recs(spark, d), blocking.RUNNER_V3)
+
+
+@query(sql_runner(blocking.RUNNER_FAST))
+def runner_fast(spark, d):
+    return blocking.runner_candidates(recs(spark, d), blocking.RUNNER_FAST)
+
+
+@query(sql_sweep(MARGINS) + " ORDER BY macro_f05 DESC, tau, m LIMIT 1")
+def sweep_best(spark, d):
+    return evaluate.best_of_sweep(grid_sweep(spark, d))
+
+
+FOREIGN = r"regexp_matches(regexp_replace(concat_ws(' ', a.business_name, a.business_address, b.business_name, b.business_address), '[^\p{L}]', '', 'g'), '[^\x{0000}-\x{024F}]')"
+WEB = r"regexp_matches(lower({0}), 'www\.|http|\.(com|in|org|net|co|io)')"
+
+
+@query(f"WITH {REC} SELECT entity_id AS s1_id, seq, '' AS ids FROM rec WHERE source = 'S1'")
+def empty_submission(spark, d):
+    return R.empty_submission(recs(spark, d)).select("s1_id", "seq", F.array_join("ids", ",").alias("ids"))
+
+
+@query(", ".join(("WITH " + REC, TXT, KEYS, SRC, TRUTH)) + f""", p AS (SELECT DISTINCT t.s1_id, t.cand_id, a.seq, {FOREIGN} OR len(list_intersect(a.plots, b.plots)) > 0 AS x, {WEB.format('a.business_name')} OR {WEB.format('b.business_name')} OR {sql_stem('a.business_name')} <> '' OR {sql_stem('b.business_name')} <> '' AS w FROM truth t JOIN k0 a ON a.entity_id = t.s1_id JOIN k0 b ON b.entity_id = t.cand_id),
+c5 AS (SELECT * FROM p WHERE x ORDER BY seq, s1_id, cand_id LIMIT 2500), r5 AS (SELECT * FROM p ANTI JOIN c5 USING (s1_id, cand_id)), c2 AS (SELECT * FROM r5 WHERE w ORDER BY seq, s1_id, cand_id LIMIT 5000), c1 AS (SELECT * FROM r5 ANTI JOIN c2 USING (s1_id, cand_id) ORDER BY seq, s1_id, cand_id LIMIT 15000)
+SELECT s1_id, cand_id, 'cross_script' AS category FROM c5 UNION ALL SELECT s1_id, cand_id, 'website' FROM c2 UNION ALL SELECT s1_id, cand_id, 'shift' FROM c1""")
+def mined_positives(spark, d):
+    return mining.mined_positives(recs(spark, d), truth(spark, d))
+
+
+@query()
+def mined_negatives(spark, d):
+    return mining.mined_negatives(recs(spark, d), truth(spark, d))
 
 
 @query(f"{SCORED} SELECT prediction, count(*) AS n FROM (SELECT CASE WHEN p >= 0.5 THEN 'match' ELSE 'reject' END AS prediction FROM sc) GROUP BY 1")
@@ -511,10 +651,6 @@ def address_tokens_raw(spark, d):
     return recs(spark, d).select("entity_id", joined(T.raw_address_tokens(F.col("business_address"))).alias("tokens"))
 
 
-FOREIGN = r"regexp_matches(regexp_replace(concat_ws(' ', a.business_name, a.business_address, b.business_name, b.business_address), '[^\p{L}]', '', 'g'), '[^\x{0000}-\x{024F}]')"
-WEB = r"regexp_matches(lower({0}), 'www\.|http|\.(com|in|org|net|co|io)')"
-
-
 @query(f"{BLOCK} SELECT s1_id, cand_id, {WEB.format('a.business_name')} OR {WEB.format('b.business_name')} OR {sql_stem('a.business_name')} <> '' OR {sql_stem('b.business_name')} <> '' AS website, {FOREIGN} OR len(list_intersect(a.plots, b.plots)) > 0 AS cross_script FROM cand JOIN k0 a ON a.entity_id = s1_id JOIN k0 b ON b.entity_id = cand_id")
 def pair_kinds(spark, d):
     r = recs(spark, d)
@@ -522,13 +658,14 @@ def pair_kinds(spark, d):
     return features.paired(blocking.candidates(r), r).select(*PAIR, T.is_website(a["business_name"], b["business_name"]).alias("website"), T.is_cross_script(a, b).alias("cross_script"))
 
 
-SAY = "'Record {1}:' || chr(10) || 'Name: ' || {0}.business_name || chr(10) || 'Address: ' || {0}.business_address || chr(10) || 'Country: ' || {0}.country || chr(10)"
+SAY = "'Record {1}:' || chr(10) || 'Name: ' || {0}.business_name || chr(10) || 'Address: ' || {0}.business_address || chr(10) || 'Country: ' || {0}.country"
 
 
-@query(f"{BLOCK} SELECT s1_id, cand_id, {SAY.format('a', 'A')} || {SAY.format('b', 'B')} || 'Are these the same business? Answer in JSON.' AS prompt FROM cand JOIN rec a ON a.entity_id = s1_id JOIN rec b ON b.entity_id = cand_id WHERE rank = 1")
+@query(f"{BLOCK} SELECT s1_id, cand_id, 'system: {T.SYSTEM_PROMPT.replace(chr(39), chr(39) * 2)}' || chr(10) || 'user: ' || {SAY.format('a', 'A')} || chr(10) || chr(10) || {SAY.format('b', 'B')} AS messages FROM cand JOIN rec a ON a.entity_id = s1_id JOIN rec b ON b.entity_id = cand_id WHERE rank = 1")
 def chat_prompts(spark, d):
     r = recs(spark, d)
-    return features.paired(blocking.candidates(r).where("rank = 1"), r).select(*PAIR, T.chat_prompt(F.col("a"), F.col("b")).alias("prompt"))
+    m = F.transform(T.chat_messages(F.col("a"), F.col("b")), lambda x: F.concat(x["role"], F.lit(": "), x["content"]))
+    return features.paired(blocking.candidates(r).where("rank = 1"), r).select(*PAIR, F.array_join(m, "\n").alias("messages"))
 
 
 @query()
@@ -536,6 +673,6 @@ def borderline_ranked(spark, d):
     return decide.ranked_borderline(borderline_extract(spark, d), recs(spark, d))
 
 
-@query(f"WITH {REC}, {SRC}, {TRUTH}, f AS (SELECT entity_id FROM rec WHERE source = 'S1' ORDER BY seq, entity_id LIMIT 100) SELECT entity_id, business_name FROM rec WHERE entity_id IN (SELECT entity_id FROM f) OR entity_id IN (SELECT cand_id FROM truth WHERE s1_id IN (SELECT entity_id FROM f))")
+@query(f"WITH {REC}, {SRC}, {TRUTH}, f AS (SELECT entity_id FROM rec WHERE source = 'S1' ORDER BY seq, entity_id LIMIT 20000) SELECT entity_id, business_name FROM rec WHERE entity_id IN (SELECT entity_id FROM f) OR entity_id IN (SELECT cand_id FROM truth WHERE s1_id IN (SELECT entity_id FROM f))")
 def positives_of_first(spark, d):
-    return mining.positives_of(recs(spark, d), truth(spark, d), 100).select("entity_id", "business_name")
+    return mining.positives_of(recs(spark, d), truth(spark, d), 20_000).select("entity_id", "business_name")

@@ -1,4 +1,4 @@
-"""An extension: candidates that arrive as a stream meet the postings of the static side."""
+"""An extension: each micro-batch of arriving candidates is blocked against the static S1 records, with posting caps of its own."""
 
 from __future__ import annotations
 
@@ -15,6 +15,3 @@ def stream_candidates(arriving: DataFrame, s1: DataFrame, sink) -> object:
 
     return arriving.writeStream.foreachBatch(step).start()
 
-
-def event_counts(events: DataFrame, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -1,5 +1,7 @@
 """Goldens and properties of the record-linkage layer."""
 
+import gzip
+import json
 import zipfile
 
 import duckdb
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kindred.functions import kernels as K
 from kindred.functions import text as T
-from kindred.operators import decide, evaluate, features
+from kindred.operators import decide, evaluate, features, mining, model
 from kindred.sources import records
 
 SMALL = "/root/testdata/sf0.001"
@@ -52,9 +54,21 @@ def test_metric(spark):
 
 
 def test_verdicts(spark):
-    rows = [('{"is_match": true, "confidence": 0.8, "rationale": "r"}', True, 0.8), ('so {"is_match": false} ok', False, 0.5), ("yes, a match", True, 0.9), ("", False, 0.1)]
+    rows = [
+        ('{"is_match": true, "confidence": 0.8, "rationale": "r"}', True, 0.8, "r"), ('so {"is_match": false} ok', False, 0.5, ""), ("That is not true.", False, 0.1, "That is not true."),
+        ("Is_Match = True", True, 0.9, "Is_Match = True"), ('{"is_match":true', True, 0.9, '{"is_match":true'), (None, False, 0.1, ""), ("", False, 0.1, ""), ("x" * 90, False, 0.1, "x" * 80), ('{"k": 1}{"k": 2}', False, 0.1, '{"k": 1}{"k": 2}'),
+    ]
     got = spark.createDataFrame([(r[0],) for r in rows], "x string").select(T.parse_verdict(F.col("x")).alias("v")).collect()
-    assert [(r.v.is_match, r.v.confidence) for r in got] == [r[1:] for r in rows]
+    assert [(r.v.is_match, r.v.confidence, r.v.rationale) for r in got] == [r[1:] for r in rows]
+
+
+def test_chat_messages(spark):
+    side = "struct<business_name:string,business_address:string,country:string>"
+    df = spark.createDataFrame([(("A \"q\"", "1 st", "India"), ("B", None, "FR"), (True, 0.876, "so\n\"it\" is"))], f"a {side}, b {side}, v struct<is_match:boolean,confidence:double,rationale:string>")
+    system, user, said = df.select(T.chat_messages(F.col("a"), F.col("b"), F.col("v"))).first()[0]
+    assert [m.role for m in (system, user, said)] == ["system", "user", "assistant"] and system.content == T.SYSTEM_PROMPT
+    assert user.content == 'Record A:\nName: A "q"\nAddress: 1 st\nCountry: India\n\nRecord B:\nName: B\nAddress: \nCountry: FR'
+    assert json.loads(said.content) == {"is_match": True, "confidence": 0.88, "rationale": 'so\n"it" is'}
 
 
 def test_patch(spark):
@@ -70,7 +84,7 @@ def test_tsv(spark, tmp_path):
     assert records.read_tsv(spark, str(tmp_path / "s.tsv"), "india").count() == 1
 
 
-@pytest.mark.parametrize("name", ["norm_name", "address_keys", "block_topk", "macro_f05", "grid_sweep", "merge_submission", "class_report", "targeted_candidates", "chunked_topk", "pair_kinds", "positives_of_first"])
+@pytest.mark.parametrize("name", ["norm_name", "address_keys", "block_topk", "macro_f05", "grid_sweep", "merge_submission", "class_report", "targeted_candidates", "chunked_topk", "pair_kinds", "positives_of_first", "runner_v3", "runner_fast", "reverse_mining", "training_pairs_first", "mined_positives", "validate_submission", "parse_verdict", "chat_prompts", "model_split", "pair_features_edit", "targeted_recall", "sweep_best"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -81,6 +95,116 @@ def test_against_sql(spark, name):
     assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in cur.fetchall())
 
 
+def test_round_trips(spark, tmp_path):
+    """Readers and writers."""
+    (tmp_path / "s.tsv").write_text("country\tentity_id\textra\tbusiness_address\tbusiness_name\nIndia\tS1-1\tq\t x\tJoe \nFrance\tS1-2\tq\ty\tAnn\nshort\n")
+    recs = records.read_tsv(spark, str(tmp_path / "s.tsv"))
+    assert sorted(map(tuple, recs.collect())) == [("S1-1", "Joe", "x", "India"), ("S1-2", "Ann", "y", "France")]
+    assert records.read_tsv(spark, str(tmp_path / "s.tsv"), max_rows=1).count() == 1
+    records.extract(recs, recs.where("country = 'India'").select("entity_id"), str(tmp_path / "e"))
+    assert [tuple(r) for r in records.read_tsv(spark, str(tmp_path / "e")).collect()] == [("S1-1", "Joe", "x", "India")]
+    records.write_parquet(recs, str(tmp_path / "p"))
+    records.write_csv(recs, str(tmp_path / "c"))
+    records.repack(spark, str(tmp_path / "c"), str(tmp_path / "r"), list(records.COLUMNS))
+    assert sorted(spark.read.parquet(str(tmp_path / "r")).collect()) == sorted(spark.read.parquet(str(tmp_path / "p")).collect()) == sorted(recs.collect())
+    with pytest.raises(Exception, match="nope"):
+        records.repack(spark, str(tmp_path / "c"), str(tmp_path / "q"), ["nope"])
+    lists = spark.createDataFrame([("b", 2, ["x", "y"], "FR"), ("a", 10, [], "IN"), ("c", 1, ["z"], "FR")], "s1_id string, seq long, ids array<string>, country string")
+    records.write_submission(lists, str(tmp_path / "m"))
+    parts = sorted((tmp_path / "m").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == "c\tz\nb\tx,y\na\t\n"
+    records.write_lists(lists, str(tmp_path / "l"))
+    assert sorted((r.s1_id, r.matches) for r in records.read_truth(spark, str(tmp_path / "l")).collect()) == [("a", []), ("b", ["x", "y"]), ("c", ["z"])]
+    records.write_lists(lists, str(tmp_path / "k"), header=False, by_country=True)
+    assert sorted(p.name for p in (tmp_path / "k").glob("country=*")) == ["country=FR", "country=IN"]
+    rows = recs.withColumn("source", F.lit("S1")).withColumn("seq", F.col("entity_id").substr(4, 1).cast("long"))
+    assert [(r.s1_id, r.ids) for r in records.empty_submission(rows).orderBy("seq").collect()] == [("S1-1", []), ("S1-2", [])]
+    assert records.slice_of(rows, 2, 5).count() == 1
+
+
+def test_verdict_files(spark, tmp_path):
+    items = [{"source1_id": "a", "candidate_id": "x", "is_match": True, "confidence": 0.9, "rationale": "r"}, {"source1_id": "b", "candidate_id": "y"}]
+    (tmp_path / "v.json").write_text(json.dumps(items, indent=1))
+    (tmp_path / "v.jsonl").write_text("\n".join(map(json.dumps, items)))
+    with gzip.open(tmp_path / "v.jsonl.gz", "wt") as f:
+        f.write("\n".join(map(json.dumps, items)))
+    for name in ("v.json", "v.jsonl", "v.jsonl.gz"):
+        got = sorted((r.s1_id, r.cand_id, r.is_match, r.confidence) for r in records.read_verdicts(spark, str(tmp_path / name)).collect())
+        assert got == [("a", "x", True, 0.9), ("b", "y", False, 0.5)]
+    records.write_json_lines(records.read_verdicts(spark, str(tmp_path / "v.json")).selectExpr("s1_id AS source1_id", "cand_id AS candidate_id", "is_match"), str(tmp_path / "w"))
+    assert next((tmp_path / "w").glob("*.json.gz")) and records.read_verdicts(spark, str(tmp_path / "w")).count() == 2
+
+
+def test_violations_of_merged_lists(spark):
+    """What the linkage itself puts out breaks no rule."""
+    from kindred import queries as q
+
+    r = q.recs(spark, SMALL)
+    assert {x.n for x in decide.violations(q.s1(spark, SMALL), r.where("source <> 'S1'"), q._merged(spark, SMALL)).collect()} == {0}
+
+
+def test_waterfall(spark):
+    """A full category lets its rows fall through, as in a plain loop."""
+    rows = [(f"s{i:02}", f"c{j}", i, (i * 7 + j) % 3 == 0, (i + j) % 2 == 0) for i in range(12) for j in range(3)]
+    df = spark.createDataFrame(rows, "s1_id string, cand_id string, seq long, x boolean, y boolean")
+    got = {(r.s1_id, r.cand_id): r.category for r in mining.waterfall(df, [("x", F.col("x"), 4), ("y", F.col("y"), 5), ("z", F.lit(True), 6)], ["seq", "cand_id"]).collect()}
+    want, left = {}, {"x": 4, "y": 5, "z": 6}
+    for s, c, _, x, y in sorted(rows, key=lambda r: (r[2], r[1])):
+        for name, ok in (("x", x), ("y", y), ("z", True)):
+            if ok and left[name]:
+                left[name] -= 1
+                want[s, c] = name
+                break
+    assert got == want
+
+
+def test_hard_negatives(spark):
+    """The rules on the values of a plain implementation, over all candidates."""
+    from kindred import queries as q
+
+    r, t = q.recs(spark, SMALL), q.truth(spark, SMALL)
+    got = {(x.s1_id, x.cand_id): (x.number_address_trap, x.name_address, x.name_conflict) for x in mining.hard_negatives(r, t).collect()}
+    from kindred.operators import blocking
+
+    text = {x.entity_id: x for x in features.described(r).collect()}
+    true, want = {tuple(x) for x in t.collect()}, {}
+    share = lambda x, y, none: len(x & y) / len(x | y) if x | y else none
+    for s, c, *_ in blocking.candidates(r, 100).collect():
+        a, b = text[s], text[c]
+        x, y = set(a.nums), set(b.nums)
+        name, words = K.jaro_winkler(a.name, b.name), share(set(a.aw), set(b.aw), 1.0)
+        order = _plain_ratio(" ".join(sorted(a.addr.split())), " ".join(sorted(b.addr.split()))) if a.addr and b.addr and (name <= 0.7 or name >= 0.9) else 0.0
+        same, conflict = bool(x and x == y), bool(x and y and not x & y)
+        rules = ((same or share(x, y, 1.0) >= 0.5) and (words >= 0.7 or order >= 0.85) and name <= 0.7, name >= 0.9 and (words >= 0.4 or order >= 0.7), conflict and name >= 0.85 and words >= 0.3)
+        if (s, c) not in true and any(rules):
+            want[s, c] = rules
+    assert got == want
+    assert mining.rule_counts(mining.hard_negatives(r, t)).first().n == len(want)
+
+
+def test_domain_link(spark):
+    rows = [("www.joes-shop.com", "Joes Shop Paris", 1.0), ("Ann", "ann-lee.in", 0.0), ("x.com", "y.org", 0.0), ("see a.com blue tea", "blue tea see a.com", 1.0), ("blue tea", "tea blue", 0.0), (None, "b.com", 0.0)]
+    recs = spark.createDataFrame([(f"{s}{i}", n, "1 st", "FR") for i, r in enumerate(rows) for s, n in zip("ab", r, strict=False)], "entity_id string, business_name string, business_address string, country string")
+    pairs = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(len(rows))], "s1_id string, cand_id string")
+    got = {r.s1_id: r.domain_match for r in features.paired(pairs, recs).select("s1_id", features.domain_link()).collect()}
+    assert [got[f"a{i}"] for i in range(len(rows))] == [r[2] for r in rows]
+
+
+def test_model(spark, tmp_path):
+    """Learns from the training records alone, holds to the features' order, and is the same after a round trip."""
+    assert model.INPUTS[0] == "levenshtein_ratio" and len(model.INPUTS) == 14
+    rows = [(f"s{i // 4}", f"c{i}", float(i % 4 == 0), i % 20 >= 16, *[float((i % 4 == 0) * (j == 1) + ((i * 31 + j * 17) % 13) / 40) for j in range(14)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "s1_id string, cand_id string, label double, held boolean, " + ", ".join(f"{c} double" for c in model.INPUTS))
+    more = df.where("label = 0").withColumn("cand_id", F.concat("cand_id", F.lit("x"))).unionByName(df.limit(3)).drop("label")
+    fitted = model.retrained(df, more, 5)
+    out = model.predict(fitted, df.where("held"))
+    assert out.where("(p >= 0.5) <> (label = 1)").count() == 0 and model.importances(fitted)[0][0] == "jaro_winkler"
+    model.save(fitted, str(tmp_path / "m"))
+    again = model.predict(model.load(spark, str(tmp_path / "m")), df.where("held"))
+    assert sorted(map(tuple, out.select("cand_id", "p").collect())) == sorted(map(tuple, again.select("cand_id", "p").collect()))
+    assert json.loads(model.metadata(fitted, tau=0.85))["inputs"] == model.INPUTS
+
+
 def _plain_lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -160,3 +284,18 @@ def test_zip(spark, tmp_path):
     rows = spark.createDataFrame([("b", 1, ["x", "y"]), ("a", 0, [])], "s1_id string, seq long, ids array<string>")
     records.write_zip({"m.tsv": rows}, str(tmp_path / "o.zip"))
     assert zipfile.ZipFile(tmp_path / "o.zip").read("m.tsv").decode() == "a\t\nb\tx,y\n"
+
+
+def test_stream(spark, tmp_path):
+    """Every micro-batch's candidates are those of the same records as a table."""
+    from kindred.operators import blocking
+    from kindred.streaming import incremental
+
+    r = records.from_documents(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    s1, pool = r.where("source = 'S1'"), r.where("source <> 'S1'")
+    pool.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = []
+    run = incremental.stream_candidates(spark.readStream.schema(pool.schema).parquet(str(tmp_path / "in")), s1, lambda df, n: got.extend(map(tuple, df.collect())))
+    run.processAllAvailable()
+    run.stop()
+    assert sorted(got) == sorted(map(tuple, blocking.candidates(r).collect()))
