@@ -299,7 +299,7 @@ def _cores_found(scratch: Scratch, docs: DataFrame, core: int, hot: int) -> Data
     return out
 
 
-def repeats(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST, hot: int = 16_384) -> DataFrame:
+def repeats(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST, hot: int = 1 << 18) -> DataFrame:
     """(doc_id, key, start, stop, component): the words, from start to before stop, to remove from a text; key is its hash."""
     scratch, core = Scratch(docs.sparkSession), core_words(least, similarity)
     found = _cores_found(scratch, docs, core, hot)
