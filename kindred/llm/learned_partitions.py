@@ -2,16 +2,18 @@
 
 Fit, on a documented sample of at most ``SAMPLE`` vectors: their neighbour graph, its balanced
 partition by recursive spectral bisection at the median, and a small classifier (one hidden layer)
-that tells a vector's part.  The number of parts that a query visits is the least that finds
-``target`` of the sample's true neighbours.  Every vector is indexed in its most probable part and
+that tells a vector's part.  Parts grow with the table, as far as the sample can fit them.  The number of parts that a query
+visits is the least that finds ``target`` of the true neighbours of the sample's last fifth, which the fit does not see; it
+visits more where those hold fewer than k vectors.  Every vector is indexed in its most probable part and
 every query goes to its most probable parts, where all vectors are compared exactly.
 
 Parts are dealt out in blocks of ``BLOCK`` rows and ``BLOCK`` queries, so neither a large part nor a
 vector that a third of the rows hold makes a large task.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
-without an id or with another length than most vectors.  Rows with the same id count as one (the
-least vector).  Ties go to the smaller id.  An empty table gives an empty result.
+without an id.  Vectors are compared with those of their length; lengths other than the most common one are compared whole.
+Rows with the same id and vector count as one; rows with the same id and different vectors are different rows, each a query
+and a candidate of the other.  Ties go to the smaller id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,18 +28,23 @@ from .common import Scratch
 
 SAMPLE = 8192
 BLOCK = 4096
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "query_id long, key long, vec_id long, score double"
+DEALT = "n int, part int, vec_id long, key long, v array<double>"
 
 
 def usable(vectors: DataFrame, zero: bool = False) -> DataFrame:
-    """(vec_id, v): the vectors that take part, in double precision."""
+    """(vec_id, key, n, v): the vectors that take part, in double precision, their hash and length."""
     v = F.col("embedding").cast("array<double>")
     ok = F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     if not zero:
         ok &= F.exists(v, lambda x: x != 0)
-    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (size["n"] if size else 0))
+    rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("key", F.xxhash64("v"))
+    return rows.groupBy("vec_id", "key").agg(F.min("v").alias("v")).select("vec_id", "key", F.size("v").alias("n"), "v")
+
+
+def parts_for(n: int) -> int:
+    """A power of two: about 2,048 rows a part, at least 32 and at most what gives a part 64 vectors of the sample."""
+    return min(SAMPLE // 64, max(32, 1 << max(0, (n // 2048).bit_length() - 1)))
 
 
 def drawn(rows: DataFrame, size: int) -> DataFrame:
@@ -46,10 +53,10 @@ def drawn(rows: DataFrame, size: int) -> DataFrame:
     The hashes are cut off above a share of rows that is expected to hold a quarter more, so that the
     partitions together, not each of them, send about that many to the driver.
     """
-    n, h = rows.count(), F.xxhash64("vec_id")
+    n, h = rows.count(), F.xxhash64("vec_id", "key")
     if n > 4 * size:
         rows = rows.where(h < F.lit(int(1.25 * size / n * 2**64) - 2**63))
-    return rows.orderBy(h, "vec_id").limit(size)
+    return rows.orderBy(h, "vec_id", "key").limit(size)
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -142,12 +149,12 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of(q_ids, q, ids, x, k: int):
-    """(query, row, score) of each query's k best rows, ties to the smaller id."""
+def best_of(q_ids, q_keys, q, ids, keys, x, k: int):
+    """(query, its key, row, score) of each query's k best rows but itself, ties to the smaller id."""
     out = []
     for i in range(0, len(q), 256):
         s = q[i : i + 256] @ x.T
-        s[q_ids[i : i + 256, None] == ids[None, :]] = -np.inf
+        s[(q_ids[i : i + 256, None] == ids[None, :]) & (q_keys[i : i + 256, None] == keys[None, :])] = -np.inf
         kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
         slack = 1e-9 * np.maximum(1.0, np.abs(kth))
         a, b = np.nonzero((s >= np.where(np.isfinite(kth), kth - slack, -1e308)[:, None]) & np.isfinite(s))
@@ -156,8 +163,8 @@ def best_of(q_ids, q, ids, x, k: int):
         a, b, exact = a[order], b[order], exact[order]
         rank = np.arange(len(a)) - np.searchsorted(a, a)
         keep = rank < k
-        out.append((q_ids[i + a[keep]], ids[b[keep]], exact[keep]))
-    return [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        out.append((q_ids[i + a[keep]], q_keys[i + a[keep]], ids[b[keep]], exact[keep]))
+    return [np.concatenate(z) for z in zip(*out, strict=True)]
 
 
 def matrix(column) -> np.ndarray:
@@ -165,41 +172,64 @@ def matrix(column) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, every: int, k: int = 20, parts: int = 32, target: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, every: int, k: int = 20, parts: int | None = None, target: float = 0.93) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = scratch.put(usable(vectors))
-    sample = drawn(rows, SAMPLE).toPandas()
-    if not len(sample):
+    lengths = {r.n: r["count"] for r in rows.groupBy("n").count().collect()}  # one row a length
+    if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    x = np.array(sample["v"].tolist(), dtype=np.float64)
+    main = min(lengths, key=lambda n: (-lengths[n], n))
+    x = np.array(drawn(rows.where(F.col("n") == main), SAMPLE).toPandas()["v"].tolist(), dtype=np.float64)
+    parts = parts or parts_for(lengths[main])
     while parts > 1 and len(x) < 8 * parts:
         parts //= 2
     router, visits = fit(x, parts, k, target)
 
-    def deal(batches):
+    def index(batches):
+        for b in batches:
+            part, hit = np.zeros(b.num_rows, np.int32), np.asarray(b.column("n")) == main
+            if hit.any():
+                part[hit] = router.ranked(matrix(b.column("v").filter(pa.array(hit))))[:, 0]
+            yield pa.RecordBatch.from_arrays([b.column("n"), pa.array(part), *[b.column(c) for c in ("vec_id", "key", "v")]], names=["n", "part", "vec_id", "key", "v"])
+
+    indexed = scratch.put(rows.mapInArrow(index, DEALT))
+    sizes = {(r.n, r.part): r["count"] for r in indexed.groupBy("n", "part").count().collect()}  # a row a part, and one a length
+    held = np.array([sizes.get((main, p), 0) for p in range(parts)])
+
+    def ask(batches):
         for b in batches:
-            ranks, ids = router.ranked(matrix(b.column("v"))), np.asarray(b.column("vec_id"))
-            asks = np.where(ids % every == 0, visits, 0)
-            part = np.concatenate([ranks[:, 0], np.concatenate([r[:n] for r, n in zip(ranks, asks, strict=True)] or [[]])]).astype(np.int32)
-            at = np.concatenate([np.arange(len(ids)), np.repeat(np.arange(len(ids)), asks)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at)) >= len(ids)), pa.array(part), pa.array(ids[at]), b.column("v").take(pa.array(at))], names=["asks", "part", "vec_id", "v"])
-
-    dealt = scratch.put(rows.mapInArrow(deal, "asks boolean, part int, vec_id long, v array<double>"))
-    sizes = {(r.part, r.asks): r["count"] for r in dealt.groupBy("part", "asks").count().collect()}  # two rows a part
-    shape = spark.createDataFrame([(p, -(-sizes[p, False] // BLOCK), -(-sizes[p, True] // BLOCK)) for p in range(parts) if (p, False) in sizes and (p, True) in sizes], "part int, nb int, nq int")
-    unit = dealt.join(F.broadcast(shape), "part")  # at most ``parts`` rows
-    salt = F.xxhash64("vec_id")
-    data = unit.where("not asks").select("vec_id", "v", "part", F.pmod(salt, "nb").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q"))
-    asked = unit.where("asks").select(*[F.col(c).alias(c) for c in ("vec_id", "v", "part")], F.pmod(salt, "nq").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"))
+            hit = np.asarray(b.column("n")) == main
+            at, part = [np.flatnonzero(~hit)], [np.zeros((~hit).sum(), np.int32)]
+            if hit.any():
+                ranks = router.ranked(matrix(b.column("v").filter(pa.array(hit))))
+                enough = (np.cumsum(held[ranks], axis=1) > k).argmax(1) + 1  # the query itself is in a part, too
+                need = np.where(held.sum() > k, np.maximum(visits, enough), parts)
+                at.append(np.repeat(np.flatnonzero(hit), need))
+                part.append(np.concatenate([r[:m] for r, m in zip(ranks, need, strict=True)]).astype(np.int32))
+            take = pa.array(np.concatenate(at))
+            yield pa.RecordBatch.from_arrays([b.column("n").take(take), pa.array(np.concatenate(part)), *[b.column(c).take(take) for c in ("vec_id", "key", "v")]], names=["n", "part", "vec_id", "key", "v"])
+
+    asking = scratch.put(rows.where(F.col("vec_id") % every == 0).mapInArrow(ask, DEALT))
+    asked = {(r.n, r.part): r["count"] for r in asking.groupBy("n", "part").count().collect()}
+    shape = [(*at, -(-sizes[at] // BLOCK), -(-m // BLOCK)) for at, m in asked.items() if at in sizes]
+    if not shape:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shape = F.broadcast(spark.createDataFrame(shape, "n int, part int, nb int, nq int"))  # a row a part, and one a length
+    salt = F.xxhash64("vec_id", "key")
+    spread = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    data = indexed.join(shape, ["n", "part"]).select("vec_id", "key", "v", "n", "part", F.pmod(salt, "nb").cast("int").alias("b"), spread("nq").alias("q"))
+    asks = asking.join(shape, ["n", "part"]).select("vec_id", "key", "v", "n", "part", F.pmod(salt, "nq").cast("int").alias("q"), spread("nb").alias("b"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.array([], pa.int64())
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        a, b, s = best_of(np.asarray(left.column("vec_id")), matrix(left.column("v")), np.asarray(right.column("vec_id")), matrix(right.column("v")), k)
-        return pa.table({"query_id": a, "vec_id": b, "score": s})
+            return pa.table({"query_id": none, "key": none, "vec_id": none, "score": pa.array([], pa.float64())})
+        side = lambda t: (np.asarray(t.column("vec_id")), np.asarray(t.column("key")), matrix(t.column("v")))
+        return pa.table(dict(zip(("query_id", "key", "vec_id", "score"), best_of(*side(left), *side(right), k), strict=True)))
 
-    found = asked.groupBy("part", "b", "q").cogroup(data.groupBy("part", "b", "q")).applyInArrow(compare, RESULT)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    unit = ["n", "part", "b", "q"]
+    found = asks.groupBy(*unit).cogroup(data.groupBy(*unit)).applyInArrow(compare, RESULT)
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
