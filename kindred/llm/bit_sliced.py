@@ -1,17 +1,18 @@
 """Exact top-k inner products over a bit-sliced index.
 
-Components become integers floor(1024 x).  The index holds blocks of ``BLOCK`` rows as bit slices:
+Components become integers floor(1024 x).  The index holds blocks of ``BLOCK`` rows as bit slices, and nothing else:
 for each component and bit, a bitmap over the rows.  A query's scores are the sum of its weights
 times the slices: bitmaps of equal weight are added by carry-save adders, which gives the slices of
-all rows' sums at once.  The index leaves out the ``coarse`` lowest bits of each component, so a
-sum bounds its row's score from both sides.  The k-th largest sum is found from the most
-significant slice downward; the rows whose upper bound reaches it are resolved exactly.
-
-Queries meet blocks of rows in groups of ``GROUP``; both are dealt by equi-join, so memory is bounded
-by a block.  Vectors that are null or empty, or hold null or non-finite components, take no part, nor do
-rows without an id or with another length than most vectors; zero vectors do.  Rows with the same id
-count as one.  Ties go to the smaller id.  An empty table gives an empty result.  Components of 2**40
-and more are beyond the integers used here.
+all rows' sums at once.  The sum leaves out the ``coarse`` lowest slices of each component, so it bounds a row's score
+from both sides.  The k-th largest sum is found from the most significant slice downward; the rows whose upper bound
+reaches it are put together again from all slices and resolved exactly.
+
+Blocks meet queries in groups of about ``GROUP``: a block is sent once for each group, a query once for each block, so
+memory is bounded by a block and a group.  Vectors that are null or empty, or hold null or non-finite components, take no
+part, nor do rows without an id; zero vectors do.  Vectors are compared with those of their length.  Rows with the same id
+and vector count as one; rows with the same id and different vectors are different rows.  Ties go to the smaller id.  An empty
+table gives an empty result.  Blocks and queries with components of 2**``WIDE`` or more are not sliced but resolved whole, in
+integers of any size; scores beyond 64 bits become the nearest that 64 bits hold.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql.window import Window
 from .common import Scratch
 from .learned_partitions import usable
 
-BLOCK = 32_768
-GROUP = 48
+BLOCK = 16_384
+GROUP = 2048
+WIDE = 24  # with fewer bits, products of any usual number of components fit
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -40,12 +42,18 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little")[:n].astype(bool)
 
 
-def slices_of(x: np.ndarray, coarse: int):
-    """Integers (rows, components) -> offsets and numbers of bits by component, and the bitmaps (component, bit, words)."""
+def slices_of(x: np.ndarray):
+    """Integers (rows, components) -> least of each component, number of bits, and the bitmaps (component, bit, words)."""
     low = x.min(0)
-    y = (x - low) >> coarse
+    y = x - low
     bits = max(1, int(y.max()).bit_length())
-    return low, bits, pack(((y.T[:, None, :] >> np.arange(bits)[None, :, None]) & 1).astype(bool))
+    return low, bits, np.stack([pack(((y.T >> b) & 1).astype(bool)) for b in range(bits)], axis=1)
+
+
+def rows_of(at: np.ndarray, low: np.ndarray, planes: np.ndarray) -> np.ndarray:
+    """The integers of some rows, from all slices."""
+    bits = (planes[:, :, at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+    return (bits.astype(np.int64) << np.arange(planes.shape[1])[None, :, None]).sum(1).T + low
 
 
 def add_up(by_weight: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
@@ -86,16 +94,16 @@ def at_least(sums: list, bound: int, like: np.ndarray) -> np.ndarray:
     return more | same
 
 
-def top_rows(q: np.ndarray, x: np.ndarray, low: np.ndarray, bits: int, planes: np.ndarray, coarse: int, k: int, allowed: np.ndarray) -> np.ndarray:
+def top_rows(q: np.ndarray, planes: np.ndarray, coarse: int, k: int, allowed: np.ndarray) -> np.ndarray:
     """Indexes of a block's rows that can be among its k best."""
-    words = planes.shape[-1]
+    words, coarse = planes.shape[-1], min(coarse, planes.shape[1] - 1)
     by_weight: dict[int, list] = {}
     for d, weight in enumerate(q.tolist()):
         if weight:
-            s = planes[d] if weight > 0 else ~planes[d]
+            s = planes[d, coarse:] if weight > 0 else ~planes[d, coarse:]
             for j in range(abs(weight).bit_length()):
                 if abs(weight) >> j & 1:
-                    for b in range(bits):
+                    for b in range(len(s)):
                         by_weight.setdefault(j + b, []).append(s[b : b + 1])
     sums = add_up(by_weight)
     mask = pack(allowed)
@@ -110,44 +118,65 @@ def top_rows(q: np.ndarray, x: np.ndarray, low: np.ndarray, bits: int, planes: n
         else:
             sure, same = sure | (same & s), same & ~s
     spread = -(-int(((1 << coarse) - 1) * np.abs(q).sum()) // (1 << coarse))
-    return np.flatnonzero(unpack(at_least(sums, bound - spread, mask) & mask, x.shape[0]))
-
-
-def search(vectors: DataFrame, every: int = 100, k: int = 10, coarse: int = 3, block: int = BLOCK) -> DataFrame:
+    return np.flatnonzero(unpack(at_least(sums, bound - spread, mask) & mask, len(allowed)))
+
+
+INDEX = "n int, ids binary, keys binary, x binary, low binary, planes binary"
+FOUND = "query_id long, key long, vec_id long, score long"
+
+
+def _index(t: pa.Table) -> pa.Table:
+    """The rows of a block -> its slices, or the integers themselves if they are wide."""
+    x = np.asarray(t.column("x").combine_chunks().flatten()).reshape(t.num_rows, -1)
+    out = {"ids": np.asarray(t.column("vec_id")), "keys": np.asarray(t.column("key")), "x": x[:0], "low": x[:0], "planes": x[:0]}
+    if x.min() <= -(1 << WIDE) or x.max() >= 1 << WIDE:
+        out["x"] = x
+    else:
+        out["low"], _, out["planes"] = slices_of(x)
+    return pa.table({"n": pa.array([x.shape[1]], pa.int32())} | {c: [a.tobytes()] for c, a in out.items()})
+
+
+def _answer(batches, coarse: int, k: int):
+    """(n, ids, keys, x, low, planes, q_ids, q_keys, q): a block and a group of queries -> the k best of each query."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            of = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), kind)  # noqa: B023, E731
+            n, ids, keys = batch.column("n")[i].as_py(), of("ids", np.int64), of("keys", np.int64)
+            whole, low, planes = of("x", np.int64).reshape(-1, n), of("low", np.int64), of("planes", np.uint64)
+            planes = planes.reshape(n, -1, -(-len(ids) // 64)) if len(planes) else None
+            groups = [batch.column(c)[i].values for c in ("q_ids", "q_keys", "q")]
+            out = []
+            for q_id, q_key, q in zip(np.asarray(groups[0]).tolist(), np.asarray(groups[1]).tolist(), np.asarray(groups[2].flatten()).reshape(-1, n), strict=True):
+                allowed = (ids != q_id) | (keys != q_key)
+                if planes is None or np.abs(q).max() >= 1 << WIDE:
+                    at = np.flatnonzero(allowed)
+                    x = whole[at] if planes is None else rows_of(at, low, planes)
+                    s = np.clip(x.astype(object) @ q.astype(object), -(2**63), 2**63 - 1).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+                else:
+                    at = top_rows(q, planes, coarse, k, allowed)
+                    s = rows_of(at, low, planes) @ q
+                best = _first(s, ids[at], k)
+                out += [(q_id, q_key, v, z) for v, z in zip(ids[at][best].tolist(), s[best].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(4)], names=["query_id", "key", "vec_id", "score"])
+
+
+def _first(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The k highest scores, ties to the smaller id; ~s orders as -s does, without overflow."""
+    return np.lexsort((ids, ~s))[:k]
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, coarse: int = 3, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.put(usable(vectors, zero=True).select("vec_id", F.transform("v", lambda x: F.floor(F.lit(1024.0) * x)).alias("x")))
+    rows = scratch.put(usable(vectors, zero=True).select("vec_id", "key", "n", F.transform("v", lambda x: F.floor(F.lit(1024.0) * x)).alias("x")))
     asks = rows.where(F.col("vec_id") % every == 0)
-    n, nq = rows.count(), asks.count()
-    if not nq:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks, groups = -(-n // block), -(-nq // GROUP)
-    salt = F.xxhash64("vec_id")
-
-    def index(t: pa.Table) -> pa.Table:
-        x = np.asarray(t.column("x").combine_chunks().flatten()).reshape(t.num_rows, -1)
-        low, bits, planes = slices_of(x, coarse)
-        return pa.table({"ids": [np.asarray(t.column("vec_id")).tobytes()], "x": [x.tobytes()], "low": [low.tobytes()], "bits": pa.array([bits], pa.int32()), "planes": [planes.tobytes()]})
-
-    built = rows.groupBy(F.pmod(salt, F.lit(blocks)).alias("b")).applyInArrow(index, "ids binary, x binary, low binary, bits int, planes binary")
-    grouped = asks.groupBy(F.pmod(salt, F.lit(groups)).cast("int").alias("g")).agg(F.collect_list("vec_id").alias("q_ids"), F.collect_list("x").alias("q"))
-    units = scratch.put(built).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(grouped, "g")
-
-    def answer(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, low = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["low"], np.int64)
-                x = np.frombuffer(r["x"], np.int64).reshape(len(ids), -1)
-                planes = np.frombuffer(r["planes"], np.uint64).reshape(x.shape[1], r["bits"], -1)
-                out = []
-                for q_id, q in zip(r["q_ids"], np.array(r["q"], np.int64), strict=True):
-                    at = top_rows(q, x, low, r["bits"], planes, coarse, k, ids != q_id)
-                    s = x[at] @ q
-                    best = np.lexsort((ids[at], -s))[:k]
-                    out += [(q_id, i, v) for i, v in zip(ids[at][best].tolist(), s[best].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
-
-    found = units.repartition(max(1, min(blocks * groups, 4096)), "g", F.xxhash64("ids")).mapInArrow(answer, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    blocks, groups = max(1, -(-rows.count() // block)), max(1, -(-asks.count() // group))
+    salt = F.xxhash64("vec_id", "key")
+    built = rows.groupBy("n", F.pmod(salt, F.lit(blocks)).alias("b")).applyInArrow(_index, INDEX)
+    grouped = asks.groupBy("n", F.pmod(salt, F.lit(groups)).cast("int").alias("g")).agg(F.collect_list(F.struct("vec_id", "key", "x")).alias("s"))
+    grouped = grouped.select("n", "g", F.col("s.vec_id").alias("q_ids"), F.col("s.key").alias("q_keys"), F.col("s.x").alias("q"))
+    units = scratch.put(built).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(grouped, ["n", "g"]).drop("g")
+    found = units.repartition(max(1, min(blocks * groups, 4096)), F.xxhash64("ids", "q_ids")).mapInArrow(lambda it: _answer(it, coarse, k), FOUND)
+    best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -105,7 +105,7 @@ def test_suffix_tree_hot(spark):
 def test_learned_partitions(spark):
     x = rng.standard_normal((700, 8)).astype(np.float32)
     x[5] = x[6] = x[7] = x[20]
-    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(900, None, ""), (920, [0.0] * 8, ""), (940, [float("nan")] * 8, ""), (None, [1.0] * 8, ""), (960, [1.0, None] * 4, ""), (3, x[3].tolist(), "e")]
+    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(900, None, ""), (920, [0.0] * 8, ""), (940, [float("nan")] * 8, ""), (None, [1.0] * 8, ""), (960, [1.0, None] * 4, ""), (3, x[3].tolist(), "e"), (980, [], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, part string")
     got = {}
     for r in learned_partitions.search(df, 20).collect():
@@ -116,26 +116,56 @@ def test_learned_partitions(spark):
         s = d @ d[q]
         order = [i for i in np.lexsort((np.arange(700), -np.round(s, 12))) if i != q][:20]
         recall.append(len({v for _, v, _ in found} & set(order)) / 20)
-        assert [r for r, *_ in sorted(found)] == list(range(1, len(found) + 1)) and all(abs(sc - s[v]) < 1e-9 for _, v, sc in found)
+        assert [r for r, *_ in sorted(found)] == list(range(1, 21)) and all(abs(sc - s[v]) < 1e-9 for _, v, sc in found)
         assert [(-sc, v) for _, v, sc in sorted(found)] == sorted((-sc, v) for _, v, sc in found)
     assert np.mean(recall) >= 0.9
     assert learned_partitions.search(df.limit(0), 20).count() == 0
 
 
+def test_learned_partitions_top_up(spark):
+    """A query whose parts hold too few rows visits more; few rows give all others; lengths keep to themselves; one id on two vectors is two rows."""
+    x = rng.standard_normal((300, 4))
+    ids = list(range(300))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(1, x[2].tolist()), (2000, [1.0, 2.0]), (2001, [3.0, 1.0]), (2020, [1.0, 0.0]), (20, x[21].tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in learned_partitions.search(df, 20, k=20, parts=32, target=0.01).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted((r, v) for r, v, _ in got[2000]) == [(1, 2001), (2, 2020)] and sorted((r, v) for r, v, _ in got[2020]) == [(1, 2001), (2, 2000)]
+    assert all(len(found) == 20 for q, found in got.items() if q < 300 and q != 20)
+    assert len(got[20]) == 40 and sorted(r for r, *_ in got[20]) == sorted([*range(1, 21)] * 2)
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert [(r.rank, r.vec_id, r.score) for r in learned_partitions.search(few, 20).orderBy("rank").collect()] == [(1, 1, 0.5), (2, 2, 0.5)]
+
+
 @pytest.mark.parametrize("coarse", [0, 3, 6])
 def test_bit_sliced(spark, coarse):
     x = (rng.standard_normal((500, 6)) * 0.4).astype(np.float32)
     x[10:60] = x[100]
-    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(900, None, ""), (1000, [0.0] * 6, ""), (940, [float("inf")] * 6, "")]
+    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)] + [(900, None, ""), (1000, [0.0] * 6, ""), (940, [float("inf")] * 6, ""), (1100, [1.0, 2.0], ""), (1101, [0.5, -1.0], ""), (None, [1.0] * 6, ""), (200, x[3].tolist(), ""), (3, x[3].tolist(), "e")]
     got = {}
-    for r in bit_sliced.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, x string"), coarse=coarse, block=200).collect():
+    for r in bit_sliced.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, x string"), coarse=coarse, block=200, group=3).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    y, ids = np.floor(1024 * np.vstack([x, np.zeros((1, 6))]).astype(float)).astype(int), np.array([*range(500), 1000])
-    assert set(got) == {0, 100, 200, 300, 400, 1000}
+    y, ids = np.floor(1024 * np.vstack([x, np.zeros((1, 6)), x[3:4]]).astype(float)).astype(int), np.array([*range(500), 1000, 200])
+    assert set(got) == {0, 100, 200, 300, 400, 1000, 1100} and [(v, s) for _, v, s in got.pop(1100)] == [(1101, 512 * 1024 - 1024 * 2048)]
     for q, found in got.items():
-        s = y @ y[list(ids).index(q)]
-        order = [i for i in np.lexsort((ids, -s)) if ids[i] != q][:10]
-        assert [(v, sc) for _, v, sc in sorted(found)] == [(ids[i], s[i]) for i in order]
+        want = []
+        for own in np.flatnonzero(ids == q):
+            s = y @ y[own]
+            want += [(rank + 1, ids[i], s[i]) for rank, i in enumerate([i for i in np.lexsort((ids, -s)) if i != own][:10])]
+        assert sorted(found) == sorted(want)
+
+
+def test_bit_sliced_wide(spark):
+    """Components beyond the slices are resolved whole, and scores beyond 64 bits are the nearest that fit."""
+    x = {0: [1e6, -3.0], 1: [2.0, 5.0], 2: [1e6, 1e6], 3: [-1e15, 0.0], 100: [1.0, 1.0], 200: [1e16, 1e16]}
+    df = spark.createDataFrame([(i, v) for i, v in x.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in bit_sliced.search(df, block=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 100, 200):
+        score = {i: max(-(2**63), min(2**63 - 1, sum(int(a * 1024 // 1) * int(b * 1024 // 1) for a, b in zip(x[q], v, strict=True)))) for i, v in x.items() if i != q}
+        assert [(v, s) for _, v, s in sorted(got[q])] == sorted(score.items(), key=lambda p: (-p[1], p[0]))
+    assert bit_sliced.search(df.limit(0)).count() == 0
 
 
 def test_chat(spark):
