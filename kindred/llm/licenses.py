@@ -94,10 +94,11 @@ def scan(docs: DataFrame, cover: float = 0.75, gap: int = 3) -> DataFrame:
     )
 
     words = F.col("words")
-    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
-    runs = rows.select("doc_id", "key", "words", F.posexplode(hashes).alias("pos", "h"))
-    votes = runs.join(F.broadcast(template_runs(docs.sparkSession)), "h")
-    votes = votes.where(F.array_join(F.slice("words", F.col("pos") + 1, RUN), " ") == F.col("run"))
+    three = F.arrays_zip(words.alias("w0"), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))).alias("w1"), F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(0))).alias("w2"))
+    runs = rows.select("doc_id", "key", F.posexplode(three).alias("pos", "r")).select("doc_id", "key", "pos", "r.w0", "r.w1", "r.w2")
+    runs = runs.withColumn("h", F.xxhash64("w0", "w1", "w2"))
+    templates = F.broadcast(template_runs(docs.sparkSession))  # a constant
+    votes = runs.join(templates, "h").where(F.concat_ws(" ", "w0", "w1", "w2") == F.col("run"))
     doc = ["doc_id", "key", "template", "label", "runs"]
     lines = votes.groupBy(*doc, (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     order = Window.partitionBy(*doc).orderBy("diagonal")
