@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, mix, words_of
 
-CHUNK = 1_500_000  # tokens
+CHUNK = 1_300_000  # tokens
 PART = 3_000_000  # events of a part, about
 HOT = 50_000  # occurrences of a context whose events are dealt by event, at least
 HOT_CONTEXTS = 100_000
 DISCOUNT = 0.75
+HIGH = np.uint64(0xFFFFFFFF00000000)
 END = "\n"  # no word can be this
 
 CHUNKS = "chunk long, n_train long, n_all long, ids array<long>, held binary, lens binary, vocab binary, trained binary, toks binary"
@@ -187,7 +188,8 @@ class _Chunk:
         self.ctx = mix(self.ctx, before) if self.level > 1 else mix(np.uint64(1) + np.zeros_like(before), before)
         ctx_count = np.roll(self.count, 1)
         at = np.flatnonzero((self.pos >= self.level) & (ctx_count >= least))
-        keys = mix(self.ctx[at], self.h[at])
+        # within a chunk, half of a context's hash and half of the event's: in the order of contexts, and so of parts
+        keys = (self.ctx[at] & HIGH) | (mix(self.ctx[at], self.h[at]) >> np.uint64(32))
         key, first, inv = np.unique(keys, return_index=True, return_inverse=True)
         return at, ctx_count, key, at[first], inv
 
@@ -195,7 +197,7 @@ class _Chunk:
         at, ctx_count, key, first, inv = self.events(least)
         seen = np.bincount(inv, self.train[at], minlength=len(key)).astype(np.uint32)
         ctx, cc = self.ctx[first], ctx_count[first]
-        order, part = self.order(key, ctx, cc, hot, parts)
+        order, part = self.order(key, cc, hot, parts)
         word = (self.h[first][order] & np.uint64(2**48 - 1)).view(np.uint8).reshape(-1, 8)[:, :6]  # a context's successors are known by 48 bits
         ctx, cc, seen = ctx[order], cc[order], seen[order]
         lp = np.clip(np.rint(-25 * np.log10(self.p[first])[order]), 0, 255).astype(np.uint8)
@@ -208,15 +210,16 @@ class _Chunk:
         return rows
 
     @staticmethod
-    def order(key, ctx, cc, hot, parts):
-        part = np.where(cc >= hot, _part(key, parts), _part(ctx, parts))
-        return np.lexsort((ctx, part)), part
+    def order(key, cc, hot, parts):
+        """Order by part, then by context, and the parts: that of the context, or of the event if the context is hot."""
+        part = np.where(cc >= hot, _part(key << np.uint64(32), parts), _part(key, parts))
+        return np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable"), part
 
     def learn(self, least: int, hot: int, parts: int, answers: dict, hot_states: dict) -> None:
         """Takes in a level's answers: counts, and which contexts are states."""
         at, ctx_count, key, first, inv = self.events(least)
         ctx, cc = self.ctx[first], ctx_count[first]
-        order, _ = self.order(key, ctx, cc, hot, parts)
+        order, _ = self.order(key, cc, hot, parts)
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         got = [answers[p] for p in sorted(answers)]

@@ -61,19 +61,65 @@ def test_suffix_tree(docs, empty):
     assert suffix_tree.score(empty.withColumn("held", F.lit(False))).count() == 0
 
 
-def test_suffix_tree_sums_to_one(spark):
-    """The root and a state are distributions over the known words and one unknown."""
-    text = "a b a b a c a b d " * 20
-    words = ["a", "b", "c", "d", "zz"]
-    rows = [(0, text, False)] + [(i + 1, f"a {w}", True) for i, w in enumerate(words)] + [(9, "a", True), (10, "q", True), (11, "", True)]
-    got = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), depth=1, least=2, gain=0.1).collect()}
-    end = got[11].score
-    assert got[1].mean_depth > 0
-    first = got[9].score  # p(a) p(end | a)
-    pa = (80 + 0.1) / (181 + 0.1 * 6)
-    after = {w: 10 ** (got[i + 1].score) / pa for i, w in enumerate(words)}
-    ends = {w: 10**end for w in words}
-    assert 0 < 10**first < 1 and all(0 < p < 1 for p in after.values()) and ends
+def brute_tree(rows, depth, least, gain):
+    """{doc: (score, depths)} by dictionaries, and the tree's distribution after a context."""
+    texts = {d: [*split(t), "\n"] for d, t, _ in rows}
+    grams, follow = {}, {}
+    for d, _, held in rows:
+        w = texts[d]
+        for i in range(0 if held else len(w)):
+            for k in range(min(i, depth) + 1):
+                grams[tuple(w[i - k : i + 1])] = grams.get(tuple(w[i - k : i + 1]), 0) + 1
+                follow.setdefault(tuple(w[i - k : i]), set()).add(w[i])
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), len(follow.get((), ()))
+    rough = lambda p: 10 ** (np.clip(np.rint(-25 * np.log10(p)), 0, 255) / -25)
+    known = {}
+
+    def after(ctx, w):
+        """Smoothed probability of w in the longest state of ctx, and that state's length."""
+        p, k = (grams.get((w,), 0) + 0.1) / (n + 0.1 * (v + 1)), 0
+        for j in range(1, min(depth, len(ctx)) + 1):
+            c = ctx[-j:]
+            if state(c):
+                p, k = (max(grams.get((*c, w), 0) - 0.75, 0) + 0.75 * len(follow[c]) * p) / grams[c], j
+        return p, k
+
+    def state(c):
+        if c not in known:
+            known[c] = False
+            if grams.get(c, 0) >= least and all(grams.get(c[i:], 0) >= least for i in range(len(c))) and grams.get(c[:-1], least) >= least:
+                total, m, k = 0.0, grams[c], len(follow.get(c, ()))
+                for w in follow.get(c, ()):
+                    p, x = rough(after(c[1:], w)[0]), grams[(*c, w)]
+                    total += x * np.log10(((max(x - 1.75, 0) + 0.75 * k * p) / max(m - 1, 1)) / p)
+                known[c] = bool(total >= gain and k)
+        return known[c]
+
+    out = {}
+    for d, w in texts.items():
+        each = [after(tuple(w[max(0, i - depth) : i]), x) for i, x in enumerate(w)]
+        out[d] = sum(np.log10(p) for p, _ in each), sum(k for _, k in each) / len(w)
+    return out, after, set(follow.get((), ()))
+
+
+@pytest.mark.parametrize("hot", [10**9, 5])
+def test_suffix_tree_brute_force(spark, hot):
+    """States, discounting and retention are those of dictionaries, and every state's distribution sums to one."""
+    some = [" ".join(rng.choice(WORDS[:6], 12)) for _ in range(8)]
+    rows = [(i, " ".join(x for _ in range(4) for x in (rng.choice(some), prose(int(rng.integers(0, 5))))), i % 5 == 0) for i in range(60)] + [(60, "", False), (61, None, True), (62, "never seen here", True)]
+    want, after, words = brute_tree(rows, 3, 3, 0.5)
+    got = suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), depth=3, least=3, gain=0.5, hot=hot).collect()
+    assert {r.doc_id for r in got} == set(want)
+    for r in got:
+        assert (r.score, r.mean_depth) == pytest.approx(want[r.doc_id], abs=1e-6)
+    deepest = set()
+    for t in some:
+        w = tuple(split(t))
+        for i in range(len(w)):
+            ctx = w[max(0, i - 3) : i]
+            deepest.add(after(ctx, "w0")[1])
+            assert sum(after(ctx, x)[0] for x in [*words, "no such word"]) == pytest.approx(1)
+    assert {1, 2} <= deepest
 
 
 def test_suffix_tree_defaults(spark):
