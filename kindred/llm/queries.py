@@ -22,7 +22,7 @@ def op2_ann(spark, sf_dir):
 
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2))
+    scorer = toxicity.fit(docs.where(_remainder(4) != 2), table(spark, sf_dir, "labels").where(_remainder(4) != 2))
     scored = toxicity.score(docs, scorer)
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_votes")
 

@@ -1,16 +1,19 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon words and word-prefix patterns, each with a least number or share of a text's words,
-induced from labelled training rows by support and log-odds.  A generative label model takes each voter's vote as noisy evidence of a hidden label: EM, anchored
-in the labelled rows, estimates the voters' rates of voting on either class; voters whose votes
-correlate given the class share one vote between them.  A linear classifier is trained on the posterior labels, with the votes and the shares of
-words that voted as its inputs, and scores every text.
+induced from labelled training rows by support and log-odds.  A generative label model takes each voter's vote as noisy evidence
+of a hidden label: EM over labelled and unlabelled rows, anchored in the rates on the labelled ones, estimates the voters' rates of
+voting on either class and, from the posterior-weighted co-occurrence of votes on toxic rows, their correlations; a voter's
+evidence counts by one over its effective number of copies, the sum of its squared correlations.  A linear classifier is
+trained on the posterior labels of all those rows, with the votes and the shares of words that voted as its inputs, and scores every text.
 
-Only the fit uses labels, at most ``LABELLED`` labelled rows of each class, drawn by a hash of the id
-from all that may be learned from; voters, model and classifier have bounded sizes.  Scoring reads the text alone.
+Only the voters and the anchor use labels: at most ``LABELLED`` labelled rows of each class, drawn by a hash of the id
+from all that may be learned from.  At most about ``UNLABELLED`` texts without a label are drawn by a hash of id and text.
+Voters, model and classifier have bounded sizes.  Scoring reads the text alone.
 
 Null and empty texts get the score of a text without votes.  Documents labelled more than once count as
-toxic if a label says so; null labels are ignored.  Without labelled rows of both classes every score is 0.
+toxic if a label says so; null labels are ignored; where an id is on several texts the least text, by its hash, is learned from.
+Without labelled rows of both classes every score is 0.
 Repeated rows are scored each; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED = 3000  # rows of each class
+UNLABELLED = 3000  # rows, about
 VOTERS = 192
 PREFIXES = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -86,32 +90,43 @@ def induced(counted: list[dict], toxic: np.ndarray, limit: int = VOTERS) -> list
 
 
 class LabelModel:
-    """Rates of the voters on either class.
+    """Rates of the voters on either class, and the correlations of their votes on toxic rows.
 
-    EM on the votes; it starts from the rates on labelled rows, which also count as ``anchor`` rows of
+    EM on the votes of all rows; it starts from the rates on labelled rows (``known``), which also count as ``anchor`` rows of
     each class throughout.  A voter that is silent abstains; only the silence of all is evidence.
     """
 
-    def __init__(self, votes: np.ndarray, toxic: np.ndarray, prior: float, weight: np.ndarray, rounds: int = 10, anchor: float = 200.0):
+    def __init__(self, votes: np.ndarray, toxic: np.ndarray, known: np.ndarray, prior: float, weight: np.ndarray, rounds: int = 10, anchor: float = 200.0):
         votes = np.concatenate([votes, votes.any(1, keepdims=True)], 1).astype(float)
-        self.share = np.concatenate([self.shares(votes[:, :-1], toxic), [1.0]])
-        yes, no = (votes[toxic].sum(0) + 0.5) / (toxic.sum() + 1), (votes[~toxic].sum(0) + 0.5) / ((~toxic).sum() + 1)
+        true, false = known & toxic, known & ~toxic
+        yes, no = (votes[true].sum(0) + 0.5) / (true.sum() + 1), (votes[false].sum(0) + 0.5) / (false.sum() + 1)
         self.yes, self.no, self.prior = yes, no, prior
+        self.correlation = self.correlations(votes[:, :-1], true.astype(float))
         for _ in range(rounds):
             q = self._posterior(votes)
             w1, w0 = weight * q, weight * (1 - q)
             self.yes = (votes.T @ w1 + anchor * yes) / (w1.sum() + anchor)
             self.no = (votes.T @ w0 + anchor * no) / (w0.sum() + anchor)
+            self.correlation = self.correlations(votes[:, :-1], w1)
 
     @staticmethod
-    def shares(votes: np.ndarray, toxic: np.ndarray, least: float = 0.5) -> np.ndarray:
-        """One over the number of voters that each correlates with, given the class, itself included."""
-        rows = votes[toxic] - votes[toxic].mean(0)
-        size = np.sqrt((rows**2).sum(0)) + 1e-9
-        return 1 / np.maximum(1, ((rows.T @ rows) / np.outer(size, size) > least).sum(1))
+    def correlations(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Weighted correlations of the voters."""
+        mean = weight @ votes / max(weight.sum(), 1e-9)
+        rows = (votes - mean) * np.sqrt(weight)[:, None]
+        cov = rows.T @ rows
+        size = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        out = np.clip(cov / np.outer(size, size), -1, 1)
+        np.fill_diagonal(out, 1)
+        return out
+
+    @property
+    def share(self) -> np.ndarray:
+        """One over each voter's effective number of copies; correlations within the noise of the sample don't count."""
+        return 1 / (np.where(self.correlation > 0.3, self.correlation, 0) ** 2).sum(1)
 
     def _posterior(self, votes: np.ndarray) -> np.ndarray:
-        cast = votes[:, :-1] @ (self.share * np.log(self.yes / self.no))[:-1]
+        cast = votes[:, :-1] @ (self.share * np.log(self.yes / self.no)[:-1])
         silent = (1 - votes[:, -1]) * np.log((1 - self.yes[-1] + 1e-4) / (1 - self.no[-1] + 1e-4))
         return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + cast + silent, -30, 30)))
 
@@ -166,7 +181,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(inputs(votes, self.share, n) @ self.w, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Scorer | None:
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Scorer | None:
     """Voters, label model and classifier from (doc_id, toxic) and the texts of (doc_id, text)."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
     sizes = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
@@ -181,24 +196,28 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Scorer
             lists = [pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *lists], names=["toxic", "words", "counts"])
 
-    # at most twice ``labelled`` ids are broadcast, and as many documents' distinct words reach the driver
-    sample = texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").dropDuplicates(["doc_id"]).select("toxic", "text").mapInArrow(words, "toxic boolean, words array<string>, counts array<int>")
-    toxic, counted, intern = [], [], {}
+    # at most twice ``labelled`` ids are broadcast, and as many documents' distinct words reach the driver, and those of the unlabelled
+    chosen = F.broadcast(drawn[0].union(drawn[1]))
+    mine = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text"), F.xxhash64("text")).alias("x")).select("x.*")
+    h, n_docs = F.xxhash64("doc_id", F.xxhash64("text")), texts.count()
+    others = texts.where(h < F.lit(min(2**63 - 1, int(unlabelled / max(n_docs, 1) * 2**64) - 2**63))).join(one.select("doc_id"), "doc_id", "left_anti").select(F.lit(None).cast("boolean").alias("toxic"), "text")
+    sample = mine.union(others).mapInArrow(words, "toxic boolean, words array<string>, counts array<int>")
+    toxic, known, counted, intern = [], [], [], {}
     for r in sample.toLocalIterator():
-        toxic.append(r.toxic)
+        toxic.append(bool(r.toxic)), known.append(r.toxic is not None)
         counted.append({intern.setdefault(w, w): n for w, n in zip(r.words, r.counts, strict=True)})
-    toxic = np.array(toxic, bool)
-    if toxic.all() or not toxic.any():
+    toxic, known = np.array(toxic, bool), np.array(known, bool)
+    if not (known & toxic).any() or not (known & ~toxic).any():
         return None
-    voters = induced(counted, toxic)
+    voters = induced([c for c, k in zip(counted, known, strict=True) if k], toxic[known])
     if not voters:
         return None
     scorer = Scorer(voters, np.ones(len(voters)), np.zeros(0))
     votes, n = scorer.votes(counted)
-    prior = sizes[True] / sum(sizes.values())
-    weight = np.where(toxic, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
-    model = LabelModel(votes, toxic, prior, weight)
-    scorer.share = model.share[:-1]
+    prior, share = sizes[True] / sum(sizes.values()), toxic[known].mean()
+    weight = np.where(~known, 1.0, np.where(toxic, prior / share, (1 - prior) / (1 - share)))
+    model = LabelModel(votes, toxic, known, prior, weight)
+    scorer.share = model.share
     scorer.w = linear(inputs(votes, scorer.share, n), model.posterior(votes), weight)
     return scorer
 

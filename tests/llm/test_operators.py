@@ -422,6 +422,30 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.keep(docs, scorer, 0.3).columns == docs.columns
 
 
+def test_label_model():
+    """From a few labelled rows and many without: rates that tell the classes apart, posteriors near the best there are, copies that share one vote."""
+    g = np.random.default_rng(5)
+    yes, no, n = np.array([0.7, 0.5, 0.6, 0.4]), np.array([0.05, 0.02, 0.1, 0.03]), 20_000
+    toxic = g.random(n) < 0.2
+    votes = (g.random((n, 4)) < np.where(toxic[:, None], yes, no)).astype(np.int8)
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)  # the last voter copies the first
+    known = np.arange(n) < 400
+    model = toxicity.LabelModel(votes, toxic & known, known, 0.2, np.ones(n), rounds=40, anchor=20.0)
+    assert (model.yes[:4] > 3 * model.no[:4]).all()
+    assert model.correlation[0, 4] > 0.99 and model.share == pytest.approx([0.5, 1, 1, 1, 0.5], abs=0.1)
+    q = model.posterior(votes)
+    odds = np.log(0.25) + votes[:, :4] @ np.log(yes / no) + (1 - votes[:, :4]) @ np.log((1 - yes) / (1 - no))
+    assert ((q > 0.5) == toxic).mean() > ((odds > 0) == toxic).mean() - 0.12  # single silent voters say nothing
+
+
+def test_toxicity_learns_alike(spark):
+    """An id on two texts, a repeated row and the order of rows don't change the fit; texts without a label take part."""
+    rows = [(i, prose(20) + (" vile" * 2 if i % 4 == 0 else ""), "s", 0, "k", 0) for i in range(200)] + [(0, prose(30), "s", 0, "k", 0), (4, prose(9) + " vile", "s", 0, "k", 0)]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    a, b = (toxicity.fit(spark.createDataFrame(r, DOCS), lab) for r in (rows, [*rows[::-1]]))
+    assert a.voters == b.voters and a.w == pytest.approx(b.w)
+
+
 def test_bpe(spark, docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -442,14 +466,68 @@ def test_bpe(spark, docs, empty):
     assert transducer_bpe.digests(empty, path).count() == 0
 
 
-def test_pipeline(spark, tmp_path, docs):
+def fingerprint(t):
+    w = split(t)
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_near(rows):
+    """Of (doc_id, text) rows, one of each SimHash component: the smallest id, then text; rows without an id come last."""
+    kept, left = [], list(dict.fromkeys(rows))
+    while left:
+        group, todo = [], [left.pop()]
+        while todo:
+            x = todo.pop()
+            group.append(x)
+            near = [y for y in left if (fingerprint(x[1]) ^ fingerprint(y[1])).bit_count() <= 3]
+            left = [y for y in left if y not in near]
+            todo += near
+        kept.append(min(group, key=lambda r: (r[0] is None, r[0] or 0, np.uint64(xxhash.xxh64_intdigest(r[1] or '', 42)).view(np.int64))))
+    return kept
+
+
+@pytest.mark.parametrize("hollow", ["", "documents", "labels"])
+def test_pipeline_brute_force(spark, tmp_path, hollow):
+    """Every stage against a plain version of it on what the stage before kept."""
     import corpus_pipeline
 
-    docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(0).alias("n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 0, int(i == 8)) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = {d for r in out for d in r.doc_ids}
-    assert 6 not in kept and 5 in kept and all(r.used <= r.capacity for r in out)
+    passage = prose(70)
+    rows = [(i, prose(int(rng.integers(30, 90))) + (" vile nasty" * 3 if i % 6 == 0 else "")) for i in range(90)]
+    rows += [(200 + i, prose(40) + " " + passage + "\n" + prose(30)) for i in range(4)] + [(300, rows[1][1]), (None, rows[2][1]), (None, prose(50)), (None, prose(50)), (301, None), (302, ""), (1, prose(80)), (308, rows[8][1] + " x")]
+    rows = [] if hollow == "documents" else rows
+    df = spark.createDataFrame([(d, t, "en", "src1", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, int(i % 6 == 0)) for i in range(0 if hollow == "labels" else 90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    order = lambda x: sorted(x, key=lambda r: (str(r[0]), str(r[1])))
+    now, kept = df, rows
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before, now = now, stage(spark, now, str(tmp_path))
+        if name == "toxicity":
+            kept = [r for r in kept if hollow or "vile" not in (r[1] or "")]
+        elif name == "simhash_near_dedup":
+            kept = brute_near(kept)
+        else:
+            cut, spans = brute_cuts([r for r in kept if r[0] is not None]), {}
+            for d, words in cut.items():
+                for w in sorted(words):
+                    runs = spans.setdefault(d, [])
+                    if runs and runs[-1][1] == w:
+                        runs[-1][1] = w + 1
+                    else:
+                        runs.append([w, w + 1])
+            assert hollow == "documents" or spans
+            kept = [(d, paragraphs.without(t, spans[str(d)]) if str(d) in spans else t) for d, t in kept]
+        assert now.columns == before.columns
+        assert order((r.doc_id, r.text) for r in now.collect()) == order(kept), name
+    sizes, want = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        assert r.used == sum(r.lengths) <= r.capacity
+        for d, n in zip(r.doc_ids, r.lengths, strict=True):
+            sizes[d] = sizes.get(d, 0) + n
+    for d, t in kept:
+        want[d] = want.get(d, 0) + len(split(t)) + 1
+    assert sizes == want
 
 
 def test_pipeline_keeps_distinct_texts(spark):
