@@ -12,7 +12,7 @@ from kindred.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of toxicity 0.3 or more.  Rows of equal id and text are judged alike, so they are joined by both."""
+    """Rejects documents of toxicity 0.3 or more.  Each row is judged by its own text; without labels of both kinds all rows stay."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep(docs, scorer, 0.3)
 
@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out the paragraphs that an earlier document, or place, has."""
+    """Cuts out the words that an earlier document, or place, has in a paragraph alike; documents stay, with what is left of their text."""
     return paragraphs.remove(docs, paragraphs.repeats(docs))
 
 
@@ -48,7 +48,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: The linear classifier, the fingerprints and the packing are beyond SQL; tests hold run() against a brute-force version.
+#: The linear classifier, the fingerprints and the packing are beyond SQL; a test holds each stage against a plain version of it.
 ORACLE_SQL = None
 
 
