@@ -74,18 +74,42 @@ def gathered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(F.xxhash64(F.lit("gathered"), *keys))
 
 
-def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+FEW = 1 << 18  # links
+
+
+def _joined(batches):
+    """Links (a, b), at most ``FEW`` -> (x, root): every end of one, and the smallest that it reaches."""
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["x", "root"])
+
+
+def components(scratch: Scratch, links: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b); root is the smallest node that it reaches.
 
     Rounds of contraction: each node moves to the neighbour, or itself, that comes first in an order
     drawn anew each round, so the number of rounds is logarithmic whatever the shape.  Each round is
-    two joins and two aggregations with map-side combine; hubs cause no large groups.
+    two joins and two aggregations with map-side combine; hubs cause no large groups.  Once ``few`` links are left, one
+    task joins them, which saves the last rounds; the roots are the same.
     """
     links = scratch.put(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     label = scratch.put(nodes.select("node", F.col("node").alias("at")))
     edges, step = links, 0
-    while not edges.isEmpty():
+    while (left := edges.count()) > few:
         step += 1
         both = edges.select("a", "b").union(edges.select("b", "a"))
         first = F.struct(F.xxhash64(F.lit(step), F.col("b")).alias("h"), F.col("b").alias("to"))
@@ -102,6 +126,9 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         )
         scratch.drop(label, edges, move)
         label, edges = next_label, next_edges
+    if left:
+        last = scratch.put(edges.coalesce(1).mapInArrow(_joined, "x long, root long"))
+        label = scratch.put(label.join(last, label["at"] == last["x"], "left").select("node", F.coalesce("root", "at").alias("at")))
     root = label.groupBy("at").agg(F.min("node").alias("root"))
     return label.join(root, "at").select("node", "root")
 

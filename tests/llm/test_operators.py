@@ -354,6 +354,17 @@ def test_passages_brute_force(spark):
             assert first.setdefault(core, c) == c
 
 
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_components(spark, few):
+    """Chains, a hub, a cycle and a link to itself; the same roots however many links one task joins."""
+    from kindred.llm.common import Scratch, components
+
+    links = [*[(i, i + 1) for i in range(60)], *[(100, 100 + i) for i in range(1, 40)], (200, 201), (201, 202), (202, 200), (201, 200), (-5, 300), (7, 7), (400, 400)]
+    got = {r.node: r.root for r in components(Scratch(spark), spark.createDataFrame(links, "a long, b long"), few).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200, 202: 200, -5: -5, 300: -5}
+    assert components(Scratch(spark), spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
 def test_gathered_survives_a_join(spark):
     """Spark leaves a plain repartition by a join's keys out; ours stays, so the rows of a key are together."""
     from kindred.llm.common import gathered
