@@ -299,3 +299,31 @@ def test_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(got) == sorted(map(tuple, blocking.candidates(r).collect()))
+
+
+def test_mined_negatives(spark):
+    """The categories of a plain loop over all candidates, quotas included."""
+    from kindred import queries as q
+    from kindred.operators import blocking
+
+    r, t = q.recs(spark, SMALL), q.truth(spark, SMALL)
+    got = {(x.s1_id, x.cand_id): x.category for x in mining.mined_negatives(r, t, 35, 5, 4, 30).collect()}
+    text, seq = {x.entity_id: x for x in features.described(r).collect()}, {x.entity_id: x.seq for x in r.collect()}
+    true, want, left = {tuple(x) for x in t.collect()}, {}, {"foreign": 5, "place": 4, "street": 30}
+    for x in sorted(blocking.candidates(r, 35).collect(), key=lambda x: (seq[x.s1_id], x.s1_id, x.rank)):
+        a, b = text[x.s1_id], text[x.cand_id]
+        name, addr = K.token_sort_ratio(a.name, b.name), K.token_set_ratio(a.addr, b.addr)
+        for kind, ok in (("foreign", b.foreign), ("place", name >= 0.8 and addr < 0.45), ("street", addr >= 0.65 and name < 0.5)):
+            if (x.s1_id, x.cand_id) not in true and ok and left[kind]:
+                left[kind] -= 1
+                want[x.s1_id, x.cand_id] = kind
+                break
+    assert got == want
+
+
+def test_accents_and_order(spark):
+    df = spark.createDataFrame([("é",), ("ề ﬁ",), (None,)], "x string")
+    assert [r[0] for r in df.select(K.strip_accents_udf("x")).collect()] == ["e", "e fi", None]
+    rows = spark.range(50).selectExpr("id", "id % 7 AS k")
+    one, two = ([r.id for r in mining.shuffled(rows.repartition(n), ["id"]).collect()] for n in (1, 3))
+    assert one == two != sorted(one) and sorted(one) == list(range(50))
