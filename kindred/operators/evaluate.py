@@ -36,16 +36,18 @@ def macro(entities: DataFrame) -> DataFrame:
 
 
 def sweep(s1: DataFrame, truth: DataFrame, scored: DataFrame, grid: DataFrame) -> DataFrame:
-    """macro-F0.5 at every (tau, m) of a small grid, in one job; pairs are counted by (tau, m, record), never listed."""
-    marked = scored.join(truth.select("s1_id", "cand_id").distinct().withColumn("hit", F.lit(1)), ["s1_id", "cand_id"], "left").withColumn("top", F.max("p").over(Window.partitionBy("s1_id")))
-    kept = marked.join(F.broadcast(grid), (F.col("p") >= F.col("tau")) & (F.round(F.col("top") - F.col("p"), 6) <= F.col("m")))
-    got = kept.groupBy("tau", "m", "s1_id").agg(F.count(F.lit(1)).alias("n_pred"), F.sum(F.coalesce("hit", F.lit(0))).alias("tp"))
-    n_true = s1.join(truth.groupBy("s1_id").agg(F.countDistinct("cand_id").alias("n_true")), "s1_id", "left").na.fill(0, ["n_true"])
-    base = n_true.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_true") == 0).cast("int")).alias("singles"))
-    f = got.join(n_true, "s1_id").withColumn("f", f_counts(F.col("n_true"), F.col("n_pred"), F.col("tp")))
-    gained = f.groupBy("tau", "m").agg(F.sum(F.when(F.col("n_true") > 0, F.col("f")).otherwise(0.0)).alias("f"), F.sum((F.col("n_true") == 0).cast("int")).alias("lost"), F.sum("n_pred").alias("links"), F.count(F.lit(1)).alias("with_pred"))
-    out = grid.join(gained, ["tau", "m"], "left").na.fill(0).join(F.broadcast(base))  # base is one row
-    return out.select("tau", "m", F.round((F.col("f") + F.col("singles") - F.col("lost")) / F.col("n"), 6).alias("macro_f05"), F.col("links").cast("long").alias("predicted_links"), F.col("with_pred").cast("long").alias("s1_with_predictions"))
+    """macro-F0.5 at every (tau, m) of a small grid, in one pass: a record's pairs are counted for all points at once."""
+    points = [(r.tau, r.m) for r in grid.collect()]  # the grid is the caller's, a few dozen points
+    hits = truth.select("s1_id", "cand_id").distinct().withColumn("hit", F.lit(True))
+    marked = scored.select("s1_id", "cand_id", "p").join(hits, ["s1_id", "cand_id"], "left").withColumn("gap", F.round(F.max("p").over(Window.partitionBy("s1_id")) - F.col("p"), 6))
+    at = [(F.col("p") >= tau) & (F.col("gap") <= m) for tau, m in points]
+    counts = marked.groupBy("s1_id").agg(*[F.count_if(c).alias(f"n{i}") for i, c in enumerate(at)], *[F.count_if(c & F.coalesce("hit", F.lit(False))).alias(f"t{i}") for i, c in enumerate(at)])
+    records = s1.join(truth.groupBy("s1_id").agg(F.countDistinct("cand_id").alias("n_true")), "s1_id", "left").join(counts, "s1_id", "left").na.fill(0)
+    cells = F.array(*[F.struct(F.lit(float(tau)).alias("tau"), F.lit(float(m)).alias("m"), F.col(f"n{i}").alias("n"), F.col(f"t{i}").alias("tp")) for i, (tau, m) in enumerate(points)])
+    each = records.select("n_true", F.explode(cells).alias("x")).select("n_true", "x.*")
+    return each.groupBy("tau", "m").agg(
+        F.round(F.avg(f_counts(F.col("n_true"), F.col("n"), F.col("tp"))), 6).alias("macro_f05"), F.sum("n").cast("long").alias("predicted_links"), F.count_if(F.col("n") > 0).alias("s1_with_predictions"),
+    )
 
 
 def best_of_sweep(swept: DataFrame) -> DataFrame:
