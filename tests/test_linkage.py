@@ -32,6 +32,15 @@ def test_text(spark, x, f, want):
     assert one(spark, x, f) == want
 
 
+@pytest.mark.parametrize("word", ["weiß", "straße", "ßa", "ßẞs", "größte", "ŉab", "ﬁx", "ᾳs", "𐐨ßs", "ashcraft", "é"])
+def test_soundex_against_sql(spark, word):
+    """Letters whose upper case is two letters count as one, as in SQL."""
+    from kindred.queries import sql_soundex
+
+    want = duckdb.execute(f"SELECT {sql_soundex('x')} FROM (SELECT ?::VARCHAR AS x)", [word]).fetchone()[0]
+    assert one(spark, word, T.soundex) == want
+
+
 @given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
 def test_kernels(a, b):
     for f in (K.indel_ratio, K.token_sort_ratio, K.token_set_ratio, K.jaro_winkler):
