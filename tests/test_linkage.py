@@ -41,6 +41,18 @@ def test_soundex_against_sql(spark, word):
     assert one(spark, word, T.soundex) == want
 
 
+@pytest.mark.parametrize("text", ["weißt-5 straße. ", "ß12b straße", "a. 12bé nord", "œ007 b. ß 6-3ß", "x. +1 (305) 555-7981 rue +1 (875) 555-3975 ave", "n. b-12 sud c/14 hauptstraße", "größe.comé", "www.ab.comß"])
+def test_address_keys_against_sql(spark, tmp_path, text):
+    """Codes beside letters beyond ASCII, and two codes of one address."""
+    docs = spark.createDataFrame([(1, text, "de", "src9", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("norm_name", "norm_addr", "number_codes", "address_keys"):
+        got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+        assert got == con.execute(entry.oracle_sql()[name]).fetchall(), name
+
+
 @given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
 def test_kernels(a, b):
     for f in (K.indel_ratio, K.token_sort_ratio, K.token_set_ratio, K.jaro_winkler):
