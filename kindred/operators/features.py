@@ -9,20 +9,24 @@ from ..functions import kernels as K
 from ..functions import text as T
 
 
-def described(records: DataFrame) -> DataFrame:
-    """Per-record columns that the features read."""
+def described(records: DataFrame, *more: str) -> DataFrame:
+    """Per-record columns that the features read, and ``more``."""
     name, addr = T.business_name(F.col("business_name")), T.address(F.col("business_address"))
     base = records.withColumn("name", name).withColumn("addr", addr)
     return base.select(
         "entity_id", "business_name", "business_address", "country", "name", "addr", T.domain_stem(F.col("business_name")).alias("stem"),
         F.array_distinct(T.numbers(F.col("business_address"))).alias("nums"), F.array_distinct(T.words(F.col("addr"))).alias("aw"), F.array_distinct(T.words(F.col("name"))).alias("nw"),
-        F.size(T.words(F.col("name"))).alias("nt"), T.plot_codes(F.col("business_address")).alias("plots"), F.get(T.words(F.col("name")), F.lit(0)).alias("first"), T.has_non_latin(F.concat("business_name", F.lit(" "), "business_address")).alias("foreign"),
+        F.size(T.words(F.col("name"))).alias("nt"), T.plot_codes(F.col("business_address")).alias("plots"), F.get(T.words(F.col("name")), F.lit(0)).alias("first"), T.has_non_latin(F.concat("business_name", F.lit(" "), "business_address")).alias("foreign"), *more,
     )
 
 
 def paired(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """(s1_id, cand_id, ...) with both records' columns as structs a and b."""
-    d = described(records)
+    return sides(pairs, described(records))
+
+
+def sides(pairs: DataFrame, d: DataFrame) -> DataFrame:
+    """``paired`` of records that are described."""
     side = lambda name, key: d.select(F.col("entity_id").alias(key), F.struct(*[c for c in d.columns if c != "entity_id"]).alias(name))
     return pairs.join(side("a", "s1_id"), "s1_id").join(side("b", "cand_id"), "cand_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels as K
 from ..functions import text as T
+from ..scratch import Scratch
 from . import blocking, features
 
 
@@ -64,13 +65,36 @@ def hard_negative_rules() -> dict:
     }
 
 
+def sliced(scratch: Scratch, records: DataFrame, k: int, of=lambda found, d: found, least: int = 2000, most: int = 16) -> DataFrame:
+    """``of(candidates, described records)`` of every S1 record, stored slice by slice of the S1 records.
+
+    Postings and described records are stored once, and what a slice shuffles goes before the next one comes, so that hits
+    and pairs of one slice are on disk at a time.  A slice has ``least`` records or a ``most``-th of them, whichever is more.
+    """
+    d = scratch.put(features.described(records, "source", "seq"))
+    posted = scratch.put(blocking.posted(d))
+    s1 = d.where("source = 'S1'")
+    n = min(most, 1 + s1.count() // least)
+    parts = [scratch.put(of(blocking.probed(s1.where(F.pmod(F.xxhash64("entity_id"), F.lit(n)) == i), posted, k), d)) for i in range(n)]
+    scratch.drop(d, posted)
+    return records.sparkSession.read.schema(parts[0].schema).parquet(*[x._kindred_path for x in parts])
+
+
 def hard_negatives(records: DataFrame, truth: DataFrame, k: int = 100) -> DataFrame:
     """(s1_id, cand_id, a flag for each rule): candidates among a record's best ``k`` that are not true and that a rule picks."""
-    pairs = blocking.candidates(records, k).join(truth.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")
     rules = hard_negative_rules()
-    wide = features.paired(pairs, records).select("s1_id", "cand_id", *features.set_features(), *features.kernel_features())
-    flagged = wide.select("s1_id", "cand_id", *[c.alias(n) for n, c in rules.items()])
-    return flagged.where(" OR ".join(rules))
+    scratch = Scratch(records.sparkSession)
+    true = scratch.put(truth.select("s1_id", "cand_id"))
+
+    def picked(found, d):
+        pairs = found.select("s1_id", "cand_id").join(true, ["s1_id", "cand_id"], "left_anti")
+        wide = features.sides(pairs, d).select("s1_id", "cand_id", *features.set_features(), *features.kernel_features())
+        flagged = wide.select("s1_id", "cand_id", *[c.alias(n) for n, c in rules.items()])
+        return flagged.where(" OR ".join(rules))
+
+    out = sliced(scratch, records, k, picked)
+    scratch.drop(true)
+    return out
 
 
 def rule_counts(negatives: DataFrame) -> DataFrame:

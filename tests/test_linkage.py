@@ -53,6 +53,22 @@ def test_address_keys_against_sql(spark, tmp_path, text):
         assert got == con.execute(entry.oracle_sql()[name]).fetchall(), name
 
 
+def test_slices_are_the_whole(spark):
+    """Candidates slice by slice are those of one plan, and a slice's shuffle files are gone once it is stored."""
+    from pathlib import Path
+
+    from kindred.operators import blocking
+    from kindred.queries import recs
+    from kindred.scratch import Scratch
+
+    root = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].toString())
+    held = lambda: sum(p.stat().st_size for p in root.parent.rglob("shuffle_*.data"))
+    r, before = recs(spark, SMALL), held()
+    got = mining.sliced(Scratch(spark), r, 7, least=20)
+    assert held() - before < 1000
+    assert len(got.inputFiles()) >= 3 and sorted(got.collect()) == sorted(blocking.candidates(r, 7).collect())
+
+
 @given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
 def test_kernels(a, b):
     for f in (K.indel_ratio, K.token_sort_ratio, K.token_set_ratio, K.jaro_winkler):
