@@ -69,6 +69,12 @@ def test_slices_are_the_whole(spark):
     assert len(got.inputFiles()) >= 3 and sorted(got.collect()) == sorted(blocking.candidates(r, 7).collect())
 
 
+def test_scores_read_stored_pairs(spark):
+    """The model's pairs are blocked once, and scored from what was stored."""
+    files = entry.queries()["gbt_score"](spark, SMALL).inputFiles()
+    assert files and all("/kindred-" in f for f in files)
+
+
 @given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
 def test_kernels(a, b):
     for f in (K.indel_ratio, K.token_sort_ratio, K.token_set_ratio, K.jaro_winkler):
