@@ -14,6 +14,7 @@ for one, whatever their ids; further columns are ignored; an empty table gives a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -21,9 +22,11 @@ import mmap
 import tempfile
 import unicodedata
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -242,28 +245,32 @@ def runs_of(text: str) -> list[str]:
 
 
 def splitter(special: dict):
-    """A function from a run to its words.  Special tokens are words that start with MARK."""
+    """A function from runs, none with a line break, to the words of each.  Special tokens are words that start with MARK."""
     import regex
 
     pattern = regex.compile(PATTERN)
     marks = regex.compile("|".join(map(regex.escape, special))) if special else None
 
-    def plain(run: str) -> list[str]:
-        if not run.isascii():
-            run = unicodedata.normalize("NFC", run).replace("Σ", "σ")
-        run = run.lower()
-        if run.isalpha():
-            return [run]
-        return [run[:-1], run[-1]] if run[-1:] in SIMPLE and run[:-1].isalpha() else pattern.findall(run)
-
-    def words(run: str) -> list[str]:
-        if not any(name in run for name in special):
-            return plain(run)
+    def plain(runs: list[str]) -> list[list[str]]:
+        """Normalised together, since no step reaches over a line break."""
+        whole = "\n".join(runs)
+        if not whole.isascii():
+            whole = unicodedata.normalize("NFC", whole).replace("Σ", "σ")
+        find = pattern.findall
+        return [[r] if r.isalpha() else [r[:-1], r[-1]] if r[-1:] in SIMPLE and r[:-1].isalpha() else find(r) for r in whole.lower().split("\n")]
+
+    def marked(run: str) -> list[str]:
         out, at = [], 0
         for m in marks.finditer(run):
-            out += [*plain(run[at : m.start()]), MARK + m.group()]
+            out += [*plain([run[at : m.start()]])[0], MARK + m.group()]
             at = m.end()
-        return out + plain(run[at:])
+        return out + plain([run[at:]])[0]
+
+    def words(runs: list[str]) -> list[list[str]]:
+        out, whole = plain(runs) if runs else [], "\n".join(runs)
+        if any(name in whole for name in special):
+            out = [marked(r) if any(name in r for name in special) else w for r, w in zip(runs, out, strict=True)]
+        return out
 
     return words
 
@@ -272,10 +279,11 @@ def _counts(batches, special: dict):
     words, seen = splitter(special), Counter()
 
     def rows():
-        found = Counter()
-        for run, n in seen.items():
-            for w in words(run):
-                found[w] += n
+        found: dict = {}
+        get = found.get
+        for split, n in zip(words(list(seen)), seen.values(), strict=True):
+            for w in split:
+                found[w] = get(w, 0) + n
         batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
         seen.clear()
         return batch
@@ -299,20 +307,56 @@ class Coder:
     def __init__(self, vocab: Vocabulary, lexicon: bytes):
         self.vocab, self.lexicon, self.words = vocab, Lexicon(lexicon), splitter(vocab.special)
 
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words, all at once."""
+        special = [w.startswith(MARK) for w in words]
+        raw = [w.encode() for w, s in zip(words, special, strict=True) if not s]
+        number = self.lexicon.find(raw)
+        listed, merged = iter(self.lexicon.ids_of(number[number >= 0])), iter(self.vocab.merge([raw[i] for i in np.flatnonzero(number < 0)]))
+        plain = (next(listed) if n >= 0 else next(merged) for n in number.tolist())
+        return [[self.vocab.special[w[len(MARK) :]]] if s else next(plain) for w, s in zip(words, special, strict=True)]
+
     def ids(self, runs: list[str]) -> list[list[int]]:
         """Ids of runs, all at once."""
-        split = [self.words(r) for r in runs]
-        known = {w: [self.vocab.special[w[len(MARK) :]]] if w.startswith(MARK) else None for s in split for w in s}
-        new = [w for w, i in known.items() if i is None]
-        if new:
-            raw = [w.encode() for w in new]
-            number = self.lexicon.find(raw)
-            listed, merged = iter(self.lexicon.ids_of(number[number >= 0])), iter(self.vocab.merge([raw[i] for i in np.flatnonzero(number < 0)]))
-            for w, n in zip(new, number.tolist(), strict=True):
-                known[w] = next(listed) if n >= 0 else next(merged)
+        split = self.words(runs)
+        new = list(dict.fromkeys(chain.from_iterable(split)))
+        known = dict(zip(new, self.word_ids(new), strict=True))
         return [known[s[0]] if len(s) == 1 else [i for w in s for i in known[w]] for s in split]
 
 
+class Phrases:
+    """The decimal ids and the decoded text of runs, each joined by spaces.
+
+    It remembers runs and words, so that a word costs its search or merges once though it stands in many runs.
+    """
+
+    def __init__(self, coder: Coder, memory: int):
+        self.coder, self.memory, self.token = coder, memory, coder.vocab.token
+        self.decimal = [str(i) for i in range(len(self.token))]
+        self.runs: dict = {}
+        self.words: dict = {}
+
+    def of(self, runs: list[str]) -> list[tuple[str, str]]:
+        """(ids, text) of distinct runs; both are empty for a run without a word."""
+        new = [r for r in runs if r not in self.runs]
+        if len(self.runs) + len(new) > self.memory:
+            self.runs, self.words, new = {}, {}, runs
+        split, words, decimal, token = self.coder.words(new), self.words, self.decimal, self.token
+        fresh = list(set(chain.from_iterable(split)).difference(words))
+        for w, ids in zip(fresh, self.coder.word_ids(fresh), strict=True):
+            words[w] = (decimal[ids[0]], token[ids[0]]) if len(ids) == 1 else (" ".join([decimal[i] for i in ids]), " ".join([token[i] for i in ids]))
+        for r, s in zip(new, split, strict=True):
+            if len(s) == 1:
+                self.runs[r] = words[s[0]]
+            elif len(s) == 2:
+                (a, x), (b, y) = words[s[0]], words[s[1]]
+                self.runs[r] = f"{a} {b}", f"{x} {y}"
+            else:
+                found = [words[w] for w in s]
+                self.runs[r] = " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        return [self.runs[r] for r in runs]
+
+
 def encode_lists(texts: list, vocab: Vocabulary, lexicon: bytes) -> list[list[int]]:
     """Ids of a few texts."""
     coder, split = Coder(vocab, lexicon), [runs_of(t or "") for t in texts]
@@ -326,26 +370,36 @@ def decode(ids: list[int], vocab: Vocabulary) -> str:
     return " ".join([vocab.token[i] for i in ids])
 
 
-def _digests(batches, shared, memory: int = 300_000):
+def _joined(split: list[list[str]], phrases: Phrases) -> tuple:
+    """Ids and decoded texts of split texts.  Texts hold numbers of distinct runs, and Arrow joins their strings."""
+    coded = pa.array(chain.from_iterable(split), pa.large_string()).dictionary_encode()
+    runs = coded.dictionary.to_pylist()
+    found = phrases.of(runs)
+    if ("", "") in found:
+        blank = {r for r, (ids, _) in zip(runs, found, strict=True) if not ids}
+        return _joined([[r for r in s if r not in blank] for s in split], phrases)
+    ends = np.cumsum([0, *map(len, split)])
+    whole = (pa.array([f[j] for f in found], pa.large_string()).take(coded.indices) for j in (0, 1))
+    return tuple(pc.binary_join(pa.LargeListArray.from_arrays(ends, x), pa.scalar(" ", pa.large_string())) for x in whole)
+
+
+def _digests(batches, shared, memory: int = 600_000):
     """``memory``: how many runs a task remembers before it starts afresh."""
     vocab, lexicon = cloudpickle.loads(shared.value)
-    coder, token, sha = Coder(vocab, lexicon), vocab.token, hashlib.sha256
-    known: dict = {}
-    for batch in batches:
-        for i in range(0, batch.num_rows, 400):
-            b = batch.slice(i, 400)
-            split = [runs_of(t or "") for t in b.column("text").to_pylist()]
-            new = list(set().union(*split).difference(known))
-            if len(known) + len(new) > memory:
-                known, new = {}, list(set().union(*split))
-            for r, ids in zip(new, coder.ids(new), strict=True):
-                known[r] = (len(ids), " ".join(map(str, ids)), " ".join([token[t] for t in ids]))
-            out = []
-            for s in split:
-                found = [x for r in s if (x := known[r])[0]]
-                n, ids, text = zip(*found, strict=True) if found else ((), (), ())
-                out.append((sum(n), sha(" ".join(ids).encode()).hexdigest(), sha(" ".join(text).encode()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([o[j] for o in out], k) for j, k in enumerate((pa.int64(), pa.string(), pa.string())))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    phrases, sha = Phrases(Coder(vocab, lexicon), memory), hashlib.sha256
+    collects = gc.isenabled()
+    gc.disable()  # there are no cycles, and a collection would pass through all that is remembered
+    try:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 400):
+                b = batch.slice(i, 400)
+                ids, text = _joined([runs_of(t or "") for t in b.column("text").to_pylist()], phrases)
+                n = pc.if_else(pc.equal(pc.binary_length(ids), 0), 0, pc.add(pc.count_substring(ids, " "), 1)).cast(pa.int64())
+                digests = [pa.array([sha(x.as_buffer()).hexdigest() for x in c], pa.string()) for c in (ids, text)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), n, *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    finally:
+        if collects:
+            gc.enable()
 
 
 def lexicon_of(texts: DataFrame, vocab: Vocabulary, size: int = LEXICON) -> bytes:

@@ -477,6 +477,31 @@ def test_bpe(spark, docs, empty):
     assert transducer_bpe.digests(empty, path).count() == 0
 
 
+def test_bpe_codes_a_word_once():
+    """However many runs it stands in, also of later batches; starting afresh and runs without words change nothing."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own, coded = Tokenizer.from_file(path), []
+
+    class Coder(transducer_bpe.Coder):
+        def word_ids(self, words):
+            coded.extend(words)
+            return super().word_ids(words)
+
+    texts = ["Strange, strange strange! (strange)", "", "STRANGE? \x1c\t x", "\t\x1c strange's <|endoftext|>strange S<strange", "Éa e\u0301a ÉA."]
+    vocab = transducer_bpe.Vocabulary(path)
+    for memory in (100, 1):
+        coded.clear()
+        phrases = transducer_bpe.Phrases(Coder(vocab, transducer_bpe.compile_lexicon([], [])), memory)
+        for t in [*texts, *texts]:
+            ids, text = (x.to_pylist() for x in transducer_bpe._joined([transducer_bpe.runs_of(t)], phrases))
+            want = own.encode(t, add_special_tokens=False).ids
+            assert (ids, text) == ([" ".join(map(str, want))], [own.decode(want, skip_special_tokens=False)])
+        assert memory == 1 or coded.count("strange") == 1
+
+
 def fingerprint(t):
     w = split(t)
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
