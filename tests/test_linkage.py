@@ -88,7 +88,7 @@ def sharp(tmp_path_factory):
     return str(d)
 
 
-SOUNDING = ["blocking_recall"]
+SOUNDING = ["blocking_recall", "borderline_extract"]
 
 
 @pytest.mark.parametrize("name", SOUNDING)
