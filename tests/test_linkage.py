@@ -88,7 +88,7 @@ def sharp(tmp_path_factory):
     return str(d)
 
 
-SOUNDING = ["blocking_recall", "borderline_extract"]
+SOUNDING = ["blocking_recall", "borderline_extract", "chat_prompts"]
 
 
 @pytest.mark.parametrize("name", SOUNDING)
