@@ -88,7 +88,7 @@ def sharp(tmp_path_factory):
     return str(d)
 
 
-SOUNDING = ["blocking_recall", "borderline_extract", "chat_prompts"]
+SOUNDING = ["blocking_recall", "borderline_extract", "chat_prompts", "chunked_topk"]
 
 
 @pytest.mark.parametrize("name", SOUNDING)
