@@ -93,7 +93,7 @@ def auc(marked: DataFrame) -> DataFrame:
 def conflicts(featured: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     flags = {"number_conflict": F.col("number_conflict_flag") == 1, "no_overlap": F.col("number_overlap_ratio") == 0, "exact_number": F.col("exact_number_match") == 1, "missing_address": F.col("missing_address_flag") == 1, "exact_name": F.col("exact_name_match") == 1, "low_address": F.col("address_token_jaccard") < 0.3}
-    return featured.agg(n.alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()], *[F.round(100 * F.count_if(c) / n, 6).alias(f"{k}_pct") for k, c in flags.items()])
+    return featured.agg(n.alias("n"), *[x for k, c in flags.items() for x in (F.count_if(c).alias(k), F.round(100 * F.count_if(c) / n, 6).alias(f"{k}_pct"))])
 
 
 def threshold_counts(scored: DataFrame, taus) -> DataFrame:
