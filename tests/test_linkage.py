@@ -88,7 +88,7 @@ def sharp(tmp_path_factory):
     return str(d)
 
 
-SOUNDING = ["blocking_recall", "borderline_extract", "chat_prompts", "chunked_topk", "class_report", "conflict_profile", "decide_attenuate", "decide_band", "decide_binary", "decide_margin"]
+SOUNDING = ["blocking_recall", "borderline_extract", "chat_prompts", "chunked_topk", "class_report", "conflict_profile", "decide_attenuate", "decide_band", "decide_binary", "decide_margin", "decide_top1"]
 
 
 @pytest.mark.parametrize("name", SOUNDING)
