@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels as K
+from ..functions.numbers import rounded
 
 
 def best(tie: str = "cand_id"):
@@ -19,12 +20,12 @@ def threshold(scored: DataFrame, tau: float) -> DataFrame:
 
 def margin(scored: DataFrame, tau: float, m: float) -> DataFrame:
     """At least tau, and within m of the best."""
-    return scored.withColumn("top", F.max("p").over(Window.partitionBy("s1_id"))).where((F.col("p") >= tau) & (F.round(F.col("top") - F.col("p"), 6) <= m)).drop("top")
+    return scored.withColumn("top", F.max("p").over(Window.partitionBy("s1_id"))).where((F.col("p") >= tau) & (rounded(F.col("top") - F.col("p"), 6) <= m)).drop("top")
 
 
 def strict_top1(scored: DataFrame, tau: float = 0.70, second: float = 0.88, m: float = 0.04) -> DataFrame:
     ranked = scored.withColumn("place", F.row_number().over(best())).withColumn("top", F.max("p").over(Window.partitionBy("s1_id")))
-    return ranked.where(((F.col("place") == 1) & (F.col("p") >= tau)) | ((F.col("place") > 1) & (F.col("top") >= tau) & (F.col("p") >= second) & (F.round(F.col("top") - F.col("p"), 6) <= m))).drop("place", "top")
+    return ranked.where(((F.col("place") == 1) & (F.col("p") >= tau)) | ((F.col("place") > 1) & (F.col("top") >= tau) & (F.col("p") >= second) & (rounded(F.col("top") - F.col("p"), 6) <= m))).drop("place", "top")
 
 
 def attenuated(scored: DataFrame) -> DataFrame:
@@ -113,4 +114,4 @@ def ranked_borderline(cases: DataFrame, records: DataFrame, most: int = 15_000)
     side = lambda key, x: records.select(F.col("entity_id").alias(key), F.coalesce("business_name", F.lit("")).alias(x))
     both = cases.join(side("s1_id", "x"), "s1_id").join(side("cand_id", "y"), "cand_id")
     alike = 0.5 * K.jaro_winkler_udf("x", "y") + 0.5 * K.token_sort_udf("x", "y") + F.when(F.col("case_type") == "rejected_top1", 0.15).otherwise(0.0)
-    return both.select("s1_id", "cand_id", "case_type", F.round(alike, 6).alias("similarity")).orderBy(F.desc("similarity"), "s1_id", "cand_id").limit(most)
+    return both.select("s1_id", "cand_id", "case_type", rounded(alike, 6).alias("similarity")).orderBy(F.desc("similarity"), "s1_id", "cand_id").limit(most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import text as T
+from ..functions.numbers import rounded
 
 
 def described(records: DataFrame, *more: str) -> DataFrame:
@@ -99,4 +100,4 @@ def domain_link():
 def scorecard():
     """A transparent logistic score of set features."""
     z = -4.0 + 3.0 * F.col("exact_name_match") + 3.0 * F.col("name_jaccard") + 4.0 * F.col("address_token_jaccard") - 1.0 * F.col("number_conflict_flag")
-    return F.round(1 / (1 + F.exp(-z)), 6).alias("p")
+    return rounded(1 / (1 + F.exp(-z)), 6).alias("p")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from kindred.functions import kernels as K
 from kindred.functions import text as T
+from kindred.functions.numbers import rounded
 from kindred.operators import decide, evaluate, features, mining, model
 from kindred.sources import records
 
@@ -102,6 +103,14 @@ def test_sounds_against_sql(spark, sharp, name):
     assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
 
 
+def test_attenuated_scores_are_rounded_as_in_sql(spark):
+    """0.15 of a score of six digits often ends in a half of the last digit."""
+    rows = [(i, i / 1_000_000, ["a1"], ["b2"]) for i in range(0, 40_000, 10)]
+    sides = spark.createDataFrame(rows, "i long, p double, x array<string>, y array<string>").select("i", "p", F.struct(F.col("x").alias("plots")).alias("a"), F.struct(F.col("y").alias("plots")).alias("b"))
+    got = [tuple(r) for r in decide.attenuated(sides).select("i", rounded("p", 6)).orderBy("i").collect()]
+    assert got == duckdb.sql("SELECT i, round(least(0.15 * (i / 1000000)::DOUBLE, 0.25), 6) FROM range(0, 40000, 10) t(i)").fetchall()
+
+
 @given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
 def test_kernels(a, b):
     for f in (K.indel_ratio, K.token_sort_ratio, K.token_set_ratio, K.jaro_winkler):
