@@ -111,6 +111,35 @@ def test_attenuated_scores_are_rounded_as_in_sql(spark):
     assert got == duckdb.sql("SELECT i, round(least(0.15 * (i / 1000000)::DOUBLE, 0.25), 6) FROM range(0, 40000, 10) t(i)").fetchall()
 
 
+@pytest.fixture(scope="session")
+def odd(tmp_path_factory):
+    """Documents whose names and addresses hold accents, marks, spaces, digits and letters of many scripts, in twos and threes that are alike but for them."""
+    d = tmp_path_factory.mktemp("odd")
+    names = ["ẖotel Ắrt", "hotel Art", "Άρτος Καλός", "αρτος καλος", "ſalon Kuß", "salon Kuss", "हिंदी कंपनी", "हद कपन", "a\u0301lpha\x0bbeta", "alpha beta", "İzmir ɤɤ", "izmir ɤɤ", "𞤢𞤣 \u0870bc", "ΟΔΟΣ ΣΑΣ", "οδος σας", "\u212aiosk\u0e49 x", "kiosk x", "ａ１ Ⅻ ½"]
+    rest = [". ẏork Street A\x0b-\x0b42 6-3-712", ". york street a-42 Ǭak", ". Rue  Lӑ Σας 007 İ12", "", ". ñandú plaza 12 ſtreet"]
+    rows = [(3 * i + j, n + rest[(i + j) % 5], "de" if i % 7 else "India", f"src{(i + j) * 7 % 21}") for i, n in enumerate(names) for j in range(3)]
+    rows += [(900, "ṯango xy. ef", "de", "src0"), (901, "tango zq. gh", "de", "src7")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", rows)
+    con.execute(f"COPY (SELECT *, length(text) AS n_chars FROM t) TO '{d}/documents.parquet' (FORMAT parquet)")
+    return str(d)
+
+
+ODD = ["norm_name", "norm_addr", "number_codes", "address_tokens_raw", "chunked_topk"]
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_odd_letters_against_sql(spark, odd, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    columns, rows = [c[0] for c in want.description], want.fetchall()
+    got = entry.queries()[name](spark, odd)
+    assert got.columns == columns and rows
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows)
+
+
 @given(st.text("ab c", max_size=12), st.text("ab c", max_size=12))
 def test_kernels(a, b):
     for f in (K.indel_ratio, K.token_sort_ratio, K.token_set_ratio, K.jaro_winkler):
