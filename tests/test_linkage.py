@@ -126,7 +126,7 @@ def odd(tmp_path_factory):
     return str(d)
 
 
-ODD = ["norm_name", "norm_addr", "number_codes", "address_tokens_raw", "chunked_topk", "blocking_recall", "borderline_extract", "chat_prompts", "class_report"]
+ODD = ["norm_name", "norm_addr", "number_codes", "address_tokens_raw", "chunked_topk", "blocking_recall", "borderline_extract", "chat_prompts", "class_report", "decide_band"]
 
 
 @pytest.mark.parametrize("name", ODD)
