@@ -126,7 +126,7 @@ def odd(tmp_path_factory):
     return str(d)
 
 
-ODD = ["norm_name", "norm_addr", "number_codes", "address_tokens_raw", "chunked_topk", "blocking_recall", "borderline_extract", "chat_prompts", "class_report", "decide_band", "decide_binary", "decide_margin", "decide_top1"]
+ODD = ["norm_name", "norm_addr", "number_codes", "address_tokens_raw", "chunked_topk", "blocking_recall", "borderline_extract", "chat_prompts", "class_report", "decide_band", "decide_binary", "decide_margin", "decide_top1", "decide_attenuate"]
 
 
 @pytest.mark.parametrize("name", ODD)
