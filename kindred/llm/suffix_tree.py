@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import ctypes
 from functools import partial
 
 import numpy as np
@@ -45,6 +46,13 @@ BLOBS = "chunk long, part int, a binary, b binary, c binary, d binary, e binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_depth double"
 
 
+def _release() -> None:
+    """Gives back to the system what freed arrays and Arrow tables leave to this process, which the next task may not use."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Compressed by byte planes: the high bytes of sorted hashes and of small numbers cost next to nothing."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
@@ -165,15 +173,15 @@ class _Chunk:
     def __init__(self, row: dict, words: dict, n: int, v: int):
         self.row, self.chunk = row, row["chunk"]
         order = _by_count(_unsized(row["trained"], np.uint32))
-        self.toks = _unpack(row["toks"], row["n_all"], np.uint32)
-        self.h = _unsized(row["vocab"], np.uint64)[order][self.toks]
+        toks = _unpack(row["toks"], row["n_all"], np.uint32)
+        self.h = _unsized(row["vocab"], np.uint64)[order][toks]
         self.lens = _arr(row["lens"], np.int32)
         self.held = _arr(row["held"], np.uint8)
         self.train = np.repeat(self.held == 0, self.lens)
         starts = np.cumsum(self.lens) - self.lens
-        self.pos = np.arange(len(self.h), dtype=np.int64) - np.repeat(starts, self.lens)
+        self.pos = np.minimum(np.arange(len(self.h), dtype=np.int64) - np.repeat(starts, self.lens), 255).astype(np.uint8)  # of levels, there are fewer
         counts = np.concatenate([_unsized(words[p], np.uint64) for p in sorted(words)]) if words else np.zeros(0, np.uint64)
-        self.count = counts[order][self.toks].astype(np.int64)  # of the event that ends here, at the level below
+        self.count = counts[order][toks].astype(np.int64)  # of the event that ends here, at the level below
         self.known = self.count > 0
         self.base = np.log10((self.count + 0.1) / (n + 0.1 * (v + 1)))
         self.p = 10.0**self.base  # in the longest state so far
@@ -182,22 +190,27 @@ class _Chunk:
         self.level = 0
 
     def events(self, least: int):
-        """Goes a level up: the tokens with contexts to ask about, and the distinct events among them."""
+        """Goes a level up: the tokens with contexts to ask about, their contexts' counts, and the distinct events among them."""
         self.level += 1
         before = np.roll(self.h, self.level)
         self.ctx = mix(self.ctx, before) if self.level > 1 else mix(np.uint64(1) + np.zeros_like(before), before)
+        del before
         ctx_count = np.roll(self.count, 1)
-        at = np.flatnonzero((self.pos >= self.level) & (ctx_count >= least))
+        at = np.flatnonzero((self.pos >= self.level) & (ctx_count >= least)).astype(np.int32)
+        ctx_count = ctx_count[at]
         # within a chunk, half of a context's hash and half of the event's: in the order of contexts, and so of parts
         keys = (self.ctx[at] & HIGH) | (mix(self.ctx[at], self.h[at]) >> np.uint64(32))
         key, first, inv = np.unique(keys, return_index=True, return_inverse=True)
-        return at, ctx_count, key, at[first], inv
+        return at, ctx_count, key, first.astype(np.int32), inv.astype(np.int32)
 
     def ask(self, least: int, hot: int, parts: int) -> list:
         at, ctx_count, key, first, inv = self.events(least)
         seen = np.bincount(inv, self.train[at], minlength=len(key)).astype(np.uint32)
-        ctx, cc = self.ctx[first], ctx_count[first]
+        cc, first = ctx_count[first], at[first]
+        ctx = self.ctx[first]
+        del at, ctx_count, inv
         order, part = self.order(key, cc, hot, parts)
+        del key
         word = (self.h[first][order] & np.uint64(2**48 - 1)).view(np.uint8).reshape(-1, 8)[:, :6]  # a context's successors are known by 48 bits
         ctx, cc, seen = ctx[order], cc[order], seen[order]
         lp = np.clip(np.rint(-25 * np.log10(self.p[first])[order]), 0, 255).astype(np.uint8)
@@ -218,26 +231,33 @@ class _Chunk:
     def learn(self, least: int, hot: int, parts: int, answers: dict, hot_states: dict) -> None:
         """Takes in a level's answers: counts, and which contexts are states."""
         at, ctx_count, key, first, inv = self.events(least)
-        ctx, cc = self.ctx[first], ctx_count[first]
-        order, _ = self.order(key, cc, hot, parts)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        cc, ctx = ctx_count[first], self.ctx[at[first]]
+        del first
+        order = self.order(key, cc, hot, parts)[0]
+        del key
         got = [answers[p] for p in sorted(answers)]
-        counts = np.concatenate([_unsized(x["a"], np.uint32) for x in got] or [np.zeros(0, np.uint32)])[back].astype(np.int64)
-        kinds = np.concatenate([_unsized(x["b"], np.uint32) for x in got] or [np.zeros(0, np.uint32)])[back].astype(np.int64)
+        counts, kinds = np.empty(len(order), np.uint32), np.empty(len(order), np.int64)
+        counts[order] = np.concatenate([_unsized(x["a"], np.uint32) for x in got] or [np.zeros(0, np.uint32)])
+        kinds[order] = np.concatenate([_unsized(x["b"], np.uint32) for x in got] or [np.zeros(0, np.uint32)])
+        del order, got
         ids, ks = hot_states.get(self.level, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         if len(ids):
             i = np.minimum(np.searchsorted(ids, ctx), len(ids) - 1)
             kinds = np.where(cc >= hot, np.where(ids[i] == ctx, ks[i], 0), kinds)
         else:
             kinds = np.where(cc >= hot, 0, kinds)
-        c, k, n = counts[inv], kinds[inv], ctx_count[at]
+        del ctx, cc
+        self.count = np.zeros(len(self.h), np.int64)
+        self.count[at] = counts[inv]
+        del counts
+        k = kinds[inv]
+        del kinds, inv
         state = k > 0
-        c_, k_, n_, a_ = c[state], k[state], n[state], at[state]
-        self.p[a_] = (np.maximum(c_ - DISCOUNT, 0) + DISCOUNT * k_ * self.p[a_]) / n_
+        a_ = at[state]
+        n_, k_ = ctx_count[state], k[state]
+        del at, ctx_count, k, state
+        self.p[a_] = (np.maximum(self.count[a_] - DISCOUNT, 0) + DISCOUNT * k_ * self.p[a_]) / n_
         self.depth[a_] = self.level
-        self.count = np.zeros(len(self.h), np.int64)
-        self.count[at] = c
 
     def scores(self, n: int) -> pa.Table:
         ends = np.cumsum(self.lens)
@@ -275,7 +295,9 @@ def _add_events(t: pa.Table, hot: int, gain: float) -> pa.Table:
     Of contexts of ``hot`` occurrences or more, whose successors lie in many parts, rows with chunk -1 have
     the distinct successors in this part, and rows with chunk -2 the events, which get the same test once the former are added.
     """
+    _release()  # of an earlier task
     col = {c: t.column(c).to_pylist() for c in "abcde"}
+    part, chunks = t.column("part")[0].as_py(), t.column("chunk").to_pylist()
     keys, ctx, cc = [], [], []
     for a, d, e in zip(col["a"], col["d"], col["e"], strict=True):
         word = np.zeros((len(a) // 6, 8), np.uint8)
@@ -285,21 +307,26 @@ def _add_events(t: pa.Table, hot: int, gain: float) -> pa.Table:
         cc.append(np.repeat(both[len(both) // 2 :].view(np.int64), each))
         keys.append(mix(ctx[-1], word.view(np.uint64).ravel()))
     cut = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    key, first, inv = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    keys = np.concatenate(keys)
+    first, inv = (x.astype(np.int32) for x in np.unique(keys, return_index=True, return_inverse=True)[1:])
+    del keys
+    own, n = np.concatenate(ctx)[first], np.concatenate(cc)[first]
+    del ctx, cc
     count = np.bincount(inv, np.concatenate([_unsized(x, np.uint32) for x in col["b"]])).astype(np.int64)
     p = 10.0 ** (np.concatenate([_unsized(x, np.uint8) for x in col["c"]])[first] / -25.0)
-    own, n = np.concatenate(ctx)[first], np.concatenate(cc)[first]
+    del first
     state, at = np.unique(own, return_inverse=True)
     kinds = np.bincount(at, count > 0).astype(np.int64)
     total = np.zeros(len(state), np.int64)
     total[at] = n
-    part = t.column("part")[0].as_py()
+    del col
     is_hot = total >= hot
     each = _gains(count, n, kinds[at], p)
     kept = (np.bincount(at, each) >= gain) & ~is_hot
     answer = np.where(kept, kinds, 0)[at].astype(np.uint32)
     small = np.minimum(count, 2**32 - 1).astype(np.uint32)
-    rows = [(c, part, _sized(small[inv[cut[i] : cut[i + 1]]]), _sized(answer[inv[cut[i] : cut[i + 1]]]), b"", b"", b"") for i, c in enumerate(t.column("chunk").to_pylist())]
+    rows = [(c, part, _sized(small[inv[cut[i] : cut[i + 1]]]), _sized(answer[inv[cut[i] : cut[i + 1]]]), b"", b"", b"") for i, c in enumerate(chunks)]
+    del inv, answer, small
     if is_hot.any():
         rows.append((-1, part, state[is_hot].tobytes(), kinds[is_hot].tobytes(), b"", b"", b""))
         sent = np.flatnonzero(is_hot[at] & (count > 0))
@@ -321,6 +348,7 @@ def _step(left: pa.Table, right: pa.Table, plan: dict, final: bool) -> pa.Table:
     rows = left.to_pylist()
     if not rows:
         return (pa.table({k: [] for k in RESULT}) if final else pa.Table.from_batches([_blobs([])]))
+    _release()  # of an earlier task
     c = _Chunk(rows[0], _replies(right, 0), plan["n"], plan["v"])
     for level in range(1, plan["level"] + 1):
         c.learn(plan["least"], plan["hot"], plan["parts"], _replies(right, level), plan["states"])

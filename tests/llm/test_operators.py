@@ -147,6 +147,30 @@ def test_suffix_tree_hot(spark):
         assert x == pytest.approx(y)
     assert next(r for r in hot if r[0] == 1)[-1] > 0
 
+def test_suffix_tree_memory():
+    """A level's answers are taken into a chunk with few arrays at a time: 126 bytes a token before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 200_000, np.random.default_rng(5)
+    toks = np.minimum(rng.zipf(1.3, n), 20_000).astype(np.int64)
+    vocab, place, trained = np.unique(toks, return_inverse=True, return_counts=True)
+    rank = np.empty(len(vocab), np.uint32)
+    rank[suffix_tree._by_count(trained)] = np.arange(len(vocab), dtype=np.uint32)
+    hashes = np.sort(rng.integers(1, 2**63, len(vocab)).astype(np.uint64))
+    row = {"chunk": 1, "n_all": n, "ids": [1], "held": b"\0", "lens": np.array([n], np.int32).tobytes(), "vocab": suffix_tree._sized(hashes), "trained": suffix_tree._sized(trained.astype(np.uint32)), "toks": suffix_tree._pack(rank[place])}
+    asked = suffix_tree._Chunk(row, {0: suffix_tree._sized(trained.astype(np.uint64))}, n, len(vocab)).ask(2, 10**9, 1)
+    reply = suffix_tree._add_events(pa.Table.from_batches([suffix_tree._blobs(asked)]), 10**9, -1e9).to_pylist()[0]
+    chunk = suffix_tree._Chunk(row, {0: suffix_tree._sized(trained.astype(np.uint64))}, n, len(vocab))
+    tracemalloc.start()
+    try:
+        chunk.learn(2, 10**9, 1, {0: reply}, {})
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert chunk.depth.any() and peak / n < 90
+
 
 def test_learned_partitions(spark):
     x = rng.standard_normal((700, 8)).astype(np.float32)
