@@ -108,7 +108,7 @@ def test_attenuated_scores_are_rounded_as_in_sql(spark):
     rows = [(i, i / 1_000_000, ["a1"], ["b2"]) for i in range(0, 40_000, 10)]
     sides = spark.createDataFrame(rows, "i long, p double, x array<string>, y array<string>").select("i", "p", F.struct(F.col("x").alias("plots")).alias("a"), F.struct(F.col("y").alias("plots")).alias("b"))
     got = [tuple(r) for r in decide.attenuated(sides).select("i", rounded("p", 6)).orderBy("i").collect()]
-    assert got == duckdb.sql("SELECT i, round(least(0.15 * (i / 1000000)::DOUBLE, 0.25), 6) FROM range(0, 40000, 10) t(i)").fetchall()
+    assert got == duckdb.connect().execute("SELECT i, round(least(0.15 * (i / 1000000)::DOUBLE, 0.25), 6) FROM range(0, 40000, 10) t(i) ORDER BY i").fetchall()
 
 
 @pytest.fixture(scope="session")
