@@ -72,11 +72,12 @@ def sliced(scratch: Scratch, records: DataFrame, k: int, of=lambda found, d: fou
     and pairs of one slice are on disk at a time.  A slice has ``least`` records or a ``most``-th of them, whichever is more.
     """
     d = scratch.put(features.described(records, "source", "seq"))
-    posted = scratch.put(blocking.posted(d))
+    found = blocking.posted(scratch, d)
+    posted = blocking.Postings(scratch.put(found.lists), found.ids)
     s1 = d.where("source = 'S1'")
     n = min(most, 1 + s1.count() // least)
     parts = [scratch.put(of(blocking.probed(s1.where(F.pmod(F.xxhash64("entity_id"), F.lit(n)) == i), posted, k), d)) for i in range(n)]
-    scratch.drop(d, posted)
+    scratch.drop(d, posted.lists)
     return records.sparkSession.read.schema(parts[0].schema).parquet(*[x._kindred_path for x in parts])
 
 

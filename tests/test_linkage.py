@@ -473,3 +473,48 @@ def test_accents_and_order(spark):
     rows = spark.range(50).selectExpr("id", "id % 7 AS k")
     one, two = ([r.id for r in mining.shuffled(rows.repartition(n), ["id"]).collect()] for n in (1, 3))
     assert one == two != sorted(one) and sorted(one) == list(range(50))
+
+
+def _rows_shuffled(spark):
+    jvm = spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["blocking_recall"])
+def test_hits_are_not_shuffled(spark, tmp_path, name):
+    """300 records that each meet 250 others: pairs are ranked where they are found, and only what is asked for is dealt out."""
+    rows = [(i, "tango sierra. rue", "de", "src0" if i < 300 else "src7") for i in range(550)]
+    before = _rows_shuffled(spark)
+    _against_sql(spark, tmp_path, rows, name)
+    assert _rows_shuffled(spark) - before < 300 * 250 / 2
+
+
+@pytest.mark.parametrize("group,most,chunk", [(1, 1, None), (3, 50, 4), (2000, 1 << 20, 4), (5, 7, 1)])
+def test_groups_and_pools_against_plain_sums(spark, group, most, chunk):
+    """Any size of groups and of what is held at once; names repeat, rows without an id are one record and one pool, caps are by source and chunk."""
+    from kindred.operators import blocking
+    from kindred.scratch import Scratch
+
+    words = ["alpha", "beta", "gamma", "delta", "delhi"]
+    rows = [(f"{s}-{i // 2}" if i != 7 else None, s, f"{words[i % 5]} {words[i * i % 3]} {words[i % 5]}", f"{i % 3} york street", "de" if i % 4 else "India", i // 2 if i != 7 else None) for i in range(24) for s in ("S1", "S2", "S3")]
+    r = spark.createDataFrame(rows, "entity_id string, source string, business_name string, business_address string, country string, seq long")
+    text = blocking.with_text(r)
+    got = blocking.probed(text.where("source = 'S1'"), blocking.posted(Scratch(spark), text, 3, chunk), 4, group, most)
+    keys = [x.asDict() | {"w": x.w} for x in blocking.keyed(text).withColumn("w", blocking.weight()).collect()]
+    held, sums = {}, {}
+    for x in sorted((x for x in keys if x["source"] != "S1"), key=lambda x: (x["seq"] is None, x["seq"] or 0, x["pos"], x["entity_id"] or "")):
+        part = (x["source"], x["seq"] // chunk if x["seq"] is not None else None) if chunk else None
+        held.setdefault((x["idx"], x["country"], x["key"]), {}).setdefault(part, []).append((x["entity_id"], x["seq"]))
+    for x in keys:
+        if x["source"] == "S1":
+            for part, ids in held.get((x["idx"], x["country"], x["key"]), {}).items():
+                for cand in ids[:3]:
+                    pool = sums.setdefault((x["entity_id"], part if cand[0] is not None else None), {})
+                    pool[cand] = pool.get(cand, 0) + x["w"]
+    want = []
+    for (s1_id, _), found in sums.items():
+        best = sorted(found.items(), key=lambda x: (-x[1], x[0][1] is None, x[0][1] or 0, x[0][0] is None, x[0][0] or ""))[:4]
+        want += [(s1_id, c[0], score, n) for n, (c, score) in enumerate(best, 1)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 40
