@@ -482,7 +482,7 @@ def _rows_shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["blocking_recall"])
+@pytest.mark.parametrize("name", ["blocking_recall", "chunked_topk"])
 def test_hits_are_not_shuffled(spark, tmp_path, name):
     """300 records that each meet 250 others: pairs are ranked where they are found, and only what is asked for is dealt out."""
     rows = [(i, "tango sierra. rue", "de", "src0" if i < 300 else "src7") for i in range(550)]
