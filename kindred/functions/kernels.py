@@ -7,7 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 
 def lcs(a: str, b: str) -> int:
@@ -71,6 +71,28 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * same * (1 - jaro)
 
 
+def most_jaro_winkler(a: str, b: str) -> float:
+    """No less than ``jaro_winkler``: all characters in common match, in order."""
+    if a == b:
+        return 1.0
+    m = sum(min(a.count(ch), b.count(ch)) for ch in set(a))
+    if not m:
+        return 0.0
+    jaro = (m / len(a) + m / len(b) + 1) / 3
+    same = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    return jaro + 0.1 * same * (1 - jaro) + 1e-9
+
+
+def hard_kinds(a: str, b: str, x: str, y: str, number: bool, conflict: bool, words: float) -> int:
+    """Bits of the kinds of a pair of names and addresses; the similarities are only worked out where a bound of theirs leaves a kind open."""
+    order = lambda: token_sort_ratio(x, y) if x and y else 0.0
+    top = most_jaro_winkler(a, b)
+    trap, near, clash = number and (words >= 0.7 or order() >= 0.85), top >= 0.9, conflict and words >= 0.3 and top >= 0.85
+    if (trap and top > 0.7) or near or clash:
+        top = jaro_winkler(a, b)
+    return (trap and top <= 0.7) + 2 * (near and top >= 0.9 and (words >= 0.4 or order() >= 0.7)) + 4 * (clash and top >= 0.85)
+
+
 def strip_accents(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
@@ -109,6 +131,11 @@ def _vectorised(f):
 token_sort_udf, token_set_udf, jaro_winkler_udf, ratio_udf = map(_vectorised, (token_sort_ratio, token_set_ratio, jaro_winkler, indel_ratio))
 
 
+@pandas_udf(IntegerType())
+def hard_kinds_udf(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series, number: pd.Series, conflict: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series([hard_kinds(*row) for row in zip(a, b, x, y, number, conflict, words, strict=True)], dtype="int32")
+
+
 @pandas_udf(StringType())
 def strip_accents_udf(c: pd.Series) -> pd.Series:
     return c.map(lambda t: strip_accents(t) if t is not None else None)

@@ -55,52 +55,60 @@ def reverse_mined(records: DataFrame, truth: DataFrame, first: int = 2000, held:
     return heap.withColumn("n", F.row_number().over(Window.partitionBy("s1_id").orderBy(*best))).where(F.col("n") <= keep).select("s1_id", "cand_id", "score", "n")
 
 
-def hard_negative_rules() -> dict:
-    """Kinds of hard negatives, on the similarity of names (Jaro-Winkler) and of addresses (words in common, sorted words) and on numbers."""
-    name, words, order = F.col("jaro_winkler"), F.col("address_token_jaccard"), F.col("address_token_sort_ratio")
-    return {
-        "number_address_trap": ((F.col("exact_number_match") == 1) | (F.col("number_overlap_ratio") >= 0.5)) & ((words >= 0.7) | (order >= 0.85)) & (name <= 0.7),
-        "name_address": (name >= 0.9) & ((words >= 0.4) | (order >= 0.7)),
-        "name_conflict": (F.col("number_conflict_flag") == 1) & (name >= 0.85) & (words >= 0.3),
-    }
+#: Kinds of hard negatives, on the similarity of names (Jaro-Winkler) and of addresses (words in common, sorted words) and on numbers.
+HARD = ("number_address_trap", "name_address", "name_conflict")
 
 
-def sliced(scratch: Scratch, records: DataFrame, k: int, of=lambda found, d: found, least: int = 2000, most: int = 16) -> DataFrame:
-    """``of(candidates, described records)`` of every S1 record, stored slice by slice of the S1 records.
+def retrieved(scratch: Scratch, records: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Described records and the best ``k`` candidates of every S1 record, stored."""
+    d = scratch.put(features.described(records, "source", "seq", *(["cross"] if "cross" in records.columns else [])))
+    return d, scratch.put(blocking.probed(d.where("source = 'S1'"), blocking.posted(scratch, d), k))
+
 
-    Postings and described records are stored once, and what a slice shuffles goes before the next one comes, so that hits
-    and pairs of one slice are on disk at a time.  A slice has ``least`` records or a ``most``-th of them, whichever is more.
+def in_slices(scratch: Scratch, found: DataFrame, d: DataFrame, of, least: int = 2000, most: int = 16) -> DataFrame:
+    """``of(candidates, described records)``, stored slice by slice of the S1 records.
+
+    What a slice shuffles goes before the next one comes, so that pairs of one slice are on disk at a time.  A slice has
+    ``least`` records or a ``most``-th of them, whichever is more.
     """
-    d = scratch.put(features.described(records, "source", "seq"))
-    found = blocking.posted(scratch, d)
-    posted = blocking.Postings(scratch.put(found.lists), found.ids)
-    s1 = d.where("source = 'S1'")
-    n = min(most, 1 + s1.count() // least)
-    parts = [scratch.put(of(blocking.probed(s1.where(F.pmod(F.xxhash64("entity_id"), F.lit(n)) == i), posted, k), d)) for i in range(n)]
-    scratch.drop(d, posted.lists)
-    return records.sparkSession.read.schema(parts[0].schema).parquet(*[x._kindred_path for x in parts])
+    n = min(most, 1 + d.where("source = 'S1'").count() // least)
+    parts = [scratch.put(of(found.where(F.pmod(F.xxhash64("s1_id"), F.lit(n)) == i), d)) for i in range(n)]
+    return d.sparkSession.read.schema(parts[0].schema).parquet(*[x._kindred_path for x in parts])
 
 
-def hard_negatives(records: DataFrame, truth: DataFrame, k: int = 100) -> DataFrame:
-    """(s1_id, cand_id, a flag for each rule): candidates among a record's best ``k`` that are not true and that a rule picks."""
-    rules = hard_negative_rules()
-    scratch = Scratch(records.sparkSession)
-    true = scratch.put(truth.select("s1_id", "cand_id"))
+def sliced(scratch: Scratch, records: DataFrame, k: int, of=lambda found, d: found, least: int = 2000, most: int = 16) -> DataFrame:
+    """``of(candidates, described records)`` of every S1 record, stored slice by slice of the S1 records."""
+    d, found = retrieved(scratch, records, k)
+    out = in_slices(scratch, found, d, of, least, most)
+    scratch.drop(d, found)
+    return out
+
 
+def hard_among(true: DataFrame):
+    """What picks hard negatives from candidates and described records."""
     def picked(found, d):
-        pairs = found.select("s1_id", "cand_id").join(true, ["s1_id", "cand_id"], "left_anti")
-        wide = features.sides(pairs, d).select("s1_id", "cand_id", *features.set_features(), *features.kernel_features())
-        flagged = wide.select("s1_id", "cand_id", *[c.alias(n) for n, c in rules.items()])
-        return flagged.where(" OR ".join(rules))
+        pairs = found.select("s1_id", "cand_id").join(true.select("s1_id", "cand_id"), ["s1_id", "cand_id"], "left_anti")
+        wide = features.sides(pairs, d.select("entity_id", "name", "addr", "nums", "aw", "stem", "nw", "nt")).select("*", *features.set_features())
+        number, conflict = (F.col("exact_number_match") == 1) | (F.col("number_overlap_ratio") >= 0.5), F.col("number_conflict_flag") == 1
+        kinds = K.hard_kinds_udf(F.col("a")["name"], F.col("b")["name"], F.col("a")["addr"], F.col("b")["addr"], number, conflict, F.col("address_token_jaccard"))
+        flagged = wide.select("s1_id", "cand_id", kinds.alias("kinds")).where("kinds > 0")
+        return flagged.select("s1_id", "cand_id", *[(F.col("kinds").bitwiseAND(1 << i) > 0).alias(name) for i, name in enumerate(HARD)])
+
+    return picked
+
 
-    out = sliced(scratch, records, k, picked)
+def hard_negatives(records: DataFrame, truth: DataFrame, k: int = 100) -> DataFrame:
+    """(s1_id, cand_id, a flag for each kind): candidates among a record's best ``k`` that are not true and that are hard."""
+    scratch = Scratch(records.sparkSession)
+    true = scratch.put(truth.select("s1_id", "cand_id"))
+    out = sliced(scratch, records, k, hard_among(true))
     scratch.drop(true)
     return out
 
 
 def rule_counts(negatives: DataFrame) -> DataFrame:
-    """(n, and how many each rule picked)."""
-    return negatives.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(n)).alias(n) for n in hard_negative_rules()])
+    """(n, and how many are of each kind)."""
+    return negatives.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(n)).alias(n) for n in HARD])
 
 
 def first_generation_pairs(records: DataFrame, truth: DataFrame, cap: int, k: int = 20) -> DataFrame:

@@ -22,7 +22,12 @@ INPUTS = [
 
 def featured(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """Pairs with the model's inputs; the string kernels see each pair of records once."""
-    wide = features.paired(pairs, records)
+    return featured_of(pairs, features.described(records))
+
+
+def featured_of(pairs: DataFrame, d: DataFrame) -> DataFrame:
+    """``featured`` of records that are described."""
+    wide = features.sides(pairs, d)
     return wide.select(*pairs.columns, *features.set_features(), *features.kernel_features()).select(*pairs.columns, *INPUTS)
 
 

@@ -518,3 +518,22 @@ def test_groups_and_pools_against_plain_sums(spark, group, most, chunk):
         best = sorted(found.items(), key=lambda x: (-x[1], x[0][1] is None, x[0][1] or 0, x[0][0] is None, x[0][0] or ""))[:4]
         want += [(s1_id, c[0], score, n) for n, (c, score) in enumerate(best, 1)]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and len(want) > 40
+
+
+def test_scores_retrieve_once(spark, monkeypatch):
+    """Pairs and hard negatives come from one retrieval, and records are described once."""
+    from kindred.operators import blocking
+
+    calls = []
+    for module, name in ((blocking, "probed"), (features, "described")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **b: calls.append(n) or f(*a, **b))
+    assert entry.queries()["gbt_score"](spark, SMALL).count()
+    assert sorted(calls) == ["described", "probed"]
+
+
+@given(st.text("ab c", max_size=9), st.text("ab c", max_size=9), st.text("ab c", max_size=9), st.text("ab c", max_size=9), st.booleans(), st.sampled_from([0.0, 0.3, 0.4, 0.7]))
+def test_bounded_kinds(a, b, x, y, number, words):
+    name, order = K.jaro_winkler(a, b), K.token_sort_ratio(x, y) if x and y else 0.0
+    assert K.most_jaro_winkler(a, b) >= name
+    want = (number and (words >= 0.7 or order >= 0.85) and name <= 0.7) + 2 * (name >= 0.9 and (words >= 0.4 or order >= 0.7)) + 4 * (not number and name >= 0.85 and words >= 0.3)
+    assert K.hard_kinds(a, b, x, y, number, not number, words) == want
